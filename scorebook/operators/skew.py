@@ -1,0 +1,31 @@
+"""Joins that hold when one key owns a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 8
+
+
+def salted_join(
+    fact: DataFrame,
+    dim: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[str],
+    how: str = "left",
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join a fact side whose keys may be hot to a side with one row per key.
+
+    The dimension is repeated once per salt and each fact row takes the salt its
+    `spread` columns hash to, so the rows of a hot key go to `salts` tasks. The
+    salt is a pure function of the row, so a re-run task sends every row to the
+    same place. No broadcast is forced: Spark picks one only when the dimension
+    is below its own size threshold, at planning time or at run time.
+    """
+    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
