@@ -85,25 +85,29 @@ def id_dictionary(*names: DataFrame) -> DataFrame:
     return dense_index(together.filter("name is not null").distinct(), ["name"], "id")
 
 
-def opponents(entries: DataFrame, game: str, team: str, pos: str) -> DataFrame:
-    """First other team of the same game for each (game, team).
+def with_opponent(
+    teams: DataFrame, game: str, team: str, pos: str, carry: Sequence[str] = (), out: str = "opponent"
+) -> DataFrame:
+    """Add the first other team of the same game, with its `carry` columns as `<out>_<column>`.
 
-    Only the first two distinct teams of a game can be an opponent, so each
-    game is cut to those two before its teams meet.
+    `teams` holds one row per (game, team), so the window spans the teams of one
+    game, of which only the first two can be an opponent. Games of one team drop out.
     """
-    teams = entries.groupBy(game, team).agg(F.min(pos).alias("_pos"))
-    rank = F.row_number().over(Window.partitionBy(game).orderBy("_pos", team))
-    lead = (
-        teams.withColumn("_rn", rank)
-        .filter("_rn <= 2")
-        .groupBy(game)
-        .agg(
-            F.max(F.when(F.col("_rn") == 1, F.col(team))).alias("_first"),
-            F.max(F.when(F.col("_rn") == 2, F.col(team))).alias("_second"),
-        )
+    whole = Window.partitionBy(game).orderBy(pos, team).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    entry = F.struct(team, *carry)
+    rows = teams.withColumns(
+        {"_first": F.first(entry).over(whole), "_second": F.nth_value(entry, 2).over(whole)}
+    )
+    own_first = F.col("_first")[team] == F.col(team)
+    rows = rows.withColumn("_other", F.when(own_first, F.col("_second")).otherwise(F.col("_first")))
+    carried = {f"{out}_{c}": F.col("_other")[c] for c in carry}
+    return (
+        rows.withColumns({out: F.col("_other")[team], **carried})
+        .filter(F.col(out).isNotNull())
+        .drop("_first", "_second", "_other")
     )
-    other = F.when(F.col(team) == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
-    return teams.join(lead, game).select(game, team, other.alias("opponent")).filter("opponent is not null")
 
 
 def unique_prefix_match(

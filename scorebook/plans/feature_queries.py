@@ -9,6 +9,7 @@ from scorebook.operators import affinity, features, ordering, scaling, summary
 from scorebook.plans import sql, views
 from scorebook.plans.registry import query
 from scorebook.plans.views import table
+from scorebook.session import materialized
 
 _RATES = ["avg", "hr", "slg", "ops"]
 
@@ -74,7 +75,7 @@ def _steps(seqs: DataFrame) -> DataFrame:
 )
 def standardize_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences scaled with statistics pooled over all steps."""
-    seqs = views.sequences(spark, sf_dir, "A")
+    seqs = materialized(views.sequences(spark, sf_dir, "A"), "sequences")
     return _steps(scaling.standardized_sequence(seqs, "seq", len(_A) + len(views.PITCHER_COLS)))
 
 
@@ -105,7 +106,7 @@ _SPLIT = """,
     "WITH " + sql.SAMPLES + _SPLIT + " SELECT game_id, team, is_valid FROM split",
 )
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = views.flat_samples(spark, sf_dir, "A").select("game_id", "team")
+    samples = views.stored_samples(spark, sf_dir, "A").select("game_id", "team")
     return ordering.with_holdout(samples, ["game_id", "team"])
 
 
@@ -118,7 +119,7 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def baseline_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of always answering the training mean, with and without its fraction."""
-    samples = views.flat_samples(spark, sf_dir, "A").select("game_id", "team", "runs")
+    samples = views.stored_samples(spark, sf_dir, "A").select("game_id", "team", "runs")
     split = ordering.with_holdout(samples, ["game_id", "team"])
     train, valid = split.filter("not is_valid"), split.filter("is_valid")
     rows = [
@@ -151,18 +152,19 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "affinity_rank",
-    "WITH " + _RANKED + " SELECT hitter, h_team, pitcher, p_team, rank, round(exact, 4) AS score FROM best",
+    "WITH " + _RANKED + " SELECT hitter, h_team, pitcher, p_team, rank, exact AS score FROM best",
 )
 def affinity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten pitchers of other teams each hitter suits best, over all vectors."""
-    return _ranked(spark, sf_dir).withColumn("score", F.round("score", 4))
+    return _ranked(spark, sf_dir)
 
 
 @query(
     "report_lines",
     "WITH " + _RANKED + """
     SELECT hitter, rank AS line_no,
-      printf('  vs %-12s (%-2s) | Score: %10.6f', CAST(pitcher AS VARCHAR), CAST(p_team AS VARCHAR), exact) AS line FROM best
+      printf('  vs %-12s (%-2s) | Score: %10s', CAST(pitcher AS VARCHAR), CAST(p_team AS VARCHAR),
+        CAST(CAST(CAST(exact AS DECIMAL(18, 9)) AS DECIMAL(18, 6)) AS VARCHAR)) AS line FROM best
     UNION ALL SELECT DISTINCT hitter, 0, '【打者】' || hitter || ' (' || h_team || ')' FROM best
     UNION ALL SELECT DISTINCT hitter, 2147483647, repeat('-', 60) FROM best""",
 )

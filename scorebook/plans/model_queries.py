@@ -10,6 +10,7 @@ from scorebook.operators import features, ordering, scaling
 from scorebook.plans import sql, views
 from scorebook.plans.registry import query
 from scorebook.plans.views import table
+from scorebook.session import materialized
 
 # Sizes of the forest and of the factorisation fit in the registered queries;
 # the library defaults are larger.
@@ -52,7 +53,9 @@ def ml_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str, pattern: str) -> tuple[DataFrame, DataFrame]:
-    samples = views.flat_samples(spark, sf_dir, pattern).select("game_id", "team", F.col("runs").cast("double"), "vec")
+    samples = views.stored_samples(spark, sf_dir, pattern).select(
+        "game_id", "team", F.col("runs").cast("double"), "vec"
+    )
     split = ordering.with_holdout(samples, ["game_id", "team"])
     return split.filter("not is_valid"), split.filter("is_valid")
 
@@ -115,7 +118,8 @@ def _fm_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         "game_id", "team", F.col("runs").cast("double"), "ids", F.array(*views.PITCHER_COLS).alias("numbers")
     )
     size = brands.agg(F.max("brand")).first()[0] + 1
-    split = ordering.with_holdout(regress.one_hot(rows, "ids", size, "numbers"), ["game_id", "team"])
+    stored = materialized(rows, "fm-samples")
+    split = ordering.with_holdout(regress.one_hot(stored, "ids", size, "numbers"), ["game_id", "team"])
     return split.filter("not is_valid"), split.filter("is_valid"), size
 
 

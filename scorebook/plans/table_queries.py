@@ -235,7 +235,9 @@ def last_source_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     ON e.game_id = o.game_id AND e.team <> o.team""",
 )
 def opponent_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.opponents(views.entries(spark, sf_dir), "game_id", "team", "pos")
+    return lookup.with_opponent(views.entries(spark, sf_dir), "game_id", "team", "pos").select(
+        "game_id", "team", "opponent"
+    )
 
 
 @query(

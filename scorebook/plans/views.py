@@ -8,13 +8,14 @@ embeddings-> a vector is a player, its label the team
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorebook.functions import text
 from scorebook.functions.rates import Thresholds, with_pitch_groups, with_rates, with_types
 from scorebook.operators import features, lineups, lookup, summary
 from scorebook.operators.skew import salted_join
+from scorebook.session import materialized
 
 # Line-up length of an order; a game of the sport has nine places.
 K = 3
@@ -157,20 +158,20 @@ def batters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pitch_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long (team, name, pitch_type, share) rows of suppliers; shares in percent."""
-    sold = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    sold = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
     kinds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     by_type = (
-        salted_join(sold, kinds, ["l_partkey"], ["l_suppkey"], how="inner")
+        salted_join(sold, kinds, ["l_partkey"], ["l_orderkey", "l_linenumber"], how="inner")
         .groupBy("l_suppkey", "p_type")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    # One row per supplier and type: at most as many rows per supplier as types.
-    totals = by_type.groupBy("l_suppkey").agg(F.sum("n").alias("total"))
-    return by_type.join(totals, "l_suppkey").select(
+    # The window spans one supplier's types, of which there are a handful.
+    total = F.sum("n").over(Window.partitionBy("l_suppkey"))
+    return by_type.select(
         (F.col("l_suppkey") % 12).alias("team"),
         F.col("l_suppkey").alias("name"),
         F.col("p_type").alias("pitch_type"),
-        (F.col("n") * 100.0 / F.col("total")).alias("share"),
+        (F.col("n") * 100.0 / total).alias("share"),
     )
 
 
@@ -207,11 +208,14 @@ def coded_pitchers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoreboard: an order's line statuses with their runs; the smaller status comes first."""
+    """Scoreboard: an order's line statuses with their runs and the supplier of their last line."""
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("game_id"), F.col("l_linestatus").alias("team"))
-        .agg((F.sum("l_quantity").cast("bigint") % 10).alias("runs"))
+        .agg(
+            (F.sum("l_quantity").cast("bigint") % 10).alias("runs"),
+            F.max(F.struct(*LINE_ORDER))["l_suppkey"].alias("starter"),
+        )
         .withColumn("pos", F.when(F.col("team") == "F", F.lit(0)).otherwise(F.lit(1)))
     )
 
@@ -233,21 +237,10 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def starters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supplier of the last line per order and line status."""
-    rows = lines(spark, sf_dir).groupBy("game_id", "team")
-    return rows.agg(F.max(F.struct(*LINE_ORDER))["l_suppkey"].alias("starter"))
-
-
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(game, team) rows of two-sided orders: runs, opponent and the opponent's starter."""
-    board = entries(spark, sf_dir)
-    other = lookup.opponents(board, "game_id", "team", "pos")
-    theirs = starters(spark, sf_dir).withColumnRenamed("team", "opponent")
-    return (
-        board.join(other, ["game_id", "team"])
-        .join(theirs, ["game_id", "opponent"], "left")
-        .select("game_id", "team", "runs", "opponent", "starter")
+    return lookup.with_opponent(entries(spark, sf_dir), "game_id", "team", "pos", carry=["starter"]).select(
+        "game_id", "team", "runs", "opponent", F.col("opponent_starter").alias("starter")
     )
 
 
@@ -284,6 +277,11 @@ def sequences(spark: SparkSession, sf_dir: str, pattern: str = "A") -> DataFrame
     )
 
 
+def stored_samples(spark: SparkSession, sf_dir: str, pattern: str = "A") -> DataFrame:
+    """`flat_samples` assembled once and stored, for splits and fits that read them often."""
+    return materialized(flat_samples(spark, sf_dir, pattern), f"samples-{pattern}")
+
+
 def flat_width(pattern: str) -> int:
     return K * len(features.batter_columns(pattern)) + len(PITCHER_COLS)
 

@@ -22,6 +22,7 @@ def local_session(cores: str = "8", app: str = "scorebook", memory: str = "12g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -62,3 +63,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise on the shared folder; survives the loss of any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once as a table on the shared folder and read back.
+
+    For results that several jobs read: the work is done once, the table
+    survives lost executors, and later scans read only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
