@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorebook.functions import text
 from scorebook.sources.schemas import GAME
@@ -22,9 +23,9 @@ def read_games(
 
     multi_line=True reads one document per file, False one per line; documents
     read by line take their id from the url. A file that is not a document is
-    an error, or left out when tolerant.
+    an error; when tolerant, it and documents without a scoreboard are left out.
     """
-    schema = GAME.add(CORRUPT, "string") if tolerant else GAME
+    schema = T.StructType([*GAME.fields, T.StructField(CORRUPT, T.StringType())]) if tolerant else GAME
     reader = (
         spark.read.schema(schema)
         .option("multiLine", multi_line)
@@ -36,7 +37,7 @@ def read_games(
     file_id = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     games = reader.json(path)
     if tolerant:
-        games = games.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        games = games.filter(F.col(CORRUPT).isNull() & F.col("scoreboard").isNotNull()).drop(CORRUPT)
     return games.withColumn("game_id", file_id if multi_line else text.game_id_from_url(F.col("url")))
 
 
