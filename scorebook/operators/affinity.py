@@ -26,15 +26,16 @@ def dot(left: Column, right: Column, width: int) -> Column:
 
 
 def pair_scores(
-    pairs: DataFrame, hitters: DataFrame, pitchers: DataFrame, width: int
+    pairs: DataFrame, hitters: DataFrame, pitchers: DataFrame, width: int, hot_from: DataFrame | None = None
 ) -> DataFrame:
     """Scores of given (hitter, pitcher) pairs of different teams.
 
     `hitters` holds (hitter, h_team, h_vec), `pitchers` (pitcher, p_team, p_vec);
     names without a vector or a team drop out.
     """
-    left = salted_join(pairs, hitters, ["hitter"], ["pitcher"], how="inner")
-    both = salted_join(left, pitchers, ["pitcher"], ["hitter"], how="inner")
+    looked = pairs if hot_from is None else hot_from
+    left = salted_join(pairs, hitters, ["hitter"], ["pitcher"], how="inner", hot_from=looked)
+    both = salted_join(left, pitchers, ["pitcher"], ["hitter"], how="inner", hot_from=looked)
     return both.filter("h_team <> p_team").select(
         "hitter", "h_team", "pitcher", "p_team", dot(F.col("h_vec"), F.col("p_vec"), width).alias("score")
     )

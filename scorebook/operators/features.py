@@ -48,28 +48,45 @@ def line_up_slots(samples: DataFrame) -> DataFrame:
 
 
 def with_batters(
-    slots: DataFrame, batters: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("team", "name")
+    slots: DataFrame, batters: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("team", "name"),
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Slots with their batter features; unknown batters read as zeros."""
-    return with_zero_default(slots, batters, keys, cols, spread=["game_id", "team", "slot"])
+    return with_zero_default(slots, batters, keys, cols, spread=["game_id", "team", "slot"], hot_from=hot_from)
 
 
 def with_pitchers(
-    teams: DataFrame, pitchers: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("opponent", "starter")
+    teams: DataFrame, pitchers: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("opponent", "starter"),
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """(game, team) rows with the opposing starter's features; unknown starters read as means."""
     table = pitchers.withColumnsRenamed({"team": "opponent", "name": "starter"})
-    return with_mean_default(teams, table, list(keys), cols, spread=["game_id", "team"])
+    return with_mean_default(teams, table, list(keys), cols, spread=["game_id", "team"], hot_from=hot_from)
 
 
-def _steps(slots: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
-    """Batter vectors per (game, team) in slot order; groups hold k slots by construction."""
-    vec = F.array(*[F.col(c).cast("double") for c in cols])
-    return (
-        slots.groupBy("game_id", "team")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("slot"), vec.alias("vec")))).alias("_steps"))
-        .filter(F.size("_steps") == k)
-    )
+def _place(slot: int, col: str) -> str:
+    return f"_{slot}_{col}"
+
+
+def _wide(slots: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+    """One row per complete (game, team) with a column per slot and feature.
+
+    A maximum over the one row of a slot is a plain hash aggregate; it needs no
+    list of the group's rows.
+    """
+    places = [
+        F.max(F.when(F.col("slot") == i, F.col(c).cast("double"))).alias(_place(i, c))
+        for i in range(1, k + 1)
+        for c in cols
+    ]
+    wide = slots.groupBy("game_id", "team").agg(F.count(F.lit(1)).alias("_n"), *places)
+    return wide.filter(F.col("_n") == k).drop("_n")
+
+
+def _assembled(slots: DataFrame, teams: DataFrame, batter_cols, pitcher_cols, k: int, out: str, value) -> DataFrame:
+    wide = _wide(slots, batter_cols, k)
+    made = [c for c in wide.columns if c.startswith("_")]
+    return wide.join(teams, ["game_id", "team"]).withColumn(out, value).drop(*made, *pitcher_cols)
 
 
 def flat(
@@ -80,26 +97,18 @@ def flat(
     `slots` holds batter features per slot, `teams` one row per (game, team)
     with the pitcher features and any label columns.
     """
-    pitcher = F.array(*[F.col(c).cast("double") for c in pitcher_cols]) if pitcher_cols else F.array().cast("array<double>")
-    return (
-        _steps(slots, batter_cols, k)
-        .join(teams, ["game_id", "team"])
-        .withColumn("vec", F.concat(F.flatten(F.transform("_steps", lambda s: s["vec"])), pitcher))
-        .drop("_steps", *pitcher_cols)
-    )
+    batted = [F.col(_place(i, c)) for i in range(1, k + 1) for c in batter_cols]
+    vec = F.array(*batted, *[F.col(c).cast("double") for c in pitcher_cols])
+    return _assembled(slots, teams, batter_cols, pitcher_cols, k, "vec", vec)
 
 
 def sequence(
     slots: DataFrame, teams: DataFrame, batter_cols: Sequence[str], pitcher_cols: Sequence[str], k: int = 9
 ) -> DataFrame:
     """One sequence per (game, team): k steps of batter features followed by the pitcher's."""
-    pitcher = F.array(*[F.col(c).cast("double") for c in pitcher_cols]) if pitcher_cols else F.array().cast("array<double>")
-    return (
-        _steps(slots, batter_cols, k)
-        .join(teams, ["game_id", "team"])
-        .withColumn("seq", F.transform("_steps", lambda s: F.concat(s["vec"], pitcher)))
-        .drop("_steps", *pitcher_cols)
-    )
+    pitcher = [F.col(c).cast("double") for c in pitcher_cols]
+    seq = F.array(*[F.array(*[F.col(_place(i, c)) for c in batter_cols], *pitcher) for i in range(1, k + 1)])
+    return _assembled(slots, teams, batter_cols, pitcher_cols, k, "seq", seq)
 
 
 def flat_names(batter_cols: Sequence[str], pitcher_cols: Sequence[str], k: int = 9) -> list[str]:

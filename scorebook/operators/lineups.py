@@ -21,10 +21,13 @@ def first_k_distinct(
     Repeats are merged by an aggregate and each map task keeps k names per
     group, so a busy group never travels whole.
     """
-    position = F.min(F.struct(*order)).alias("_at")
-    firsts = rows.groupBy(*group, name).agg(position)
+    # A single order column keeps the aggregate on the hash path.
+    single = len(order) == 1
+    position = F.col(order[0]) if single else F.struct(*order)
+    firsts = rows.groupBy(*group, name).agg(F.min(position).alias("_at"))
     ranked = group_rank(firsts, group, ["_at", name], k, "slot")
-    return ranked.select(*group, "slot", name, *[F.col(f"_at.{c}") for c in order])
+    places = [F.col("_at").alias(order[0])] if single else [F.col(f"_at.{c}") for c in order]
+    return ranked.select(*group, "slot", name, *places)
 
 
 def complete(slots: DataFrame, group: Sequence[str], k: int = SLOTS) -> DataFrame:

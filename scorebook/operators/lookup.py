@@ -35,10 +35,11 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def with_zero_default(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str], spread: Sequence[str]
+    left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str], spread: Sequence[str],
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Left lookup; a missing record reads as zeros."""
-    joined = salted_join(left, right.select(*keys, *cols), keys, spread)
+    joined = salted_join(left, right.select(*keys, *cols), keys, spread, hot_from=hot_from)
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in cols})
 
 
@@ -48,12 +49,13 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def with_mean_default(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str], spread: Sequence[str]
+    left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str], spread: Sequence[str],
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Left lookup; a missing record reads as the column means of the table."""
     means = column_means(right, cols)
     marked = right.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols], F.lit(True).alias("_hit"))
-    joined = salted_join(left, marked, keys, spread).withColumn("_means", means.scalar())
+    joined = salted_join(left, marked, keys, spread, hot_from=hot_from).withColumn("_means", means.scalar())
     return joined.withColumns(
         {c: F.when(F.col("_hit"), F.col(c)).otherwise(F.col("_means")[c]) for c in cols}
     ).drop("_hit", "_means")

@@ -26,7 +26,8 @@ def exclusive_totals(
 
     `requests` holds keys and order; `changes` holds keys, order and measures;
     `initial` holds keys and measures known before the first order key. `order`
-    is a string column. A key without changes gets zeros.
+    is a string column. A key without changes gets zeros; rows without a key or an
+    order are skipped.
 
     Rows are first summed to one per (keys, order). The history of a key is then
     cut into chunks by the first `chunk_chars` characters of the order key (a
@@ -43,11 +44,13 @@ def exclusive_totals(
         events = events.unionByName(
             initial.select(*keys, F.lit(START).alias(order), *long_measures, F.lit(0).alias("_asked"))
         )
-    chunk = F.substring(F.col(order), 1, chunk_chars)
+    # Both uses of `steps` below read the same columns in the same order under the
+    # same filters, so Spark computes its shuffle once and reuses it.
     steps = (
-        events.withColumn("_chunk", chunk)
+        events.withColumn("_chunk", F.substring(F.col(order), 1, chunk_chars))
+        .filter(F.col("_chunk").isNotNull())
         .groupBy(*keys, "_chunk", order)
-        .agg(*[F.sum(m).alias(m) for m in measures], F.max("_asked").alias("_asked"))
+        .agg(F.max("_asked").alias("_asked"), *[F.sum(m).alias(m) for m in measures])
     )
 
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -56,12 +59,14 @@ def exclusive_totals(
         *keys, "_chunk", order, "_asked",
         *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(m) for m in measures],
     ).filter("_asked = 1")
-    per_chunk = steps.groupBy(*keys, "_chunk").agg(*[F.sum(m).alias(m) for m in measures])
+    per_chunk = steps.groupBy(*keys, "_chunk").agg(
+        F.max("_asked").alias("_asked"), *[F.sum(m).alias(m) for m in measures]
+    )
     before = per_chunk.select(
-        *keys, "_chunk",
+        *keys, "_chunk", "_asked",
         *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_before_{m}") for m in measures],
-    )
-    return within.join(before, [*keys, "_chunk"]).select(
+    ).filter("_asked = 1")
+    return within.join(before.drop("_asked"), [*keys, "_chunk"]).select(
         *keys, order, *[(F.col(m) + F.col(f"_before_{m}")).alias(m) for m in measures]
     )
 

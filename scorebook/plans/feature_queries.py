@@ -181,14 +181,12 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def affinity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every part and supplier that met on a line, where both have a vector."""
-    pairs = (
-        table(spark, sf_dir, "lineitem")
-        .select(F.col("l_partkey").alias("hitter"), F.col("l_suppkey").alias("pitcher"))
-        .distinct()
+    met = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("hitter"), F.col("l_suppkey").alias("pitcher")
     )
     scored = affinity.pair_scores(
-        pairs, views.embedded(spark, sf_dir, "hitter", "h"), views.embedded(spark, sf_dir, "pitcher", "p"),
-        views.EMBEDDING_WIDTH,
+        met.distinct(), views.embedded(spark, sf_dir, "hitter", "h"), views.embedded(spark, sf_dir, "pitcher", "p"),
+        views.EMBEDDING_WIDTH, hot_from=met,
     )
     return scored.withColumn("score", F.round("score", 6))
 

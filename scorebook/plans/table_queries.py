@@ -124,9 +124,13 @@ def type_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relative_power_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     era = views.pitchers(spark, sf_dir).select(F.col("name").alias("starter"), "era")
-    faced = salted_join(views.teams(spark, sf_dir), era, ["starter"], ["game_id", "team"])
+    faced = salted_join(
+        views.teams(spark, sf_dir), era, ["starter"], ["game_id", "team"], hot_from=views.last_lines(spark, sf_dir)
+    )
     known = views.typed_batters(spark, sf_dir).filter("hr > 0")
-    batted = features.with_batters(views.slots(spark, sf_dir), known, ["avg"], keys=["name"])
+    batted = features.with_batters(
+        views.slots(spark, sf_dir), known, ["avg"], keys=["name"], hot_from=views.lines(spark, sf_dir)
+    )
     both = batted.join(faced, ["game_id", "team"])
     return both.select("game_id", "team", "slot", relative_power(F.col("avg"), F.col("era")).alias("power"))
 
@@ -177,7 +181,9 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def left_join_zero_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = views.typed_batters(spark, sf_dir).filter("hr > 0")
-    joined = features.with_batters(views.slots(spark, sf_dir), known, ["ab", "hr", "avg"], keys=["name"])
+    joined = features.with_batters(
+        views.slots(spark, sf_dir), known, ["ab", "hr", "avg"], keys=["name"], hot_from=views.lines(spark, sf_dir)
+    )
     return joined.select("game_id", "team", "slot", "ab", "hr", "avg")
 
 

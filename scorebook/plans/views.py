@@ -37,8 +37,27 @@ RESULTS = [
 VISITOR, HOME = "中日", "ＤｅＮＡ"
 
 
+# Columns of the given tables; a declared schema saves a look into the files per read.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def event_key() -> Column:
@@ -230,6 +249,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def last_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows whose suppliers may become starters."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("starter"))
+
+
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-ups: the first K distinct parts per order and line status."""
     return lineups.first_k_distinct(lines(spark, sf_dir), ["game_id", "team"], "name", LINE_ORDER, K).select(
@@ -253,12 +277,15 @@ def feature_slots(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
     """Line-up slots with the batter features of a pattern; parts that never hit high stay unknown."""
     cols = features.batter_columns(pattern)
     known = typed_batters(spark, sf_dir).filter("hr > 0")
-    return features.with_batters(slots(spark, sf_dir), known, cols, keys=["name"])
+    return features.with_batters(
+        slots(spark, sf_dir), known, cols, keys=["name"], hot_from=lines(spark, sf_dir)
+    )
 
 
 def feature_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.with_pitchers(
-        teams(spark, sf_dir), coded_pitchers(spark, sf_dir).drop("team"), PITCHER_COLS, keys=["starter"]
+        teams(spark, sf_dir), coded_pitchers(spark, sf_dir).drop("team"), PITCHER_COLS, keys=["starter"],
+        hot_from=last_lines(spark, sf_dir),
     )
 
 

@@ -16,15 +16,26 @@ def test_salted_join_equals_a_plain_join_with_a_hot_key(spark):
     rng = random.Random(3)
     fact = spark.createDataFrame([("hot" if rng.random() < 0.4 else f"k{rng.randint(0, 9)}", i) for i in range(500)], "k string, i int")
     dim = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(5)]], "k string, v int")
+    assert len(skew.hot_keys(fact, ["k"], min_rows=100)) == 1 and skew.hot_keys(fact, ["k"]) == []
     for how in ("left", "inner"):
-        got = skew.salted_join(fact, dim, ["k"], ["i"], how)
-        assert rows(got, "k", "i", "v") == rows(fact.join(dim, "k", how), "k", "i", "v")
+        want = rows(fact.join(dim, "k", how), "k", "i", "v")
+        assert rows(skew.salted_join(fact, dim, ["k"], ["i"], how, min_rows=100), "k", "i", "v") == want
+        assert rows(skew.salted_join(fact, dim, ["k"], ["i"], how), "k", "i", "v") == want
+    known = skew.salted_join(fact, dim.select("k"), ["k"], ["i"], "left_semi", min_rows=100)
+    assert rows(known, "k", "i") == rows(fact.join(dim, "k", "left_semi"), "k", "i")
 
 
-def test_salt_spreads_one_key(spark):
-    fact = spark.range(1000).select(F.lit("hot").alias("k"), "id")
-    salts = fact.select(F.pmod(F.xxhash64("id"), F.lit(skew.SALTS)).alias("s")).groupBy("s").count().collect()
-    assert len(salts) == skew.SALTS and max(r["count"] for r in salts) < 250
+def test_only_hot_keys_are_salted_and_types_may_differ(spark):
+    fact = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    dim = spark.createDataFrame([(7, "x"), (9, "y")], "k int, v string")
+    joined = skew.salted_join(fact, dim, ["k"], ["id"], min_rows=100)
+    assert joined.filter("v = 'x'").count() == 2000 and joined.count() == 3000
+    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in skew.salted_join(fact, dim, ["k"], ["id"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hot_keys_of_nothing(spark):
+    assert skew.hot_keys(spark.range(0), ["id"], min_rows=0) == []
 
 
 def test_keep_first_and_last_follow_the_given_order(spark):
