@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from scorebook.operators.lookup import group_rank
 from scorebook.operators.skew import salted_join
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
+# Scores held at a time inside a task: a strip of hitters against a pitcher block.
+STRIP_CELLS = 4_000_000
 
 
 def dot(left: Column, right: Column, width: int) -> Column:
@@ -41,38 +43,41 @@ def pair_scores(
     )
 
 
+def _strip_top(scores: np.ndarray, top: int) -> np.ndarray:
+    """Mask of the `top` finite scores per row; among equals the leftmost are taken."""
+    keep = np.isfinite(scores)
+    if top < scores.shape[1]:
+        kth = np.partition(scores, -top, axis=1)[:, -top][:, None]
+        above, ties = scores > kth, scores == kth
+        room = top - above.sum(axis=1, keepdims=True)
+        keep &= above | (ties & (np.cumsum(ties, axis=1) <= room))
+    return keep
+
+
 def _block_top(top: int, digits: int):
     """Best `top` pitchers of one pitcher block for every hitter of one hitter block."""
 
     def best(hit: pd.DataFrame, pit: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"hitter": [], "h_team": [], "pitcher": [], "p_team": [], "score": []})
+        names = ["hitter", "h_team", "pitcher", "p_team", "score"]
         if hit.empty or pit.empty:
-            return empty
+            return pd.DataFrame({n: [] for n in names})
         pit = pit.sort_values("pitcher", kind="stable")
-        scores = np.round(
-            np.stack(hit["h_vec"].to_numpy()).astype("float64")
-            @ np.stack(pit["p_vec"].to_numpy()).astype("float64").T,
-            digits,
-        )
-        h_team, p_team = hit["h_team"].to_numpy(), pit["p_team"].to_numpy()
-        scores[h_team[:, None] == p_team[None, :]] = -np.inf
-        keep = np.isfinite(scores)
-        if top < scores.shape[1]:
-            kth = np.partition(scores, -top, axis=1)[:, -top][:, None]
-            above = scores > kth
-            ties = scores == kth
-            room = top - above.sum(axis=1, keepdims=True)
-            keep &= above | (ties & (np.cumsum(ties, axis=1) <= room))
-        rows, cols = np.nonzero(keep)
-        return pd.DataFrame(
-            {
-                "hitter": hit["hitter"].to_numpy()[rows],
-                "h_team": h_team[rows],
-                "pitcher": pit["pitcher"].to_numpy()[cols],
-                "p_team": p_team[cols],
-                "score": scores[rows, cols],
-            }
-        )
+        h_vec = np.stack(hit["h_vec"].to_numpy()).astype("float64")
+        p_vec = np.stack(pit["p_vec"].to_numpy()).astype("float64").T
+        hitter, h_team = hit["hitter"].to_numpy(), hit["h_team"].to_numpy()
+        pitcher, p_team = pit["pitcher"].to_numpy(), pit["p_team"].to_numpy()
+        strip, found = max(1, STRIP_CELLS // len(pit)), []
+        for start in range(0, len(hit), strip):
+            part = slice(start, start + strip)
+            scores = np.round(h_vec[part] @ p_vec, digits)
+            scores[h_team[part][:, None] == p_team[None, :]] = -np.inf
+            rows, cols = np.nonzero(_strip_top(scores, top))
+            found.append(
+                pd.DataFrame(
+                    dict(zip(names, (hitter[part][rows], h_team[part][rows], pitcher[cols], p_team[cols], scores[rows, cols])))
+                )
+            )
+        return pd.concat(found, ignore_index=True)
 
     return best
 

@@ -111,6 +111,23 @@ def sequence(
     return _assembled(slots, teams, batter_cols, pitcher_cols, k, "seq", seq)
 
 
+# Names of features in the weight ranking.
+FEATURE_LABELS = {
+    "hand": "Hand", "type_power": "Power", "type_avg": "Average", "type_speed": "Speed", "type_eye": "Eye",
+    "type_all": "All-Rounder",
+}
+PITCHER_LABELS = {
+    "era": "ERA", "k9": "K/9", "hr9": "HR/9", "fast_group": "Fast_G", "breaking_group": "Break_G",
+    "falling_group": "Fall_G",
+}
+
+
 def flat_names(batter_cols: Sequence[str], pitcher_cols: Sequence[str], k: int = 9) -> list[str]:
-    """Names of the places of a flat vector: `<slot>番_<column>`, then `P_<column>`."""
-    return [f"{i}番_{c}" for i in range(1, k + 1) for c in batter_cols] + [f"P_{c}" for c in pitcher_cols]
+    """Names of the places of a flat vector: `<slot>番_<batter feature>`, then `P_<pitcher feature>`."""
+    batted = [f"{i}番_{FEATURE_LABELS.get(c, c)}" for i in range(1, k + 1) for c in batter_cols]
+    return batted + [f"P_{PITCHER_LABELS.get(c, c)}" for c in pitcher_cols]
+
+
+def shape(samples: DataFrame, vec: str = "vec") -> DataFrame:
+    """One row: number of samples and their width."""
+    return samples.agg(F.count(F.lit(1)).alias("samples"), F.max(F.size(vec)).alias("width"))

@@ -96,6 +96,14 @@ def standardize_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("team", "name", *[F.round(c, 6).alias(c) for c in cols])
 
 
+@query(
+    "sample_shape",
+    "WITH " + sql.SAMPLES + f" SELECT count(*) AS samples, {views.flat_width('A')} AS width FROM samples",
+)
+def sample_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.shape(views.flat_samples(spark, sf_dir, "A"))
+
+
 _SPLIT = """,
     digests AS (SELECT *, md5('42:' || game_id || ':' || team) AS d FROM samples),
     split AS (SELECT *, row_number() OVER (ORDER BY d) <= ceil(0.2::DECIMAL(10, 8) * count(*) OVER ()) AS is_valid FROM digests)"""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorebook.functions import text
+from scorebook.operators import lineups
+from scorebook.plans import sql, views
 from scorebook.plans.registry import query
 from scorebook.plans.views import table
+from scorebook.session import materialized
 from scorebook.sources import pages, urls
 
 _PLAIN = """trim(replace(replace(replace(replace(replace(
@@ -142,3 +145,166 @@ def url_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     grid = urls.page_grid(clubs, "https://site.example/%s/%s/p/%s_%s.htm", ["r_name", "n_name", "s_suppkey"])
     return grid.select("s_suppkey", "number", "url")
+
+
+def _row(cells: dict, width: int, first: str = "<tr class='x'>") -> Column:
+    """One table row of `width` cells; cells without a value hold their number."""
+    parts = [F.lit(first)]
+    for i in range(width):
+        value = cells[i] if i in cells else F.lit(str(i))
+        parts += [F.lit("<td>"), value.cast("string"), F.lit("</td>")]
+    return F.concat(*parts, F.lit("</tr>"))
+
+
+def _shown(col: str) -> Column:
+    """A count as pages print it: grouped digits, a dash for none."""
+    return F.when(F.col(col) == 0, "-").otherwise(F.format_number(F.col(col), 0))
+
+
+_HAND_SQL = "CASE hand WHEN '左打' THEN '左打' WHEN '両打' THEN '両打' ELSE '右打' END"
+
+
+@query(
+    "html_batter_rows",
+    "WITH " + sql.BATTERS + f"""
+    SELECT team, CAST(name AS VARCHAR) AS name, {_HAND_SQL} AS hand, ab::INT AS ab, h::INT AS h, triples::INT AS triples,
+      hr::INT AS hr, tb::INT AS tb, sb::INT AS sb, bb::INT AS bb, hbp::INT AS hbp, sf::INT AS sf FROM batters""",
+)
+def html_batter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batters printed as page rows with hand marks and a total row, then read back."""
+    start = '<tr class="ststats">'
+    mark = F.when(F.col("hand") == "左打", "*").when(F.col("hand") == "両打", "+").otherwise("")
+    name = F.concat(F.lit("<b>　"), F.col("name").cast("string"), F.lit(" </b>"))
+    counts = {i: _shown(c) for c, i in pages.BATTER_CELLS_WITH_HAND.items() if c != "doubles"}
+    player = _row({0: mark, 1: name, **counts}, 20, start)
+    total = _row({1: F.lit("計")}, 20, start)
+    short = _row({}, 19, start)
+    printed = views.batters(spark, sf_dir).select("team", F.concat(F.lit("<table>"), player, total, short).alias("html"))
+    return pages.batters_with_hand(printed).drop("doubles")
+
+
+@query(
+    "html_batter_rows_plain",
+    "WITH " + sql.BATTERS + """
+    SELECT team, 'p' || name AS name, ab::INT AS ab, h::INT AS h, hr::INT AS hr, tb::INT AS tb, bb::INT AS bb,
+      hbp::INT AS hbp, sf::INT AS sf FROM batters WHERE hbp > 0""",
+)
+def html_batter_rows_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout without hands; rows that print a dash anywhere are dropped."""
+    cells = {i: F.col(c) for c, i in pages.BATTER_CELLS_PLAIN.items() if c not in ("doubles", "hbp")}
+    cells[pages.BATTER_CELLS_PLAIN["hbp"]] = _shown("hbp")
+    row = _row({**cells, 0: F.concat(F.lit("*p"), F.col("name").cast("string"))}, 18)
+    head, tail = '<table class="tablefix2"><tbody>', "</tbody></table>"
+    printed = views.batters(spark, sf_dir).select("team", F.concat(F.lit(head), row, F.lit(tail)).alias("html"))
+    return pages.batters_plain(printed).drop("doubles", "triples")
+
+
+@query(
+    "html_pitcher_counts",
+    """SELECT l_suppkey % 12 AS team, CAST(l_suppkey AS VARCHAR) AS name, CAST(count(*) AS VARCHAR) AS g,
+      CAST(count(*) // 3 AS VARCHAR) || CASE count(*) % 3 WHEN 0 THEN '' WHEN 1 THEN '.1' ELSE '.2' END AS ip,
+      CAST(count(*) FILTER (l_returnflag = 'R') AS VARCHAR) AS h, CAST(count(*) FILTER (l_quantity > 45) AS VARCHAR) AS hr,
+      CAST(count(*) FILTER (l_returnflag = 'A') AS VARCHAR) AS so,
+      CASE WHEN l_suppkey % 5 = 0 THEN '9.99' ELSE CAST(count(*) FILTER (l_returnflag = 'N') AS VARCHAR) END AS era
+    FROM lineitem GROUP BY l_suppkey""",
+)
+def html_pitcher_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers printed as pitcher rows; innings in two cells, some without an ERA."""
+    flag = F.col("l_returnflag")
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("g"),
+        F.count_if(flag == "R").alias("h"),
+        F.count_if(F.col("l_quantity") > 45).alias("hr"),
+        F.count_if(flag == "A").alias("so"),
+        F.count_if(flag == "N").alias("era"),
+    )
+    thirds = F.col("g") % 3
+    cells = {
+        1: F.concat(F.lit("　"), F.col("l_suppkey").cast("string")),
+        2: F.col("g"), 13: F.floor(F.col("g") / 3), 15: F.col("h"), 16: F.col("hr"), 20: F.col("so"),
+        14: F.when(thirds == 0, "").when(thirds == 1, ".1").otherwise(".2"),
+        25: F.when(F.col("l_suppkey") % 5 == 0, "-").otherwise(F.col("era").cast("string")),
+    }
+    row = _row(cells, 26, '<tr class="odd ststats">')
+    return pages.pitcher_counts(counts.select((F.col("l_suppkey") % 12).alias("team"), row.alias("html")))
+
+
+@query(
+    "html_pitcher_pages",
+    "WITH " + sql.PITCHERS + """
+    SELECT p.team, CAST(p.name AS VARCHAR) AS name, CASE hand WHEN 0 THEN '右投' ELSE '左投' END AS hand,
+      round(era, 4) AS era, round(k9, 4) AS k9, CASE WHEN p.name % 2 = 0 THEN round(hr9, 4) ELSE 0.0 END AS hr9, """
+    + ", ".join(f'round("pitch_{t}_share", 4) AS "pitch_{t}_share"' for t in views.PITCH_TYPES)
+    + " FROM pitchers p JOIN wide w ON p.name = w.name",
+)
+def html_pitcher_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pitcher pages printed and read back: title, hand, rates by header, pitch mix to columns."""
+
+    def number(col: str) -> Column:
+        return F.round(F.col(col), 4).cast("string")
+
+    def mix_row(kind: str) -> Column:
+        share = F.col(f"pitch_{kind}_share")
+        shown = F.when(share == 0, "-").otherwise(F.concat(number(f"pitch_{kind}_share"), F.lit("%")))
+        return _row({0: F.lit(kind), 2: shown}, 3)
+
+    def wrap(before: str, inner: Column, after: str) -> Column:
+        return F.concat(F.lit(before), inner, F.lit(after))
+
+    has_hr9 = F.col("name") % 2 == 0
+    wide = views.pitch_table(spark, sf_dir).drop("team")
+    both = views.pitchers(spark, sf_dir).join(wide, "name")
+    html = F.concat(
+        wrap("<title>2024 投手成績 1 ", F.col("name").cast("string"), " - s</title>"),
+        wrap("<p>", F.col("hand"), "</p>"),
+        F.lit("<table><caption>通算成績(各種指標)</caption><tr><th>K/9</th>"),
+        F.when(has_hr9, "<th>HR/9</th>").otherwise(""),
+        wrap("</tr><tr><td>", number("k9"), "</td>"),
+        F.when(has_hr9, wrap("<td>", number("hr9"), "</td>")).otherwise(""),
+        wrap("</tr></table><table><tr><th>防御率</th></tr><tr><td>", number("era"), "</td></tr></table>"),
+        F.lit("<table><tr><th>球種</th></tr>"),
+        *[mix_row(k) for k in views.PITCH_TYPES],
+        _row({0: F.lit("合計"), 2: F.lit("100%")}, 3),
+        F.lit("</table>"),
+    )
+    return pages.pitcher_table(both.select("team", html.alias("html")))
+
+
+@query(
+    "box_score_plays",
+    """SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS name, CAST(l_linenumber AS INT) AS inning_no,
+      CASE l_linestatus WHEN 'F' THEN '表' ELSE '裏' END AS half, l_returnflag AS result, count(*) AS n
+    FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber <= 7 GROUP BY ALL""",
+)
+def box_score_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders printed as box scores and read back as plays.
+
+    A line is a batter row whose result stands in the column of its line number;
+    lines that were not returned nor accepted print a placeholder.
+    """
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *views.LINE_ORDER, "l_linestatus", "l_returnflag")
+    shown = F.when(F.col("l_returnflag") == "N", "……").otherwise(F.col("l_returnflag"))
+    first = pages.BOX_FIRST_RESULT
+    innings = {first + i: F.when(F.col("l_linenumber") == i + 1, shown).otherwise("&nbsp;") for i in range(7)}
+    start = F.concat(F.lit('<tr><td class="left">'), F.col("l_partkey").cast("string"), F.lit("</td>"))
+    # The name is cell 0; `_row` prints the cells after it.
+    rest = F.substring_index(_row(innings, first + 7, "<td>name</td>"), "<td>name</td><td>0</td>", -1)
+    printed = rows.withColumn("row", F.concat(start, rest))
+    docs = lineups.nested(
+        printed, ["l_orderkey"], [*views.LINE_ORDER, "l_linestatus", "row"],
+        spread=views.LINE_ORDER,
+    )
+
+    def side(status: str) -> Column:
+        mine = F.filter("entries", lambda e: e["l_linestatus"] == status)
+        return F.concat(
+            F.lit('<table class="batter">'), F.array_join(F.transform(mine, lambda e: e["row"]), ""), F.lit("</table>")
+        )
+
+    page = docs.select("l_orderkey", "part", F.concat(side("F"), side("O")).alias("html"))
+    # Slots and plays both read the rows, so the pages are taken apart once.
+    box = materialized(pages.box_rows(page, ["l_orderkey", "part"]), "box-rows")
+    plays = pages.box_plays(box, ["l_orderkey", "part"])
+    return plays.groupBy("l_orderkey", "name", "inning_no", F.right("inning", F.lit(1)).alias("half"), "result").agg(
+        F.count(F.lit(1)).alias("n")
+    )

@@ -13,6 +13,7 @@ from scorebook.functions import text
 from scorebook.functions.rates import share_column
 from scorebook.operators.lineups import SLOTS, first_k_distinct, running_slot
 from scorebook.operators.summary import kinds_of, pivot_shares
+from scorebook.session import materialized
 
 # Cell positions of the season tables.
 BATTER_CELLS_WITH_HAND = {
@@ -235,7 +236,8 @@ def box_documents(pages: DataFrame) -> DataFrame:
         F.transform(all_matches(F.col("html"), r'(?s)<td[^>]*class="[^"]*\btotalScore\b[^"]*"[^>]*>(.*?)</td>'),
                     plain).alias("_runs"),
     ).filter(F.size("_teams") >= 2)
-    rows = box_rows(page, ["url"])
+    # Line-ups and plays both read the rows, so the pages are taken apart once.
+    rows = materialized(box_rows(page, ["url"]), "box-rows")
     entries = box_plays(rows).groupBy("url").agg(
         # One box score holds one game's plays.
         F.array_sort(F.collect_list(F.struct("side", "pos", "inning_no", "inning", "slot", "name", "result"))).alias("_p")
