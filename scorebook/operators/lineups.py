@@ -18,8 +18,9 @@ def first_k_distinct(
 ) -> DataFrame:
     """First k distinct names per group in row order, as (group…, slot, name, order…).
 
-    Repeats are merged by an aggregate and each map task keeps k names per
-    group, so a busy group never travels whole.
+    Rows of equal order are read in name order. Repeats are merged by an
+    aggregate and each map task keeps k names per group, so a busy group never
+    travels whole.
     """
     # A single order column keeps the aggregate on the hash path.
     single = len(order) == 1
@@ -42,14 +43,15 @@ def running_slot(
 ) -> DataFrame:
     """Add the number of distinct names seen up to each row, capped at k.
 
-    Only the places where the first k names appear decide the count, so each row
-    needs one array of at most k places per group and no window over the group.
+    Rows of equal order are read in name order. Only the places where the first
+    k names appear decide the count, so each row needs one array of at most k
+    places per group and no window over the group.
     """
     firsts = first_k_distinct(rows, group, name, order, k)
     places = firsts.groupBy(*group).agg(
-        F.collect_list(F.struct(*order)).alias("_places")  # at most k entries
+        F.collect_list(F.struct(*order, name)).alias("_places")  # at most k entries
     )
-    here = F.struct(*order)
+    here = F.struct(*order, name)
     return (
         salted_join(rows, places, list(group), spread)
         .withColumn(out, F.size(F.filter("_places", lambda p: p <= here)))

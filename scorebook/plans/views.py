@@ -256,7 +256,9 @@ def last_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-ups: the first K distinct parts per order and line status."""
-    return lineups.first_k_distinct(lines(spark, sf_dir), ["game_id", "team"], "name", LINE_ORDER, K).select(
+    # The part key follows the line number in LINE_ORDER, and it is the name that breaks ties.
+    rows = lines(spark, sf_dir).select("game_id", "team", "name", "l_linenumber")
+    return lineups.first_k_distinct(rows, ["game_id", "team"], "name", ["l_linenumber"], K).select(
         "game_id", "team", "slot", "name"
     )
 
