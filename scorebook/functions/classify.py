@@ -81,6 +81,7 @@ def play_class(text: Column, rules: str = "literal") -> Column:
 
 def deltas(text: Column, rules: str = "literal") -> Column:
     """Struct of counting-stat changes (ab, h, tb, hr, bb, hbp, sf) of one play."""
-    return _chain(
-        text, rules, lambda r: F.struct(*[F.lit(getattr(r, m)).alias(m) for m in MEASURES])
-    )
+    def counts(rule: Rule) -> Column:
+        return F.expr("named_struct(" + ", ".join(f"'{m}', {getattr(rule, m)}" for m in MEASURES) + ")")
+
+    return _chain(text, rules, counts)

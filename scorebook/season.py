@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.functions.rates import with_rates, with_types
+from scorebook.functions.rates import relative_power, with_rates, with_types
 from scorebook.functions.text import map_codes
 from scorebook.operators import affinity, features, lookup, running, summary
+from scorebook.operators.skew import salted_join
 from scorebook.sources import games as docs
 
 
@@ -54,16 +55,25 @@ def classified_batters(batters: DataFrame) -> DataFrame:
 def season_samples(
     games: DataFrame, batters: DataFrame, pitchers: DataFrame, pattern: str = "A",
     pitcher_cols: Sequence[str] = features.PITCHER_GROUPED, layout: str = "flat", k: int = 9,
+    with_power: bool = False,
 ) -> DataFrame:
     """Samples from fixed season tables: line-up figures and the opposing starter's.
 
     `batters` holds the columns of the pattern with a numeric hand, `pitchers`
     one row per (team, name). layout is "flat" (column vec) or "sequence"
-    (column seq).
+    (column seq). with_power adds each batter's average against the starter's
+    ERA as a last batter feature; the pattern must hold avg.
     """
     samples = docs.samples(games, k)
     cols = features.batter_columns(pattern)
     slots = features.with_batters(features.line_up_slots(samples), batters, cols)
+    if with_power:
+        era = pitchers.select(F.col("team").alias("opponent"), F.col("name").alias("starter"), "era")
+        faced = salted_join(samples, era, ["opponent", "starter"], ["game_id", "team"])
+        slots = slots.join(faced.select("game_id", "team", "era"), ["game_id", "team"]).withColumn(
+            "power", relative_power(F.col("avg"), F.col("era"))
+        )
+        cols = (*cols, "power")
     teams = features.with_pitchers(samples.drop("players"), pitchers, pitcher_cols)
     return _laid_out(slots, teams, cols, pitcher_cols, layout, k)
 

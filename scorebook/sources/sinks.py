@@ -20,13 +20,14 @@ def write_games(games: DataFrame, path: str, per_game: bool = False, max_records
     writer.json(path)
 
 
-def write_dictionary(ids: DataFrame, path: str) -> None:
-    ids.write.mode("overwrite").parquet(path)
+def write_dictionary(ids: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """(name, id) rows as Parquet or, for readers outside Spark, as JSON lines."""
+    ids.select("name", "id").write.mode("overwrite").format(fmt).save(path)
 
 
-def read_dictionary(spark: SparkSession, path: str, inverted: bool = False) -> DataFrame:
+def read_dictionary(spark: SparkSession, path: str, inverted: bool = False, fmt: str = "parquet") -> DataFrame:
     """(name, id), or (id, name) when inverted."""
-    ids = spark.read.parquet(path)
+    ids = spark.read.format(fmt).schema("name string, id bigint").load(path)
     return ids.select("id", "name") if inverted else ids.select("name", "id")
 
 

@@ -34,6 +34,13 @@ def test_plans_have_no_cross_join_and_no_python_rows(spark, name):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_running_totals_shuffle_their_steps_once(spark):
+    df = queries()["asof_running_stats"](spark, SF_DIR)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("Scan parquet") == 3
+
+
 def test_scans_read_only_the_columns_they_need(spark):
     plan = queries()["pivot_share"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "ReadSchema" in line]

@@ -97,6 +97,10 @@ def test_season_samples(read, initial, pitchers, log):
     assert len(rows) == 16 and {len(v) for v in rows.values()} == {38}
     some = next(k for k in rows if k[1] == "DeNA")
     assert rows[some][:5] == [1, 0.3, 1, 0.5, 0]
+    powered = season.season_samples(read, batters, pitchers, "A", ["era"], with_power=True)
+    for r in powered.filter("team = 'DeNA'").collect():
+        assert len(r.vec) == 46 and r.vec[4] == 0.3 - r.vec[-1] / 10 and r.vec[9] == 0.0 - r.vec[-1] / 10
+    assert {r.vec[4] for r in powered.filter("team = '阪神'").collect()} == {0.0 - 4.0 / 10}
     with pytest.raises(ValueError):
         season.season_samples(read, batters, pitchers, "A", ["era"], layout="cube")
 

@@ -60,6 +60,8 @@ def test_dictionary_and_its_inverse(spark, tmp_path):
     ids = lookup.id_dictionary(spark.createDataFrame([("b",), ("a",)], "n string"))
     sinks.write_dictionary(ids, str(tmp_path / "ids"))
     assert sorted(map(tuple, sinks.read_dictionary(spark, str(tmp_path / "ids")).collect())) == [("a", 0), ("b", 1)]
+    sinks.write_dictionary(ids, str(tmp_path / "json"), fmt="json")
+    assert sinks.read_dictionary(spark, str(tmp_path / "json"), fmt="json").count() == 2
     inverted = sinks.read_dictionary(spark, str(tmp_path / "ids"), inverted=True)
     assert inverted.columns == ["id", "name"] and inverted.filter("id = 1").first().name == "b"
 
