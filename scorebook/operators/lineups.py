@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.operators.lookup import group_rank
-from scorebook.operators.skew import salted_join
+from scorebook.operators.skew import salted_join, spread_hash
 
 SLOTS = 9
 
@@ -66,11 +66,11 @@ def nested(
     """Rows nested into one document per group, in `entry` order.
 
     A group above `max_entries` rows becomes several documents with the same key
-    and part numbers 0, 1, …; rows are dealt to parts by the hash of `spread`,
-    which must tell the rows of a group apart. Every row is kept.
+    and part numbers 0, 1, …; `spread` columns should tell the rows of a group
+    apart, so that its parts get equal shares. Every row is kept.
     """
     sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(max_entries)).alias("parts"))
-    part = F.pmod(F.xxhash64(*spread), F.col("parts"))
+    part = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(spread_hash(spread), F.col("parts")))
     return (
         salted_join(rows, sizes, list(group), spread, how="inner")
         .withColumn("part", part)

@@ -32,6 +32,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> li
     return [t["item"] for t in found.top or [] if t["count"] >= least]
 
 
+def spread_hash(spread: Sequence[str]) -> Column:
+    """Number that tells rows of one key apart: their `spread` columns, and the task they are read in.
+
+    The task's number also parts exact copies, which no hash of their columns
+    can. A re-run of a task keeps its number and its rows, so it sends every row
+    to the same place as before.
+    """
+    return F.xxhash64(*spread) + F.spark_partition_id()
+
+
 def salted_join(
     fact: DataFrame,
     dim: DataFrame,
@@ -43,12 +53,10 @@ def salted_join(
 ) -> DataFrame:
     """Join a fact side whose keys may be hot to a side with one row per key.
 
-    Rows of a hot key are spread over SALTS tasks by the hash of their `spread`
-    columns, and only the dimension rows of hot keys are repeated to match; all
-    other rows keep salt 0. Without a hot key this is a plain join. The salt is
-    a pure function of the row, so a re-run task sends every row to the same
-    place. No broadcast is forced: Spark picks one only when a side is below
-    its own size threshold.
+    Rows of a hot key are spread over SALTS tasks by `spread_hash`, and only the
+    dimension rows of hot keys are repeated to match; all other rows keep salt
+    0. Without a hot key this is a plain join. No broadcast is forced: Spark
+    picks one only when a side is below its own size threshold.
 
     `hot_from` names the rows to look for hot keys in, for instance the base
     table of a fact that is costly to compute twice.
@@ -58,7 +66,7 @@ def salted_join(
         return fact.join(dim, list(keys), how)
     is_hot = key_hash(keys).isin(hot)
     salted = fact.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+        "_salt", F.when(is_hot, F.pmod(spread_hash(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     )
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     copies = dim.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))

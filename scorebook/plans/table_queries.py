@@ -254,7 +254,7 @@ def opponent_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semi_known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     known = table(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return lookup.known_names(rows, known, ["l_suppkey"], ["l_orderkey", "l_linenumber"]).select(*rows.columns)
+    return lookup.known_names(rows, known, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"]).select(*rows.columns)
 
 
 @query(

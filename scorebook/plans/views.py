@@ -180,7 +180,7 @@ def pitch_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     sold = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
     kinds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     by_type = (
-        salted_join(sold, kinds, ["l_partkey"], ["l_orderkey", "l_linenumber"], how="inner")
+        salted_join(sold, kinds, ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey"], how="inner")
         .groupBy("l_suppkey", "p_type")
         .agg(F.count(F.lit(1)).alias("n"))
     )

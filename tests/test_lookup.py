@@ -34,6 +34,14 @@ def test_only_hot_keys_are_salted_and_types_may_differ(spark):
     assert "_salt" not in skew.salted_join(fact, dim, ["k"], ["id"])._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_exact_copies_are_spread_too(spark):
+    copies = spark.range(0, 6400, 1, 64).select(F.lit("hot").alias("k"), F.lit(1).alias("i"))
+    sizes = copies.groupBy(F.pmod(skew.spread_hash(["i"]), F.lit(skew.SALTS)).alias("s")).count().collect()
+    assert len(sizes) == skew.SALTS and {r["count"] for r in sizes} == {100}
+    dim = spark.createDataFrame([("hot", 5)], "k string, v int")
+    assert skew.salted_join(copies, dim, ["k"], ["i"], min_rows=1).filter("v = 5").count() == 6400
+
+
 def test_hot_keys_of_nothing(spark):
     assert skew.hot_keys(spark.range(0), ["id"], min_rows=0) == []
 
