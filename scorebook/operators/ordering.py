@@ -45,36 +45,38 @@ def with_holdout(
 ) -> DataFrame:
     """Flag the first ceil(fraction * n) rows in md5(seed:key) order.
 
-    The cut is found in two steps and never sorts the whole table: the rows are
+    The cut is found in two jobs that never sort the whole table: the rows are
     counted per digest prefix (at most 16**5 counts), then the digests of the
-    one prefix that holds the cut are ranked. Rows that share a key stay on the
-    same side.
+    one prefix that holds the cut are ranked. One row of each job comes back, so
+    the flag itself is a plain comparison wherever the result is used. Rows that
+    share a key stay on the same side.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     digests = df.select(digest.alias("_d"))
-    by_prefix = digests.groupBy(F.substring("_d", 1, _BUCKET_DIGITS).alias("_b")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    prefix = F.substring("_d", 1, _BUCKET_DIGITS)
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    all_rows = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    running = by_prefix.select(
-        "_b",
-        "_n",
-        F.sum("_n").over(upto).alias("_cum"),
-        F.ceil(F.lit(str(fraction)).cast("decimal(10,8)") * F.sum("_n").over(all_rows)).alias("_want"),
+    running = (
+        digests.groupBy(prefix.alias("_b"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_cum", F.sum("_n").over(upto))
     )
-    cut = running.filter("_cum >= _want and _cum - _n < _want").agg(
-        F.struct(F.max("_b").alias("b"), F.max(F.expr("_want - (_cum - _n)")).alias("left")).alias("s")
+    want = F.ceil(F.lit(str(fraction)).cast("decimal(10,8)") * F.max("_cum").over(Window.partitionBy()))
+    cut = (
+        running.withColumn("_want", want)
+        .filter("_cum >= _want and _cum - _n < _want")
+        .select("_b", F.expr("_want - (_cum - _n)").alias("_left"))
+        .first()
     )
-    inside = (
-        digests.filter(F.substring("_d", 1, _BUCKET_DIGITS) == cut.scalar()["b"])
+    if cut is None:  # no rows, or a fraction of nothing
+        return df.withColumn(out, F.lit(False))
+    within = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+    last = (
+        digests.filter(prefix == cut["_b"])
         .groupBy("_d")
         .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_d", F.sum("_n").over(within).alias("_cum"))
+        .filter(F.col("_cum") >= cut["_left"])
+        .agg(F.min("_d").alias("_d"))
+        .first()
     )
-    within = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
-    threshold = (
-        inside.select("_d", F.sum("_n").over(within).alias("_cum"))
-        .filter(F.col("_cum") >= cut.scalar()["left"])
-        .agg(F.min("_d").alias("_t"))
-    )
-    return df.withColumn(out, digest <= threshold.scalar())
+    return df.withColumn(out, digest <= F.lit(last["_d"]))

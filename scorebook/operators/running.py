@@ -104,19 +104,20 @@ def running_stats(
     credit: str = "batting",
     order_by: str = "date",
     chunk_chars: int = 6,
+    name: str = "name",
 ) -> DataFrame:
     """Counting stats of (team, name) before each requested game.
 
     `requests` holds (game_id, team, name); `plays` the columns of
-    `games.plays`. Adds (ab, h, tb, hr, bb, hbp, sf) to the requests.
+    `games.plays`, of which `name` is the one that names the batter. Adds (ab, h, tb, hr, bb, hbp, sf) to the requests.
     """
     asked = requests.select("game_id", "team", "name").distinct().withColumn(
         "_order", order_key(F.col("game_id"), order_by)
     )
-    played = credited(plays.filter(F.col("name").isNotNull()), credit).select(
+    played = credited(plays.filter(F.col(name).isNotNull()), credit).select(
         order_key(F.col("game_id"), order_by).alias("_order"),
         "team",
-        "name",
+        F.col(name).alias("name"),
         deltas(F.col("result"), rules).alias("_d"),
     )
     changes = played.select("_order", "team", "name", *[F.col(f"_d.{m}").alias(m) for m in MEASURES])

@@ -81,15 +81,19 @@ def season_samples(
 def running_samples(
     games: DataFrame, initial: DataFrame, pitchers: DataFrame | None = None, pitcher_cols: Sequence[str] = (),
     rules: str = "literal", credit: str = "both", order_by: str = "file", layout: str = "sequence", k: int = 9,
+    name: str = "token",
 ) -> DataFrame:
     """Samples from figures as they stood before each game: avg, hr, slg, ops per slot.
 
+    `name` says how a play names its batter: by the "token" after the first
+    space, or by the full "name" of a well-formed line.
+
     With `pitchers`, the opposing starter's columns follow each batter's (and
     the batter's hand leads them when `initial` holds a numeric one).
     """
     samples = docs.samples(games, k)
     slots = features.line_up_slots(samples)
-    before = running.running_stats(slots, docs.plays(games), initial, rules, credit, order_by)
+    before = running.running_stats(slots, docs.plays(games), initial, rules, credit, order_by, name=name)
     rated = with_rates(before, "max1").select("game_id", "team", "name", *features.BATTER_PATTERNS["rates"])
     cols = features.BATTER_PATTERNS["rates"]
     filled = slots.join(rated, ["game_id", "team", "name"])

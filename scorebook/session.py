@@ -55,8 +55,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for one written table."""
-    return f"{shared_dir(spark).rstrip('/')}/scorebook/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder for one written table, in a folder per application."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/scorebook/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

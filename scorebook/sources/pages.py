@@ -144,7 +144,11 @@ def _table_with(html: Column, marker: str) -> Column:
 
 
 def pitcher_rates(pages: DataFrame, keys=("team",)) -> DataFrame:
-    """Name, throwing hand, ERA, K/9 and HR/9 of pitcher pages; other pages are left out."""
+    """Name, throwing hand, ERA, K/9 and HR/9 of pitcher pages.
+
+    A rate without a header is 0.0. Other pages, and pages with a rate that is
+    no number, are left out.
+    """
     title = title_of(F.col("html"))
     page = (
         pages.filter(title.contains("投手成績"))
@@ -161,12 +165,13 @@ def pitcher_rates(pages: DataFrame, keys=("team",)) -> DataFrame:
     )
 
     def rate(header: str) -> Column:
-        return F.coalesce(F.try_element_at("_map", F.lit(header)).try_cast("double"), F.lit(0.0))
+        value = F.try_element_at("_map", F.lit(header))
+        return F.when(value.isNull(), F.lit(0.0)).otherwise(value.try_cast("double"))
 
     era = text.sentinel(F.get(cells(F.col("_era")), F.lit(0))).try_cast("double")
     return page.select(
         *keys, "name", "hand", era.alias("era"), rate("K/9").alias("k9"), rate("HR/9").alias("hr9")
-    )
+    ).dropna(subset=["era", "k9", "hr9"])
 
 
 def pitch_mix(pages: DataFrame, keys=("team",)) -> DataFrame:
@@ -190,11 +195,16 @@ def pitch_mix(pages: DataFrame, keys=("team",)) -> DataFrame:
 
 
 def pitcher_table(pages: DataFrame, keys=("team",)) -> DataFrame:
-    """Rates with one share column per pitch type seen; pitches a pitcher lacks are 0."""
+    """Rates with one share column per pitch type seen; pitches a pitcher lacks are 0.
+
+    A pitcher with a share that is no number is left out.
+    """
     mix = pitch_mix(pages, keys)
+    unreadable = mix.filter("share is null").select(*keys, "name").distinct()
     wide = pivot_shares(mix, [*keys, "name"], "pitch_type", "share", kinds_of(mix, "pitch_type"), share_column)
     shares = [c for c in wide.columns if c not in (*keys, "name")]
-    return pitcher_rates(pages, keys).join(wide, [*keys, "name"], "left").na.fill(0.0, shares)
+    rated = pitcher_rates(pages, keys).join(unreadable, [*keys, "name"], "left_anti")
+    return rated.join(wide, [*keys, "name"], "left").na.fill(0.0, shares)
 
 
 def box_rows(pages: DataFrame, keys=("url",)) -> DataFrame:
@@ -235,7 +245,7 @@ def box_documents(pages: DataFrame) -> DataFrame:
                     lambda t: F.replace(plain(t), F.lit("\xa0"), F.lit(""))).alias("_teams"),
         F.transform(all_matches(F.col("html"), r'(?s)<td[^>]*class="[^"]*\btotalScore\b[^"]*"[^>]*>(.*?)</td>'),
                     plain).alias("_runs"),
-    ).filter(F.size("_teams") >= 2)
+    ).filter((F.size("_teams") >= 2) & (F.size("_runs") >= 2))
     # Line-ups and plays both read the rows, so the pages are taken apart once.
     rows = materialized(box_rows(page, ["url"]), "box-rows")
     entries = box_plays(rows).groupBy("url").agg(

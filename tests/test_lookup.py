@@ -122,6 +122,13 @@ def test_holdout_takes_the_ceiling_of_the_fraction(spark, n, want):
     assert {r.game_id for r in split if r.is_valid} == set(ordered[:want])
 
 
+def test_holdout_of_nothing(spark):
+    df = spark.range(0).withColumnRenamed("id", "game_id")
+    assert ordering.with_holdout(df, ["game_id"]).count() == 0
+    some = ordering.with_holdout(spark.range(5), ["id"], fraction=0.0)
+    assert some.filter("is_valid").count() == 0
+
+
 def test_holdout_keeps_rows_of_one_key_together(spark):
     df = spark.range(300).select((F.col("id") % 7).alias("k"), "id")
     sides = ordering.with_holdout(df, ["k"]).groupBy("k").agg(F.countDistinct("is_valid").alias("n")).collect()

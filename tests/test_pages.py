@@ -70,6 +70,8 @@ def test_pitcher_rates_and_pitch_mix(spark):
         T=pitcher_page("2024 投手成績 19 才木 - s", row(["カーブ", "1", "9%"])),
         C=pitcher_page("2024 打撃成績 1 誰か - s", mix),
         S=pitcher_page("2024 投手成績 20 無 - s", mix, rates=False),
+        D=pitcher_page("2024 投手成績 21 欠 - s", mix, era="?"),
+        H=pitcher_page("2024 投手成績 22 乱 - s", row(["カーブ", "1", "x%"])),
     )
     got = {r.team: r for r in pages.pitcher_table(df).collect()}
     assert set(got) == {"G", "T"}
