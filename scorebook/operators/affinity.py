@@ -43,19 +43,21 @@ def pair_scores(
     )
 
 
-def _strip_top(scores: np.ndarray, top: int) -> np.ndarray:
-    """Mask of the `top` finite scores per row; among equals the leftmost are taken."""
-    keep = np.isfinite(scores)
-    if top < scores.shape[1]:
-        kth = np.partition(scores, -top, axis=1)[:, -top][:, None]
-        above, ties = scores > kth, scores == kth
-        room = top - above.sum(axis=1, keepdims=True)
-        keep &= above | (ties & (np.cumsum(ties, axis=1) <= room))
-    return keep
+def _block_top(top: int, digits: int):
+    """Best `top` pitchers of one pitcher block for every hitter of one hitter block.
 
+    Both functions are nested, so tasks get them whole and need no copy of this package.
+    """
 
-def _block_top(top: int, digits: int):
-    """Best `top` pitchers of one pitcher block for every hitter of one hitter block."""
+    def strip_top(scores: np.ndarray) -> np.ndarray:
+        """Mask of the `top` finite scores per row; among equals the leftmost are taken."""
+        keep = np.isfinite(scores)
+        if top < scores.shape[1]:
+            kth = np.partition(scores, -top, axis=1)[:, -top][:, None]
+            above, ties = scores > kth, scores == kth
+            room = top - above.sum(axis=1, keepdims=True)
+            keep &= above | (ties & (np.cumsum(ties, axis=1) <= room))
+        return keep
 
     def best(hit: pd.DataFrame, pit: pd.DataFrame) -> pd.DataFrame:
         names = ["hitter", "h_team", "pitcher", "p_team", "score"]
@@ -71,7 +73,7 @@ def _block_top(top: int, digits: int):
             part = slice(start, start + strip)
             scores = np.round(h_vec[part] @ p_vec, digits)
             scores[h_team[part][:, None] == p_team[None, :]] = -np.inf
-            rows, cols = np.nonzero(_strip_top(scores, top))
+            rows, cols = np.nonzero(strip_top(scores))
             found.append(
                 pd.DataFrame(
                     dict(zip(names, (hitter[part][rows], h_team[part][rows], pitcher[cols], p_team[cols], scores[rows, cols])))

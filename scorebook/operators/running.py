@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from scorebook.functions.classify import MEASURES, deltas
 
@@ -26,8 +27,8 @@ def exclusive_totals(
 
     `requests` holds keys and order; `changes` holds keys, order and measures;
     `initial` holds keys and measures known before the first order key. `order`
-    is a string column. A key without changes gets zeros; rows without a key or an
-    order are skipped.
+    is a string column. A key without changes gets zeros; rows without a key or
+    an order are skipped. Totals are whole numbers unless a measure is not.
 
     Rows are first summed to one per (keys, order). The history of a key is then
     cut into chunks by the first `chunk_chars` characters of the order key (a
@@ -35,14 +36,17 @@ def exclusive_totals(
     many groups as it has chunks: totals inside a chunk plus totals of the
     chunks before it.
     """
-    zero = [F.lit(0).cast("long").alias(m) for m in measures]
-    long_measures = [F.col(m).cast("long").alias(m) for m in measures]
+    sources = [changes] if initial is None else [changes, initial]
+    whole = all(isinstance(df.schema[m].dataType, IntegralType) for df in sources for m in measures)
+    kind = "long" if whole else "double"
+    zero = [F.lit(0).cast(kind).alias(m) for m in measures]
+    values = [F.col(m).cast(kind).alias(m) for m in measures]
     events = requests.select(*keys, order, *zero, F.lit(1).alias("_asked")).unionByName(
-        changes.select(*keys, order, *long_measures, F.lit(0).alias("_asked"))
+        changes.select(*keys, order, *values, F.lit(0).alias("_asked"))
     )
     if initial is not None:
         events = events.unionByName(
-            initial.select(*keys, F.lit(START).alias(order), *long_measures, F.lit(0).alias("_asked"))
+            initial.select(*keys, F.lit(START).alias(order), *values, F.lit(0).alias("_asked"))
         )
     # Both uses of `steps` below read the same columns in the same order under the
     # same filters, so Spark computes its shuffle once and reuses it.

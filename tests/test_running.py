@@ -89,6 +89,15 @@ def test_a_busy_key_is_spread_over_chunks(spark):
     assert "windowspecdefinition(team" in plan and "_chunk" in plan.split("windowspecdefinition(team")[1]
 
 
+def test_fractional_starting_totals_are_kept(spark):
+    plays, asked, _ = make_log(2)
+    initial = [("V", "hot", 10.5, 2.25, 3.0, 0.0, 1.0, 0.0, 0.0)]
+    requests, played, _ = frames(spark, (plays, asked, []))
+    start = spark.createDataFrame(initial, "team string, name string, " + ", ".join(f"{m} double" for m in MEASURES))
+    got = collected(running.running_stats(requests, played, start))
+    assert got == replay(plays, asked, initial, "batting", "date")
+
+
 def test_unknown_modes_are_errors(spark):
     df = spark.range(1)
     with pytest.raises(ValueError):
