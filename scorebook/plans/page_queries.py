@@ -192,7 +192,7 @@ def html_batter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_batter_rows_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layout without hands; rows that print a dash anywhere are dropped."""
     cells = {i: F.col(c) for c, i in pages.BATTER_CELLS_PLAIN.items() if c not in ("doubles", "hbp")}
-    cells[pages.BATTER_CELLS_PLAIN["hbp"]] = _shown("hbp")
+    cells[pages.BATTER_CELLS_PLAIN["hbp"]] = F.when(F.col("hbp") == 0, "-").otherwise(F.col("hbp").cast("string"))
     row = _row({**cells, 0: F.concat(F.lit("*p"), F.col("name").cast("string"))}, 18)
     head, tail = '<table class="tablefix2"><tbody>', "</tbody></table>"
     printed = views.batters(spark, sf_dir).select("team", F.concat(F.lit(head), row, F.lit(tail)).alias("html"))
