@@ -30,14 +30,16 @@ def local_session(cores: str = "8", app: str = "scorebook", memory: str = "12g")
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    A session without that setting gets a temporary folder, but only in local
-    mode: on a cluster a folder of one machine is invisible to the others.
+    A session without that setting gets a temporary folder, but only when driver
+    and executors are one process: on a cluster a folder of one machine is
+    invisible to the others, so there the setting is asked for.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
