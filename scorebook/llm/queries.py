@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import decontaminate, repetition
+from scorebook.llm import decontaminate, neardup, repetition, sentences, suffixes
 from scorebook.llm.registry import ORACLES, QUERIES, query, table
 from scorebook.llm import sql
 
@@ -16,6 +16,21 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op4_sentence_spans", sql.SENTENCE_SPANS)
+def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.find(table(spark, sf_dir, "documents"))
+
+
 @query("op7_repetition_rules", sql.REPETITION)
 def repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+@query("op8_near_duplicates", sql.NEAR_DUPLICATES)
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_dedup", sql.REPEATED_PASSAGES)
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.find(table(spark, sf_dir, "documents"))

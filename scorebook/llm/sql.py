@@ -58,3 +58,52 @@ SELECT * EXCLUDE (too_long), n_words < 50 OR 100 * n_repeat_words > 50 * n_words
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_covered_words <= CAST(0.3 AS DOUBLE) * n_words AND NOT too_long AS kept
 FROM m
 """
+
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (shingle) JOIN n na ON na.doc_id = a.doc_id
+  JOIN n nb ON nb.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+  HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT doc_id, min(seen) AS component FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id,
+  d.doc_id = coalesce(c.component, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+_REPEATS = """
+f AS (SELECT win, min((doc_id, p)) AS first, count(*) AS n FROM g GROUP BY win HAVING count(*) > 1),
+r AS (SELECT doc_id, p, (doc_id, p) > first AS later, first[1] AS first_id FROM g JOIN f USING (win)),
+u AS (SELECT doc_id, later, first_id, unnest(range(p, p + {size})) AS x FROM r),
+s AS (
+  SELECT doc_id, count(DISTINCT x) AS n_repeated, count(DISTINCT x) FILTER (later) AS n_removed,
+    list_sort(list(DISTINCT first_id) FILTER (later)) AS first_docs
+  FROM u GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS {units}, CAST(coalesce(n_repeated, 0) AS BIGINT) AS n_repeated,
+  CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(first_docs, CAST([] AS BIGINT[])) AS first_docs
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+SENTENCE_SPANS = rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(list_transform(regexp_extract_all({LOWER}, '[^.!?\n]+'),
+    lambda x: array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' ')), lambda x: x <> '') AS w FROM documents),
+g AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 2], chr(10)) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)
+  WHERE len(string_split(array_to_string(w[p:p + 2], ' '), ' ')) >= 8),
+""" + _REPEATS.format(size=3, units="n_sentences")
+
+REPEATED_PASSAGES = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+""" + _REPEATS.format(size=50, units="n_words")
