@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.llm import hashing as H
-from scorebook.llm import minhash
-from scorebook.llm.components import components
+from scorebook.llm import linking, minhash
 from scorebook.session import materialized
 
 WORDS = 5
@@ -110,31 +109,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(node, component) of every node that has a link."""
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    members = materialized(keyed.join(shared.select("key", "lead"), "key"), "members")
-    stars = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    members = materialized(keyed.join(linking.shared_keys(keyed), "key"), "members")
     wanted = members.select(F.col("node").alias(id_col)).distinct()
     sets = materialized(_sets(docs.select(id_col, text_col).join(wanted, id_col), id_col, text_col, words), "sets")
-    linked = materialized(confirmed(stars, sets, percent), "linked")
-    found = components(linked)
-    rest = _open_pairs(members, found, percent)
-    more = materialized(confirmed(rest.join(stars, ["a", "b"], "left_anti"), sets, percent), "linked")
-    return components(linked.unionByName(more)) if more.take(1) else found
-
-
-def _open_pairs(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket, differ in component, and are close enough in size to be linked."""
-    known = members.join(found, "node", "left").select(
-        "key", "node", "n", F.coalesce("component", "node").alias("component")
-    )
-    mixed = known.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x < _y")
-    known = materialized(known.join(mixed.select("key"), "key"), "open")
-    x, y = known.alias("x"), known.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-    close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (
-        F.col("x.component") != F.col("y.component")
-    )
-    return x.join(y, meet & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return linking.linked(members, lambda pairs: confirmed(pairs, sets, percent), percent)
 
 
 def find(

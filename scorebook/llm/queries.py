@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import decontaminate, neardup, repetition, sentences, suffixes
+from scorebook.llm import decontaminate, lines, neardup, repetition, sentences, suffixes
 from scorebook.llm.registry import ORACLES, QUERIES, query, table
 from scorebook.llm import sql
 
@@ -16,6 +16,11 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op3_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.find(table(spark, sf_dir, "documents"))
+
+
 @query("op4_sentence_spans", sql.SENTENCE_SPANS)
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.find(table(spark, sf_dir, "documents"))
