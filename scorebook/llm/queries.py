@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import decontaminate, lines, neardup, repetition, sentences, suffixes
+from scorebook.llm import decontaminate, lines, mixing, neardup, repetition, sentences, suffixes
 from scorebook.llm.registry import ORACLES, QUERIES, query, table
 from scorebook.llm import sql
 
@@ -26,6 +26,11 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.find(table(spark, sf_dir, "documents"))
 
 
+@query("op5_source_mixing", sql.SOURCE_MIXING)
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.find(table(spark, sf_dir, "documents"))
+
+
 @query("op7_repetition_rules", sql.REPETITION)
 def repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(table(spark, sf_dir, "documents")).drop("longest_repeat")

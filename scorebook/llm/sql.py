@@ -107,3 +107,37 @@ g AS (
   SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS win
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
 """ + _REPEATS.format(size=50, units="n_words")
+
+SOURCE_MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(concat('1|', coalesce(CAST(doc_id AS VARCHAR), ''), '|', md5(coalesce(text, '')))) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, count(*) AS n FROM d GROUP BY source),
+w AS (
+  SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w,
+    CAST(3 * total AS DOUBLE) AS cap, CAST(sum(total) OVER () AS DOUBLE) AS corpus FROM s),
+c AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS r FROM w),
+l AS (
+  SELECT *, (corpus - coalesce(sum(cap) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM c),
+t AS (
+  SELECT source, total, n, least((SELECT share FROM l WHERE share * w <= cap ORDER BY r LIMIT 1) * w, cap) AS target FROM l),
+q AS (
+  SELECT *, greatest(1, ceil(total / 65536), ceil(n / 4096)) AS blocks,
+    CASE WHEN total > 0 THEN CAST(floor(target / total) AS BIGINT) ELSE 0 END AS passes FROM t),
+p AS (
+  SELECT d.*, q.total, q.target, q.passes, q.target - q.passes * q.total AS rest,
+    CAST('0x' || substr(h, 1, 15) AS BIGINT) % CAST(blocks AS BIGINT) AS block
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+b AS (
+  SELECT source, block, words, coalesce(sum(words) OVER (
+    PARTITION BY source ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT source, block, sum(size) AS words FROM p GROUP BY source, block)),
+m AS (
+  SELECT p.*, b.before, b.words,
+    sum(size) OVER (PARTITION BY p.source, p.block ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2 AS middle
+  FROM p JOIN b ON p.block = b.block AND p.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, total AS source_size, target, CAST(size * (passes + CASE
+  WHEN before + words <= rest THEN 1 WHEN before < rest AND middle <= rest - before THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM m
+"""
