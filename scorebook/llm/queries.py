@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import decontaminate, lines, mixing, neardup, repetition, sentences, suffixes
+from scorebook.llm import decontaminate, lines, mixing, neardup, repetition, sentences, suffixes, urls
 from scorebook.llm.registry import ORACLES, QUERIES, query, table
 from scorebook.llm import sql
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 @query("op2_decontamination", sql.DECONTAMINATION)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
