@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import decontaminate, lines, mixing, neardup, repetition, sentences, suffixes, urls
+from scorebook.llm import decontaminate, langid, lines, mixing, neardup, repetition, sentences, suffixes, urls
 from scorebook.llm.registry import ORACLES, QUERIES, query, table
 from scorebook.llm import sql
 
@@ -36,6 +36,11 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.find(table(spark, sf_dir, "documents"))
 
 
+@query("op6_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op7_repetition_rules", sql.REPETITION)
 def repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(table(spark, sf_dir, "documents")).drop("longest_repeat")
