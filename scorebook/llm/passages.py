@@ -9,7 +9,7 @@ document.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +75,14 @@ def keep_rest(raw: bytes, starts: np.ndarray, ranges: Iterable[tuple[int, int]])
     return b"".join(kept)
 
 
-def cut(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str, starts_of) -> DataFrame:
+def cut(
+    docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str, starts_of: Callable[[bytes], np.ndarray],
+    drop_emptied: bool = False,
+) -> DataFrame:
     """The documents with the units of `ranges` (id, start, end) removed from their texts, all other columns as they are.
 
-    `starts_of(bytes)` gives the byte where each unit of a text starts.
+    `starts_of(bytes)` gives the byte where each unit of a text starts. With
+    `drop_emptied`, documents of which only blanks are left go.
     """
     at = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
     gone = ranges.groupBy(F.col("id").alias("_id")).agg(F.collect_list(at).alias("_gone"))
@@ -97,7 +101,9 @@ def cut(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str, starts_o
                     raw = fresh[i].encode()
                     fresh[i] = keep_rest(raw, starts_of(raw), [(r["start"], r["end"]) for r in lists[i].as_py()]).decode()
                 columns[place] = pa.array(fresh, texts.type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            out = pa.RecordBatch.from_arrays(columns, names)
+            emptied = {i for i in at if drop_emptied and not fresh[i].strip()}
+            yield out.filter(pa.array([i not in emptied for i in range(out.num_rows)])) if emptied else out
 
     names = docs.columns
     return joined.mapInArrow(run, T.StructType(docs.schema.fields))

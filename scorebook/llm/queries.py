@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import decontaminate, langid, lines, mixing, neardup, repetition, sentences, suffixes, urls
+from scorebook.llm import decontaminate, langid, lines, mixing, neardup, pii, repetition, sentences, suffixes, urls
 from scorebook.llm.registry import ORACLES, QUERIES, query, table
 from scorebook.llm import sql
 
@@ -51,6 +51,11 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find(table(spark, sf_dir, "documents"))
 
 
+@query("op9_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 @query("op10_suffix_dedup", sql.REPEATED_PASSAGES)
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.find(table(spark, sf_dir, "documents"))
