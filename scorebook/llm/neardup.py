@@ -3,9 +3,9 @@
 1. One map turns every document into the size and a 128-bit fingerprint of its
    shingle set and its band keys. Equal sets collapse to their smallest id, so
    any number of exact copies goes on as one node.
-2. A bucket (equal band key) is reduced before the shuffle to its smallest and
-   largest node. In buckets with two or more nodes every node is compared with
-   the smallest one: n - 1 candidates, not n squared.
+2. A bucket (equal band key) is reduced before the shuffle to a few leads drawn
+   by hash. In buckets with two or more nodes every node is compared with the
+   leads: a few candidates per node, not the square of the bucket.
 3. Candidates are confirmed on full shingle sets, and confirmed links merged
    into components.
 4. Nodes that share a bucket but not yet a component are compared pair by pair;
@@ -58,13 +58,15 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64, copy=False), pa.int64()))
+    flat = np.concatenate(rows, dtype=np.int64, casting="no") if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
     """Per document: id, set size n, set fingerprint (hi, lo) and band keys."""
 
+    none = np.zeros(0, np.int64)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, hi, lo, keys = [], [], [], []
@@ -73,7 +75,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int
                 n.append(len(s))
                 hi.append(p[0])
                 lo.append(p[1])
-                keys.append(H.as_long(minhash.band_keys(minhash.signature(s, bands * rows), bands, rows)) if len(s) else s)
+                keys.append(H.as_long(minhash.band_keys(minhash.signature(s, bands * rows), bands, rows)) if len(s) else none)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, hi, lo)), _lists(keys)], ["id", "n", "hi", "lo", "bands"]
             )
