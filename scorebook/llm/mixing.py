@@ -43,6 +43,7 @@ BLOCK_DOCS = 1 << 12
 SHARD_BLOCKS = 256
 SEED = 1
 WORD = r"[^\x20\x09-\x0D]+"
+MADE = ("mix_shard", "mix_pass", "mix_order")
 
 
 def _size(text_col: str) -> Column:
@@ -205,12 +206,12 @@ def mix(
 ) -> DataFrame:
     """The mix itself: every taken copy with all its columns, its `mix_shard`, its `mix_pass` and `mix_order` within the shard.
 
-    Rows come partitioned by shard and sorted by order, ready to be written.
+    Columns of the documents with these three names are replaced. Rows come partitioned by shard and sorted by order, ready to be written.
     """
     sized = materialized(_sized(docs, id_col, text_col, source_col, seed), "sizes")
     sources, _, draws = _plan(sized, weights, most, block_words, block_docs, shard_blocks, seed)
     whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(source_col).alias("_source"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in MADE]).alias("_doc"), F.col(source_col).alias("_source"),
         _size(text_col).alias("_size"), _hash(id_col, text_col, seed).alias("_hash"),
     )
     a, b = placed(whole, sources).alias("a"), draws.alias("b")

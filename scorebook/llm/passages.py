@@ -85,8 +85,11 @@ def cut(
     `drop_emptied`, documents of which only blanks are left go.
     """
     at = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    gone = ranges.groupBy(F.col("id").alias("_id")).agg(F.collect_list(at).alias("_gone"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left").select(docs["*"], "_gone")
+    extra = "_gone"
+    while extra in docs.columns:
+        extra += "_"
+    gone = ranges.groupBy(F.col("id").alias(f"{extra}id")).agg(F.collect_list(at).alias(extra))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[f"{extra}id"]), "left").select(docs["*"], gone[extra])
     place = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
