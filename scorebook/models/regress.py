@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import FMRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def forest(label: str = "runs", trees: int = 100, depth: int = 30, seed: int = 4
     """Trees over all features, as deep as Spark allows unless told otherwise."""
     return RandomForestRegressor(
         featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy="all", seed=seed,
+        featureSubsetStrategy="all", seed=seed, maxMemoryInMB=1024, cacheNodeIds=True,
     )
 
 
@@ -89,35 +90,39 @@ def prediction_mse(model: Model, valid: DataFrame, label: str = "runs") -> DataF
     return mse(model.transform(valid), label, "prediction")
 
 
+class Entry(NamedTuple):
+    """One model of a comparison; a scaled one gets standardised features, the others raw ones."""
+
+    name: str
+    estimator: object | None = None
+    scaled: bool = False
+
+
 def compare(
-    train: DataFrame, valid: DataFrame, width: int, models: Mapping[str, object | None],
+    train: DataFrame, valid: DataFrame, width: int, models: Sequence[Entry],
     label: str = "runs", truncate: bool = True,
 ) -> DataFrame:
-    """(model, mse) rows. A model of None is the mean baseline.
+    """(model, mse) rows of the entries; one without an estimator is the mean baseline."""
+
+    def error(entry: Entry) -> DataFrame:
+        if entry.estimator is None:
+            return mse(mean_baseline(train, valid, label, truncate), label, "prediction")
+        fit_on, check_on = scaled if entry.scaled else (train, valid)
+        return prediction_mse(entry.estimator.fit(with_vector(fit_on)), with_vector(check_on), label)
 
-    Models with "Regression" in their name get standardised features, the
-    others raw ones.
-    """
     with kept(train, valid) as (train, valid):
         scaled = scaled_pair(train, valid, width)
-        rows = []
-        for name, estimator in models.items():
-            if estimator is None:
-                value = mse(mean_baseline(train, valid, label, truncate), label, "prediction")
-            else:
-                fit_on, check_on = scaled if "Regression" in name else (train, valid)
-                value = prediction_mse(estimator.fit(with_vector(fit_on)), with_vector(check_on), label)
-            rows.append((name, value.first()["mse"]))
+        rows = [(entry.name, error(entry).first()["mse"]) for entry in models]
         return train.sparkSession.createDataFrame(rows, "model string, mse double")
 
 
-def default_models(label: str = "runs", alpha: float = 0.1, trees: int = 100, depth: int = 30) -> dict:
-    return {
-        "Baseline (Mean)": None,
-        "Linear Regression": linear(label),
-        "Lasso Regression": lasso(alpha, label),
-        "Random Forest": forest(label, trees, depth),
-    }
+def default_models(label: str = "runs", alpha: float = 0.1, trees: int = 100, depth: int = 30) -> list[Entry]:
+    return [
+        Entry("Baseline (Mean)"),
+        Entry("Linear Regression", linear(label), scaled=True),
+        Entry("Lasso Regression", lasso(alpha, label), scaled=True),
+        Entry("Random Forest", forest(label, trees, depth)),
+    ]
 
 
 def compare_patterns(
@@ -200,8 +205,3 @@ def fit_fm(
             for side, df in (("train", train), ("valid", valid))
         ]
         return model, train.sparkSession.createDataFrame(rows, "side string, mse double")
-
-
-def vector_rows(df: DataFrame, vec: str, keys: Sequence[str]) -> DataFrame:
-    """One row per vector place: keys, pos, value."""
-    return df.select(*keys, F.posexplode(vector_to_array(vec)).alias("pos", "value"))

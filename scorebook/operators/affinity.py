@@ -20,11 +20,12 @@ STRIP_CELLS = 4_000_000
 
 
 def dot(left: Column, right: Column, width: int) -> Column:
-    """Dot product of two arrays of a known width, unrolled for code generation."""
+    """Dot product of two arrays of a known width, unrolled for code generation; another length is an error."""
     total = left[0].cast("double") * right[0].cast("double")
     for i in range(1, width):
         total = total + left[i].cast("double") * right[i].cast("double")
-    return total
+    other = F.raise_error(F.lit(f"a vector has not the length {width}")).cast("double")
+    return F.when((F.size(left) != width) | (F.size(right) != width), other).otherwise(total)
 
 
 def pair_scores(
@@ -43,22 +44,27 @@ def pair_scores(
     )
 
 
-def _block_top(top: int, digits: int):
+def _block_top(top: int):
     """Best `top` pitchers of one pitcher block for every hitter of one hitter block.
 
     Both functions are nested, so tasks get them whole and need no copy of this package.
     """
 
-    def strip_top(scores: np.ndarray) -> np.ndarray:
-        """Mask of the `top` finite scores per row; among equals the leftmost are taken."""
+    def near_top(scores: np.ndarray) -> np.ndarray:
+        """Mask of the finite scores that reach the `top` best of their row, or nearly do."""
         keep = np.isfinite(scores)
         if top < scores.shape[1]:
             kth = np.partition(scores, -top, axis=1)[:, -top][:, None]
-            above, ties = scores > kth, scores == kth
-            room = top - above.sum(axis=1, keepdims=True)
-            keep &= above | (ties & (np.cumsum(ties, axis=1) <= room))
+            keep &= scores >= kth - 1e-9 * np.maximum(1.0, np.abs(kth))
         return keep
 
+    def in_turn(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Dot products added place by place: equal vectors get equal scores in every block."""
+        total = left[:, 0] * right[:, 0]
+        for i in range(1, left.shape[1]):
+            total += left[:, i] * right[:, i]
+        return total
+
     def best(hit: pd.DataFrame, pit: pd.DataFrame) -> pd.DataFrame:
         names = ["hitter", "h_team", "pitcher", "p_team", "score"]
         if hit.empty or pit.empty:
@@ -71,12 +77,18 @@ def _block_top(top: int, digits: int):
         strip, found = max(1, STRIP_CELLS // len(pit)), []
         for start in range(0, len(hit), strip):
             part = slice(start, start + strip)
-            scores = np.round(h_vec[part] @ p_vec, digits)
+            scores = h_vec[part] @ p_vec
             scores[h_team[part][:, None] == p_team[None, :]] = -np.inf
-            rows, cols = np.nonzero(strip_top(scores))
+            rows, cols = np.nonzero(near_top(scores))
+            exact = in_turn(h_vec[part][rows], p_vec.T[cols])
+            order = np.lexsort((cols, -exact, rows))  # pitchers are sorted, so columns break ties
+            rows, cols, exact = rows[order], cols[order], exact[order]
+            first = np.searchsorted(rows, rows)
+            best_of = np.arange(len(rows)) - first < top
+            rows, cols, exact = rows[best_of], cols[best_of], exact[best_of]
             found.append(
                 pd.DataFrame(
-                    dict(zip(names, (hitter[part][rows], h_team[part][rows], pitcher[cols], p_team[cols], scores[rows, cols])))
+                    dict(zip(names, (hitter[part][rows], h_team[part][rows], pitcher[cols], p_team[cols], exact)))
                 )
             )
         return pd.concat(found, ignore_index=True)
@@ -93,7 +105,7 @@ def rank(
     stays near `block_rows` whatever the teams look like. Every hitter block
     meets every pitcher block once, as a matrix product inside one task, and
     only `top` rows per hitter leave it; those are merged by a ranked window.
-    Scores are rounded to `digits` before ranking, equal scores rank by pitcher.
+    Exact scores rank, equal ones by pitcher; shown are `digits` digits.
     A `top` at or above the number of pitchers gives the full listing.
     """
     hitters = hitters.filter("h_team is not null and h_vec is not null")
@@ -114,9 +126,10 @@ def rank(
     found = (
         left.groupBy("_hb", "_pb")
         .cogroup(right.groupBy("_hb", "_pb"))
-        .applyInPandas(_block_top(top, digits), schema)
+        .applyInPandas(_block_top(top), schema)
     )
-    return group_rank(found, ["hitter"], [F.desc("score"), "pitcher"], top)
+    ranked = group_rank(found, ["hitter"], [F.desc("score"), "pitcher"], top)
+    return ranked.withColumn("score", F.round("score", digits))
 
 
 def affinity_report(ranked: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.operators.lookup import group_rank
-from scorebook.operators.skew import salted_join, spread_hash
+from scorebook.operators.skew import salted_join
 
 SLOTS = 9
 
@@ -59,21 +59,10 @@ def running_slot(
     )
 
 
-def nested(
-    rows: DataFrame, group: Sequence[str], entry: Sequence[str], spread: Sequence[str],
-    max_entries: int = 10_000, out: str = "entries",
-) -> DataFrame:
+def nested(rows: DataFrame, group: Sequence[str], entry: Sequence[str], out: str = "entries") -> DataFrame:
     """Rows nested into one document per group, in `entry` order.
 
-    A group above `max_entries` rows becomes several documents with the same key
-    and part numbers 0, 1, …; `spread` columns should tell the rows of a group
-    apart, so that its parts get equal shares. Every row is kept.
+    Choose a group that bounds its rows by nature (a batter's plays of one
+    half-inning, the lines of one order): a document is one row of one task.
     """
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(max_entries)).alias("parts"))
-    part = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(spread_hash(spread), F.col("parts")))
-    return (
-        salted_join(rows, sizes, list(group), spread, how="inner")
-        .withColumn("part", part)
-        .groupBy(*group, "part")
-        .agg(F.array_sort(F.collect_list(F.struct(*entry))).alias(out))
-    )
+    return rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*entry))).alias(out))

@@ -13,20 +13,28 @@ from scorebook.operators.skew import salted_join
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row per key in `order`; an aggregate, so duplicates shrink before the shuffle."""
-    return _keep(df, keys, order, F.min)
+    """First row per key in `order`; each map task keeps one row per key before the shuffle."""
+    return _keep(df, keys, order, lambda c: c.asc_nulls_first())
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last row per key in `order`: later writers win."""
-    return _keep(df, keys, order, F.max)
+    return _keep(df, keys, order, lambda c: c.desc_nulls_last())
 
 
-def _keep(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
+def _keep(df: DataFrame, keys: Sequence[str], order: Sequence[str], direction) -> DataFrame:
+    """One row per key by `order`; the other columns, in turn, part rows that tie there."""
     rest = [c for c in df.columns if c not in keys and c not in order]
-    row = F.struct(*[F.col(f"`{c}`") for c in [*order, *rest]])
-    best = df.groupBy(*keys).agg(pick(row).alias("_row"))
-    return best.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_row.`{c}`") for c in df.columns])
+    by = [direction(F.col(f"`{c}`")) for c in [*order, *rest]]
+    return group_rank(df, keys, by, 1, "_rank").drop("_rank")
+
+
+def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows; a second row of a key is an error when it is read."""
+    same = Window.partitionBy(*keys)
+    second = F.raise_error(F.concat_ws(" ", F.lit("more than one row for"), *[F.col(f"`{k}`").cast("string") for k in keys]))
+    checked = F.when(F.count(F.lit(1)).over(same) > 1, second.cast("boolean")).otherwise(F.lit(True))
+    return df.withColumn("_unique", checked).filter("_unique").drop("_unique")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -38,8 +46,8 @@ def with_zero_default(
     left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str], spread: Sequence[str],
     hot_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Left lookup; a missing record reads as zeros."""
-    joined = salted_join(left, right.select(*keys, *cols), keys, spread, hot_from=hot_from)
+    """Left lookup; a missing record reads as zeros, two records of a key are an error."""
+    joined = salted_join(left, unique(right.select(*keys, *cols), keys), keys, spread, hot_from=hot_from)
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in cols})
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from scorebook.functions.classify import MEASURES, deltas
+from scorebook.operators.lookup import unique
 
 # Sorts before every order key; carries the totals known at the start.
 START = ""
@@ -22,6 +23,7 @@ def exclusive_totals(
     measures: Sequence[str],
     initial: DataFrame | None = None,
     chunk_chars: int = 8,
+    label: str | None = None,
 ) -> DataFrame:
     """Totals of `measures` per request over all changes with a smaller order key.
 
@@ -29,6 +31,8 @@ def exclusive_totals(
     `initial` holds keys and measures known before the first order key. `order`
     is a string column. A key without changes gets zeros; rows without a key or
     an order are skipped. Totals are whole numbers unless a measure is not.
+    `label` names a column of requests and changes that goes with the order key,
+    one value for each; it comes out next to it.
 
     Rows are first summed to one per (keys, order). The history of a key is then
     cut into chunks by the first `chunk_chars` characters of the order key (a
@@ -41,26 +45,27 @@ def exclusive_totals(
     kind = "long" if whole else "double"
     zero = [F.lit(0).cast(kind).alias(m) for m in measures]
     values = [F.col(m).cast(kind).alias(m) for m in measures]
-    events = requests.select(*keys, order, *zero, F.lit(1).alias("_asked")).unionByName(
-        changes.select(*keys, order, *values, F.lit(0).alias("_asked"))
+    at = [order] if label is None else [order, label]
+    events = requests.select(*keys, *at, *zero, F.lit(1).alias("_asked")).unionByName(
+        changes.select(*keys, *at, *values, F.lit(0).alias("_asked"))
     )
     if initial is not None:
         events = events.unionByName(
-            initial.select(*keys, F.lit(START).alias(order), *values, F.lit(0).alias("_asked"))
+            initial.select(*keys, *[F.lit(START).alias(c) for c in at], *values, F.lit(0).alias("_asked"))
         )
     # Both uses of `steps` below read the same columns in the same order under the
     # same filters, so Spark computes its shuffle once and reuses it.
     steps = (
         events.withColumn("_chunk", F.substring(F.col(order), 1, chunk_chars))
         .filter(F.col("_chunk").isNotNull())
-        .groupBy(*keys, "_chunk", order)
+        .groupBy(*keys, "_chunk", *at)
         .agg(F.max("_asked").alias("_asked"), *[F.sum(m).alias(m) for m in measures])
     )
 
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     within = steps.select(
-        *keys, "_chunk", order, "_asked",
+        *keys, "_chunk", *at, "_asked",
         *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(m) for m in measures],
     ).filter("_asked = 1")
     per_chunk = steps.groupBy(*keys, "_chunk").agg(
@@ -71,7 +76,7 @@ def exclusive_totals(
         *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_before_{m}") for m in measures],
     ).filter("_asked = 1")
     return within.join(before.drop("_asked"), [*keys, "_chunk"]).select(
-        *keys, order, *[(F.col(m) + F.col(f"_before_{m}")).alias(m) for m in measures]
+        *keys, *at, *[(F.col(m) + F.col(f"_before_{m}")).alias(m) for m in measures]
     )
 
 
@@ -107,26 +112,34 @@ def running_stats(
     rules: str = "literal",
     credit: str = "batting",
     order_by: str = "date",
-    chunk_chars: int = 6,
+    chunk_chars: int | None = None,
     name: str = "name",
 ) -> DataFrame:
     """Counting stats of (team, name) before each requested game.
 
+    `initial` holds one row per (team, name), a second one is an error; counting
+    columns it lacks read as 0. Chunks are months unless `chunk_chars` says otherwise.
+
     `requests` holds (game_id, team, name); `plays` the columns of
     `games.plays`, of which `name` is the one that names the batter. Adds (ab, h, tb, hr, bb, hbp, sf) to the requests.
     """
+    if chunk_chars is None:
+        chunk_chars = len("cl202503") if order_by == "file" else len("202503")
+    if initial is not None:
+        absent = {m: F.lit(0) for m in MEASURES if m not in initial.columns}
+        initial = unique(initial.withColumns(absent), ["team", "name"])
     asked = requests.select("game_id", "team", "name").distinct().withColumn(
         "_order", order_key(F.col("game_id"), order_by)
     )
     played = credited(plays.filter(F.col(name).isNotNull()), credit).select(
         order_key(F.col("game_id"), order_by).alias("_order"),
+        "game_id",
         "team",
         F.col(name).alias("name"),
         deltas(F.col("result"), rules).alias("_d"),
     )
-    changes = played.select("_order", "team", "name", *[F.col(f"_d.{m}").alias(m) for m in MEASURES])
+    changes = played.select("_order", "game_id", "team", "name", *[F.col(f"_d.{m}").alias(m) for m in MEASURES])
     totals = exclusive_totals(
-        asked, changes, ["team", "name"], "_order", MEASURES, initial, chunk_chars
+        asked, changes, ["team", "name"], "_order", MEASURES, initial, chunk_chars, label="game_id"
     )
-    restore = F.col("_order") if order_by == "file" else F.substring_index("_order", "-", -1)
-    return totals.select(restore.alias("game_id"), "team", "name", *MEASURES)
+    return totals.select("game_id", "team", "name", *MEASURES)

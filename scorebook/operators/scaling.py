@@ -30,7 +30,8 @@ def standardized(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = Non
 
 def vector_scale(df: DataFrame, vec: str, width: int) -> DataFrame:
     """As `column_scale`, for an array column of fixed width: arrays `mean` and `std`."""
-    parts = [F.col(vec)[i] for i in range(width)]
+    other = F.raise_error(F.lit(f"a vector has not the length {width}")).cast("double")
+    parts = [F.when(F.size(vec) != width, other).otherwise(F.col(vec)[i]) for i in range(width)]
     stds = [F.stddev_pop(p) for p in parts]
     return df.agg(
         F.struct(

@@ -114,7 +114,7 @@ _SPLIT = """,
     "WITH " + sql.SAMPLES + _SPLIT + " SELECT game_id, team, is_valid FROM split",
 )
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = views.stored_samples(spark, sf_dir, "A").select("game_id", "team")
+    samples = materialized(views.sample_keys(spark, sf_dir).select("game_id", "team"), "sample-keys")
     return ordering.with_holdout(samples, ["game_id", "team"])
 
 
@@ -127,7 +127,7 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def baseline_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of always answering the training mean, with and without its fraction."""
-    samples = views.stored_samples(spark, sf_dir, "A").select("game_id", "team", "runs")
+    samples = materialized(views.sample_keys(spark, sf_dir), "sample-keys")
     split = ordering.with_holdout(samples, ["game_id", "team"])
     train, valid = split.filter("not is_valid"), split.filter("is_valid")
     rows = [
@@ -144,10 +144,10 @@ _RANKED = f"""
     emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     scored AS (
       SELECT h.vec_id AS hitter, h.label AS h_team, p.vec_id AS pitcher, p.label AS p_team,
-        round(list_inner_product(h.v, p.v), 9) AS exact
+        list_inner_product(h.v, p.v) AS exact
       FROM emb h JOIN emb p ON h.label <> p.label),
     ranked AS (
-      SELECT hitter, h_team, pitcher, p_team, exact,
+      SELECT hitter, h_team, pitcher, p_team, round(exact, 9) AS exact,
         CAST(row_number() OVER (PARTITION BY hitter ORDER BY exact DESC, pitcher) AS INT) AS rank FROM scored),
     best AS (SELECT * FROM ranked WHERE rank <= {_TOP})"""
 

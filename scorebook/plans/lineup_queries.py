@@ -17,12 +17,13 @@ from scorebook.sources import games, sinks
 def _stored_documents(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Events nested into documents, written as JSON lines and read back."""
     path = scratch_path(spark, name)
-    sinks.write_games(views.documents(spark, sf_dir).drop("game_id", "part"), path)
+    sinks.write_games(views.documents(spark, sf_dir).drop("game_id"), path)
     return games.read_games(spark, path, multi_line=False)
 
 
-def _without_part(game_id: str = "game_id"):
-    return F.substring_index(game_id, "-", 1)
+def _game(document_id: str = "game_id"):
+    """The game of a document's id."""
+    return F.substring_index(document_id, "-", 1)
 
 
 @query(
@@ -37,7 +38,7 @@ def _without_part(game_id: str = "game_id"):
 def scan_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoreboards of stored documents, with runs in full-width digits."""
     stored = _stored_documents(spark, sf_dir, "games-json")
-    return games.scores(stored).withColumn("game_id", _without_part())
+    return games.scores(stored).filter("runs IS NOT NULL").withColumn("game_id", _game())
 
 
 @query(
@@ -70,7 +71,7 @@ def readable_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(DISTINCT name) AS names FROM plays GROUP BY game_id""",
 )
 def nest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents built from plays, summed up again per game over all their parts."""
+    """Documents built from plays, summed up again per game."""
     docs = views.documents(spark, sf_dir)
     line = F.explode(F.transform("text_live", lambda e: e["plays"][0]["lines"])).alias("l")
     rows = docs.select("game_id", line).select(
@@ -94,7 +95,7 @@ def unnest_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _stored_documents(spark, sf_dir, "plays-json")
     return (
         games.appearances(stored)
-        .groupBy(_without_part().alias("game_id"), "inning_no", "is_top", "slot", "name", "result")
+        .groupBy(_game().alias("game_id"), "inning_no", "is_top", "slot", "name", "result")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

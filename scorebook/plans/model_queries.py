@@ -12,10 +12,9 @@ from scorebook.plans.registry import query
 from scorebook.plans.views import table
 from scorebook.session import materialized
 
-# Sizes of the forest and of the factorisation fit in the registered queries;
-# the library defaults are larger.
-TREES, DEPTH = 20, 6
-FM = {"factors": 4, "epochs": 20, "step": 0.01, "decay": 0.0}
+# Sizes of the forest and of the factorisation fit in the registered queries.
+TREES, DEPTH = 100, 30
+FM = {"factors": 16, "epochs": 100, "step": 0.01, "decay": 0.1}
 
 
 def _one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +55,9 @@ def _split(spark: SparkSession, sf_dir: str, pattern: str) -> tuple[DataFrame, D
     samples = views.stored_samples(spark, sf_dir, pattern).select(
         "game_id", "team", F.col("runs").cast("double"), "vec"
     )
-    split = ordering.with_holdout(samples, ["game_id", "team"])
+    # The fits pass over the rows many times: they are dealt to all cores first.
+    dealt = samples.repartition(spark.sparkContext.defaultParallelism, "game_id", "team")
+    split = ordering.with_holdout(dealt, ["game_id", "team"])
     return split.filter("not is_valid"), split.filter("is_valid")
 
 

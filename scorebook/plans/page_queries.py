@@ -156,6 +156,16 @@ def _row(cells: dict, width: int, first: str = "<tr class='x'>") -> Column:
     return F.concat(*parts, F.lit("</tr>"))
 
 
+# How the pages print their rows, cell by cell; the parsers keep positions of their own.
+_PRINTED_WITH_HAND = (
+    "mark", "name", "g", "pa", "ab", "r", "h", "doubles", "triples", "hr", "tb", "rbi", "sb", "cs", "sh", "sf", "bb", "ibb", "hbp",
+)
+_PRINTED_PLAIN = (
+    "name", "g", "pa", "ab", "r", "h", "doubles", "triples", "hr", "tb", "rbi", "sb", "cs", "sh", "sf", "bb", "ibb", "hbp",
+)
+_BOX_FIRST_INNING = 9
+
+
 def _shown(col: str) -> Column:
     """A count as pages print it: grouped digits, a dash for none."""
     return F.when(F.col(col) == 0, "-").otherwise(F.format_number(F.col(col), 0))
@@ -175,7 +185,7 @@ def html_batter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = '<tr class="ststats">'
     mark = F.when(F.col("hand") == "左打", "*").when(F.col("hand") == "両打", "+").otherwise("")
     name = F.concat(F.lit("<b>　"), F.col("name").cast("string"), F.lit(" </b>"))
-    counts = {i: _shown(c) for c, i in pages.BATTER_CELLS_WITH_HAND.items() if c != "doubles"}
+    counts = {_PRINTED_WITH_HAND.index(c): _shown(c) for c in ("ab", "h", "triples", "hr", "tb", "sb", "bb", "hbp", "sf")}
     player = _row({0: mark, 1: name, **counts}, 20, start)
     total = _row({1: F.lit("計")}, 20, start)
     short = _row({}, 19, start)
@@ -191,8 +201,8 @@ def html_batter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def html_batter_rows_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layout without hands; rows that print a dash anywhere are dropped."""
-    cells = {i: F.col(c) for c, i in pages.BATTER_CELLS_PLAIN.items() if c not in ("doubles", "hbp")}
-    cells[pages.BATTER_CELLS_PLAIN["hbp"]] = F.when(F.col("hbp") == 0, "-").otherwise(F.col("hbp").cast("string"))
+    cells = {_PRINTED_PLAIN.index(c): F.col(c) for c in ("ab", "h", "triples", "hr", "tb", "bb", "sf")}
+    cells[_PRINTED_PLAIN.index("hbp")] = F.when(F.col("hbp") == 0, "-").otherwise(F.col("hbp").cast("string"))
     row = _row({**cells, 0: F.concat(F.lit("*p"), F.col("name").cast("string"))}, 18)
     head, tail = '<table class="tablefix2"><tbody>', "</tbody></table>"
     printed = views.batters(spark, sf_dir).select("team", F.concat(F.lit(head), row, F.lit(tail)).alias("html"))
@@ -267,14 +277,14 @@ def html_pitcher_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _row({0: F.lit("合計"), 2: F.lit("100%")}, 3),
         F.lit("</table>"),
     )
-    return pages.pitcher_table(both.select("team", html.alias("html")))
+    return pages.pitcher_table(both.select("team", html.alias("html")), kinds=views.PITCH_TYPES)
 
 
 @query(
     "box_score_plays",
     """SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS name, CAST(l_linenumber AS INT) AS inning_no,
       CASE l_linestatus WHEN 'F' THEN '表' ELSE '裏' END AS half, l_returnflag AS result, count(*) AS n
-    FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber <= 7 GROUP BY ALL""",
+    FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL""",
 )
 def box_score_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders printed as box scores and read back as plays.
@@ -284,16 +294,16 @@ def box_score_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *views.LINE_ORDER, "l_linestatus", "l_returnflag")
     shown = F.when(F.col("l_returnflag") == "N", "……").otherwise(F.col("l_returnflag"))
-    first = pages.BOX_FIRST_RESULT
-    innings = {first + i: F.when(F.col("l_linenumber") == i + 1, shown).otherwise("&nbsp;") for i in range(7)}
-    start = F.concat(F.lit('<tr><td class="left">'), F.col("l_partkey").cast("string"), F.lit("</td>"))
-    # The name is cell 0; `_row` prints the cells after it.
-    rest = F.substring_index(_row(innings, first + 7, "<td>name</td>"), "<td>name</td><td>0</td>", -1)
-    printed = rows.withColumn("row", F.concat(start, rest))
-    docs = lineups.nested(
-        printed, ["l_orderkey"], [*views.LINE_ORDER, "l_linestatus", "row"],
-        spread=views.LINE_ORDER,
+    # As printed: name, place, then the figures up to the first inning, and as many innings as the data has.
+    figures = F.lit("".join(f"<td>{i}</td>" for i in range(1, _BOX_FIRST_INNING)))
+    last = table(spark, sf_dir, "lineitem").agg(F.max("l_linenumber")).scalar()
+    innings = F.transform(
+        F.sequence(F.lit(1), "_last"),
+        lambda i: F.concat(F.lit("<td>"), F.when(F.col("l_linenumber") == i, shown).otherwise("&nbsp;"), F.lit("</td>")),
     )
+    name = F.concat(F.lit('<tr><td class="left">'), F.col("l_partkey").cast("string"), F.lit("</td>"))
+    printed = rows.withColumn("_last", last).withColumn("row", F.concat(name, figures, F.array_join(innings, ""), F.lit("</tr>")))
+    docs = lineups.nested(printed, ["l_orderkey"], [*views.LINE_ORDER, "l_linestatus", "row"])
 
     def side(status: str) -> Column:
         mine = F.filter("entries", lambda e: e["l_linestatus"] == status)
@@ -301,10 +311,10 @@ def box_score_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit('<table class="batter">'), F.array_join(F.transform(mine, lambda e: e["row"]), ""), F.lit("</table>")
         )
 
-    page = docs.select("l_orderkey", "part", F.concat(side("F"), side("O")).alias("html"))
+    page = docs.select("l_orderkey", F.concat(side("F"), side("O")).alias("html"))
     # Slots and plays both read the rows, so the pages are taken apart once.
-    box = materialized(pages.box_rows(page, ["l_orderkey", "part"]), "box-rows")
-    plays = pages.box_plays(box, ["l_orderkey", "part"])
+    box = materialized(pages.box_rows(page, ["l_orderkey"]), "box-rows")
+    plays = pages.box_plays(box, ["l_orderkey"])
     return plays.groupBy("l_orderkey", "name", "inning_no", F.right("inning", F.lit(1)).alias("half"), "result").agg(
         F.count(F.lit(1)).alias("n")
     )

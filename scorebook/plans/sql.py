@@ -114,7 +114,7 @@ pitchers AS (
     "pitch_MEDIUM_share" + "pitch_SMALL_share" AS breaking_group,
     "pitch_STANDARD_share" + "pitch_ECONOMY_share" AS falling_group
   FROM wide w
-  JOIN supplier ON w.name = s_suppkey AND s_acctbal >= 0
+  JOIN supplier ON w.name = s_suppkey
   JOIN (
     SELECT l_suppkey,
       count(*) FILTER (l_returnflag = 'R') * 9.0::DOUBLE / count(*) AS era,
@@ -156,14 +156,13 @@ teams AS (
 
 # Batter features of every slot, pitcher features of every team, complete line-ups.
 SAMPLES = TEAMS + "," + RATES + "," + PITCHERS + """,
-known AS (SELECT * FROM players WHERE hr > 0),
 batted AS (
   SELECT l.game_id, l.team, l.slot,
     coalesce(k.hand_code, 0)::DOUBLE AS hand, coalesce(k.avg, 0) AS avg, coalesce(k.hr, 0)::DOUBLE AS hr,
     coalesce(k.slg, 0) AS slg, coalesce(k.type_power, 0)::DOUBLE AS type_power,
     coalesce(k.type_avg, 0)::DOUBLE AS type_avg, coalesce(k.type_speed, 0)::DOUBLE AS type_speed,
     coalesce(k.type_eye, 0)::DOUBLE AS type_eye, coalesce(k.type_all, 0)::DOUBLE AS type_all
-  FROM lineup l LEFT JOIN known k ON l.name = k.name
+  FROM lineup l LEFT JOIN players k ON l.name = k.name
 ),
 means AS (
   SELECT avg(hand) AS hand, avg(era) AS era, avg(k9) AS k9, avg(hr9) AS hr9,

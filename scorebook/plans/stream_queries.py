@@ -21,7 +21,7 @@ from scorebook.streaming import ingest
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as files, taken in by a stream, read back as plays."""
     inbox, store = scratch_path(spark, "inbox"), scratch_path(spark, "games")
-    sinks.write_games(views.documents(spark, sf_dir).drop("game_id", "part"), inbox)
+    sinks.write_games(views.documents(spark, sf_dir).drop("game_id"), inbox)
     stream = ingest.game_stream(spark, inbox, multi_line=False)
     ingest.ingest(stream, store, scratch_path(spark, "ingest-checkpoint")).awaitTermination()
     stored = ingest.latest(spark, store, ["game_id"])

@@ -119,7 +119,7 @@ def type_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH " + sql.TEAMS + "," + sql.RATES + "," + sql.PITCHERS + """
     SELECT l.game_id, l.team, l.slot, coalesce(b.avg, 0.0) - coalesce(p.era, 4.0) / 10 AS power
     FROM lineup l JOIN teams t ON l.game_id = t.game_id AND l.team = t.team
-    LEFT JOIN (SELECT * FROM players WHERE hr > 0) b ON l.name = b.name
+    LEFT JOIN players b ON l.name = b.name
     LEFT JOIN pitchers p ON t.starter = p.name""",
 )
 def relative_power_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def relative_power_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     faced = salted_join(
         views.teams(spark, sf_dir), era, ["starter"], ["game_id", "team"], hot_from=views.last_lines(spark, sf_dir)
     )
-    known = views.typed_batters(spark, sf_dir).filter("hr > 0")
+    known = views.typed_batters(spark, sf_dir)
     batted = features.with_batters(
         views.slots(spark, sf_dir), known, ["avg"], keys=["name"], hot_from=views.lines(spark, sf_dir)
     )
@@ -177,10 +177,10 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     "left_join_zero_default",
     "WITH " + sql.LINEUP + "," + sql.RATES + """
     SELECT l.game_id, l.team, l.slot, coalesce(b.ab, 0) AS ab, coalesce(b.hr, 0) AS hr, coalesce(b.avg, 0) AS avg
-    FROM lineup l LEFT JOIN (SELECT * FROM players WHERE hr > 0) b ON l.name = b.name""",
+    FROM lineup l LEFT JOIN players b ON l.name = b.name""",
 )
 def left_join_zero_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = views.typed_batters(spark, sf_dir).filter("hr > 0")
+    known = views.typed_batters(spark, sf_dir)
     joined = features.with_batters(
         views.slots(spark, sf_dir), known, ["ab", "hr", "avg"], keys=["name"], hot_from=views.lines(spark, sf_dir)
     )
@@ -217,12 +217,13 @@ def last_wins_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     "last_source_wins",
     """WITH src AS (
       SELECT l_partkey AS name, l_suppkey AS team, 0 AS s, l_orderkey AS o FROM lineitem WHERE l_returnflag = 'A'
-      UNION ALL SELECT l_partkey, l_suppkey + 1000000, 1, l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+      UNION ALL SELECT l_partkey, l_suppkey + 1000000, 1, l_orderkey FROM lineitem WHERE l_returnflag = 'N'
+      UNION ALL SELECT l_partkey, l_suppkey + 2000000, 2, l_orderkey FROM lineitem WHERE l_returnflag = 'R')
     SELECT name, max(team) AS team FROM src JOIN (SELECT name, max((s, o)) AS top FROM src GROUP BY name) USING (name)
     WHERE (s, o) = top GROUP BY name""",
 )
 def last_source_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part to its last supplier; returned lines overwrite accepted ones."""
+    """Part to its last supplier; pending lines overwrite accepted ones, returned lines both."""
     rows = table(spark, sf_dir, "lineitem")
 
     def source(flag: str, shift: int) -> DataFrame:
@@ -231,7 +232,7 @@ def last_source_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return last.select(F.col("l_partkey").alias("name"), "team", "l_orderkey")
 
-    return lookup.last_source_wins([source("A", 0), source("R", 1_000_000)], "name", "team", "l_orderkey")
+    return lookup.last_source_wins([source("A", 0), source("N", 1_000_000), source("R", 2_000_000)], "name", "team", "l_orderkey")
 
 
 @query(

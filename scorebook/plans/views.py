@@ -103,16 +103,18 @@ def requests(plays_df: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events nested into game documents (the document schema, plus game_id and part).
+    """Events nested into game documents (the document schema, plus game_id).
 
-    The runs of a side are its purchases, in full-width digits. The first part
-    of a game carries the scoreboard.
+    A game here is a day of events and has no bound, so its plays are documents
+    of a natural unit: one batter in one half-inning, with both teams on every
+    document. The runs of a game, its purchases in full-width digits, stand in a
+    document of their own. The id in the url starts with the game's and a dash.
     """
     rows = plays(spark, sf_dir).withColumn(
         "lines",
         F.array(F.concat(F.col("slot").cast("string"), F.lit("番 "), F.col("name")), F.col("result")),
     )
-    nested = lineups.nested(rows, ["game_id"], ["ts", "event_id", "inning", "lines"], spread=["event_id"])
+    nested = lineups.nested(rows, ["game_id", "inning", "inning_no", "is_top", "name"], ["ts", "event_id", "lines"])
     bought = F.col("event_type") == "purchase"
     runs = table(spark, sf_dir, "events").groupBy(
         F.concat(F.lit("cl"), F.date_format("ts", "yyyyMMdd"), F.lit("01")).alias("game_id")
@@ -121,27 +123,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(bought & (F.col("user_id") % 2 == 1)).alias("_home"),
     )
 
-    def side(team: str, col: str) -> Column:
-        digits = F.translate(F.col(col).cast("string"), text.ASCII_DIGITS, text.FULLWIDTH_DIGITS)
+    def side(team: str, runs_: Column) -> Column:
+        digits = F.translate(runs_.cast("string"), text.ASCII_DIGITS, text.FULLWIDTH_DIGITS)
         return F.struct(F.lit(team).alias("team"), digits.alias("R"))
 
+    def url(*parts: Column) -> Column:
+        return F.concat(F.lit("/score/"), F.concat_ws("-", "game_id", *parts), F.lit(".html")).alias("url")
+
+    def board(visitor: Column, home: Column) -> Column:
+        return F.array(side(VISITOR, visitor), side(HOME, home)).alias("scoreboard")
+
     no_pregame = F.lit(None).cast(
         "struct<lineups:array<struct<team:string,players:array<string>>>,pitchers:array<struct<team:string,name:string>>>"
     )
-    return nested.join(runs, "game_id").select(
-        "game_id",
-        "part",
-        F.concat(F.lit("/score/"), "game_id", F.lit("-"), F.col("part").cast("string"), F.lit(".html")).alias("url"),
-        F.when(F.col("part") == 0, F.array(side(VISITOR, "_visitor"), side(HOME, "_home"))).alias("scoreboard"),
-        F.transform(
-            "entries",
-            lambda e: F.struct(
-                e["inning"].alias("inning"),
-                no_pregame.alias("pregame"),
-                F.array(F.struct(e["lines"].alias("lines"))).alias("plays"),
-            ),
-        ).alias("text_live"),
+    half = F.concat(F.col("inning_no").cast("string"), F.when(F.col("is_top"), F.lit("t")).otherwise(F.lit("b")))
+    live = F.transform(
+        "entries",
+        lambda e: F.struct(
+            F.col("inning").alias("inning"),
+            no_pregame.alias("pregame"),
+            F.array(F.struct(e["lines"].alias("lines"))).alias("plays"),
+        ),
     )
+    played = nested.select("game_id", url(half, F.col("name")), board(F.lit(None), F.lit(None)), live.alias("text_live"))
+    scored = runs.select(
+        "game_id", url(F.lit("runs")), board(F.col("_visitor"), F.col("_home")),
+        F.array().cast(played.schema["text_live"].dataType).alias("text_live"),
+    )
+    return played.unionByName(scored)
 
 
 def batters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +210,7 @@ def pitch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pitchers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Season table of the suppliers in credit: rates per nine lines and pitch groups."""
+    """Season table of the suppliers: rates per nine lines and pitch groups."""
     flag = F.col("l_returnflag")
     per_nine = lambda cond: F.count_if(cond) * 9.0 / F.count(F.lit(1))
     rates = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("name")).agg(
@@ -209,14 +218,14 @@ def pitchers(spark: SparkSession, sf_dir: str) -> DataFrame:
         per_nine(flag == "A").alias("k9"),
         per_nine((flag == "R") & (F.col("l_quantity") > 45)).alias("hr9"),
     )
-    solvent = table(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select(
+    hands = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("name"),
         F.when(F.col("s_nationkey") % 2 == 0, F.lit("右投")).otherwise(F.lit("左投")).alias("hand"),
     )
     grouped = with_pitch_groups(pitch_table(spark, sf_dir), PITCH_COLUMN_GROUPS)
     shares = [f"{g}_group" for g in PITCH_COLUMN_GROUPS]
     return (
-        rates.join(solvent, "name")
+        rates.join(hands, "name")
         .join(grouped.select("team", "name", *shares), "name")
         .select("team", "name", "hand", "era", "k9", "hr9", *shares)
     )
@@ -276,9 +285,9 @@ def typed_batters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_slots(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
-    """Line-up slots with the batter features of a pattern; parts that never hit high stay unknown."""
+    """Line-up slots with the batter features of a pattern."""
     cols = features.batter_columns(pattern)
-    known = typed_batters(spark, sf_dir).filter("hr > 0")
+    known = typed_batters(spark, sf_dir)
     return features.with_batters(
         slots(spark, sf_dir), known, cols, keys=["name"], hot_from=lines(spark, sf_dir)
     )
@@ -306,6 +315,12 @@ def sequences(spark: SparkSession, sf_dir: str, pattern: str = "A") -> DataFrame
     )
 
 
+def sample_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(game_id, team, runs) of the samples, without their features."""
+    full = slots(spark, sf_dir).groupBy("game_id", "team").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == K)
+    return teams(spark, sf_dir).select("game_id", "team", "runs").join(full.drop("_n"), ["game_id", "team"])
+
+
 def stored_samples(spark: SparkSession, sf_dir: str, pattern: str = "A") -> DataFrame:
     """`flat_samples` assembled once and stored, for splits and fits that read them often."""
     return materialized(flat_samples(spark, sf_dir, pattern), f"samples-{pattern}")

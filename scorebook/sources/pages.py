@@ -6,13 +6,15 @@ of this is narrow until rows are pivoted or nested.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.functions import text
 from scorebook.functions.rates import share_column
 from scorebook.operators.lineups import SLOTS, first_k_distinct, running_slot
-from scorebook.operators.summary import kinds_of, pivot_shares
+from scorebook.operators.summary import pivot_shares
 from scorebook.session import materialized
 
 # Cell positions of the season tables.
@@ -194,17 +196,25 @@ def pitch_mix(pages: DataFrame, keys=("team",)) -> DataFrame:
     )
 
 
-def pitcher_table(pages: DataFrame, keys=("team",)) -> DataFrame:
-    """Rates with one share column per pitch type seen; pitches a pitcher lacks are 0.
+def pitcher_table(pages: DataFrame, keys=("team",), kinds: Sequence[str] | None = None) -> DataFrame:
+    """Rates with the pitch mix: one share column per given kind, 0 for pitches a pitcher lacks.
 
-    A pitcher with a share that is no number is left out.
+    Without `kinds` the mix is one map column `shares` from pitch type to share,
+    so that no list of all types is needed. A pitcher with a share that is no
+    number is left out.
     """
     mix = pitch_mix(pages, keys)
-    unreadable = mix.filter("share is null").select(*keys, "name").distinct()
-    wide = pivot_shares(mix, [*keys, "name"], "pitch_type", "share", kinds_of(mix, "pitch_type"), share_column)
-    shares = [c for c in wide.columns if c not in (*keys, "name")]
-    rated = pitcher_rates(pages, keys).join(unreadable, [*keys, "name"], "left_anti")
-    return rated.join(wide, [*keys, "name"], "left").na.fill(0.0, shares)
+    names = [*keys, "name"]
+    unreadable = mix.filter("share is null").select(*names).distinct()
+    rated = pitcher_rates(pages, keys).join(unreadable, names, "left_anti")
+    if kinds is not None:
+        wide = pivot_shares(mix, names, "pitch_type", "share", kinds, share_column)
+        return rated.join(wide, names, "left").na.fill(0.0, [share_column(k) for k in kinds])
+    # One entry per type: a pitcher's types are a handful.
+    best = mix.groupBy(*names, "pitch_type").agg(F.max("share").alias("share"))
+    maps = best.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("pitch_type", "share"))).alias("shares"))
+    none = F.create_map().cast("map<string,double>")
+    return rated.join(maps, names, "left").withColumn("shares", F.coalesce("shares", none))
 
 
 def box_rows(pages: DataFrame, keys=("url",)) -> DataFrame:

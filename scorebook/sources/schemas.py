@@ -29,7 +29,4 @@ CANONICAL = {
     "K/9": "k9", "HR/9": "hr9", "G": "g", "IP": "ip", "SO": "so",
     "AVG": "avg", "SLG": "slg", "IsoD": "isod",
 }
-# Columns of the batter season table in file order.
-BATTER_HEADER = ("team", "name", "Hand", "AB", "H", "2B", "3B", "HR", "TB", "SB", "BB", "HBP", "SF")
-PITCHER_COUNTS_HEADER = ("team", "name", "G", "IP", "H", "HR", "SO", "ERA")
 TEXT_COLUMNS = ("team", "name", "hand")

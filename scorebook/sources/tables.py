@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +28,31 @@ def canonical(df: DataFrame, names: Mapping[str, str] = CANONICAL) -> DataFrame:
     return df.toDF(*[names.get(c.lstrip("﻿"), c.lstrip("﻿")) for c in df.columns])
 
 
+def files_by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """The files of a path, those with equal header lines together, in the order of their headers."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    found: dict[str, list[str]] = {}
+    for row in heads.orderBy("header", "file").collect():
+        found.setdefault(row.header.lstrip("\ufeff"), []).append(unquote(row.file))
+    return list(found.values())
+
+
 def read_table(
     spark: SparkSession, path: str | list[str], numeric: str = "double", text_columns: Sequence[str] = TEXT_COLUMNS
 ) -> DataFrame:
     """A season table with its header's columns, whatever they are.
 
     Columns outside `text_columns` are numbers. The read is of plain strings, so
-    no pass over the data is spent on inference.
+    no pass over the data is spent on inference. Files with different headers
+    are read header by header; a column that a file lacks is null there.
     """
-    raw = canonical(spark.read.option("header", True).option("encoding", "UTF-8").csv(path))
+    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    groups = files_by_header(spark, path)
+    raw = seasons(*[canonical(reader.csv(files)) for files in groups]) if len(groups) > 1 else canonical(reader.csv(path))
     return raw.select(
         *[
             F.col(f"`{c}`") if c in text_columns else F.col(f"`{c}`").try_cast(numeric).alias(c)

@@ -6,21 +6,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from scorebook.functions.text import game_id_from_url
+from scorebook.sources.games import CORRUPT
 from scorebook.sources.schemas import GAME
 
 
-def game_stream(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """New game files as a stream."""
-    return (
-        spark.readStream.schema(GAME)
+def game_stream(spark: SparkSession, path: str, multi_line: bool = True, tolerant: bool = False) -> DataFrame:
+    """New game files as a stream.
+
+    As in `games.read_games`, a file that is not a document is an error; when
+    tolerant, it and documents without a scoreboard are left out.
+    """
+    reader = (
+        spark.readStream.schema(T.StructType([*GAME.fields, T.StructField(CORRUPT, T.StringType())]) if tolerant else GAME)
         .option("multiLine", multi_line)
         .option("pathGlobFilter", "*.json*")
-        .json(path)
-        .withColumn("game_id", game_id_from_url(F.col("url")))
+        .option("mode", "PERMISSIVE" if tolerant else "FAILFAST")
     )
+    if tolerant:
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+    games = reader.json(path)
+    if tolerant:
+        games = games.filter(F.col(CORRUPT).isNull() & F.col("scoreboard").isNotNull()).drop(CORRUPT)
+    return games.withColumn("game_id", game_id_from_url(F.col("url")))
 
 
 def _append_batch(store: str):

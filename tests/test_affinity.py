@@ -69,3 +69,12 @@ def test_fm_interaction_equals_the_sum_over_pairs(spark):
     for g, vs in groups.items():
         want = sum(float(vs[i] @ vs[j]) for i in range(len(vs)) for j in range(i + 1, len(vs)))
         assert abs(got[g] - want) < 1e-9
+
+
+def test_vectors_of_another_length_are_an_error(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([([1.0, 2.0, 3.0], [1.0, 1.0, 1.0])], "a array<double>, b array<double>")
+    assert df.select(affinity.dot(F.col("a"), F.col("b"), 3)).first()[0] == 6.0
+    with pytest.raises(Exception, match="has not the length 2"):
+        df.select(affinity.dot(F.col("a"), F.col("b"), 2)).collect()

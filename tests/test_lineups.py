@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from scorebook.operators import lineups
+from scorebook.plans import views
+from scorebook.sources import games
 
 
 def box(seed=0):
@@ -48,13 +50,27 @@ def test_complete_groups_only(spark):
     assert {r.g for r in lineups.complete(slots, ["g"], 9).collect()} == {"hot"}
 
 
-def test_nesting_splits_large_groups_and_keeps_every_row(spark):
+def test_nesting_keeps_every_row_in_order(spark):
     df = spark.createDataFrame(box(), "g string, pos int, name string")
-    docs = lineups.nested(df, ["g"], ["pos", "name"], spread=["pos"], max_entries=50)
-    sizes = {(r.g, r.part): len(r.entries) for r in docs.collect()}
-    assert len([k for k in sizes if k[0] == "hot"]) == 8 and ("cold", 0) in sizes
-    assert max(sizes.values()) < 100
-    back = docs.select("g", F.explode("entries").alias("e")).select("g", "e.pos", "e.name")
-    assert sorted(map(tuple, back.collect())) == sorted(box())
-    in_order = [e.pos for r in docs.collect() for e in [r.entries] for e in e]
-    assert len(in_order) == 412
+    docs = {n: lineups.nested(df.repartition(n), ["g"], ["pos", "name"]).collect() for n in (2, 5)}
+    assert sorted(docs[2]) == sorted(docs[5])
+    assert sorted((r.g, e.pos, e.name) for r in docs[2] for e in r.entries) == sorted(box())
+    assert all([e.pos for e in r.entries] == sorted(e.pos for e in r.entries) for r in docs[2])
+
+
+def test_a_game_of_very_many_plays_keeps_its_teams(spark, tmp_path):
+    n = 50_000
+    events = spark.range(n).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 97).alias("user_id"), F.lit("purchase").alias("event_type"), F.lit(1.0).alias("value"),
+        F.concat(F.lit('{"k": '), (F.col("id") % 100).cast("string"), F.lit("}")).alias("props"),
+    )
+    stored = []
+    for parts in (2, 5):
+        events.repartition(parts).write.parquet(str(tmp_path / f"{parts}/events.parquet"))
+        docs = views.documents(spark, str(tmp_path / str(parts)))
+        assert docs.select("url").distinct().count() == docs.count()
+        plays = games.plays(docs)
+        assert plays.count() == n and plays.filter("visitor is null or home is null").count() == 0
+        stored.append(sorted(docs.select("url", F.to_json("text_live").alias("live")).collect()))
+    assert stored[0] == stored[1]

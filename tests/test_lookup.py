@@ -133,3 +133,19 @@ def test_holdout_keeps_rows_of_one_key_together(spark):
     df = spark.range(300).select((F.col("id") % 7).alias("k"), "id")
     sides = ordering.with_holdout(df, ["k"]).groupBy("k").agg(F.countDistinct("is_valid").alias("n")).collect()
     assert {r.n for r in sides} == {1}
+
+
+def test_a_second_record_of_a_key_is_an_error(spark):
+    left = spark.createDataFrame([("a", 1)], "k string, i int")
+    right = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, v double")
+    with pytest.raises(Exception, match="more than one row for a"):
+        lookup.with_zero_default(left, right, ["k"], ["v"], ["i"]).collect()
+
+
+def test_keeping_one_row_needs_no_sort_aggregate(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "z"), ("a", 1, "y"), ("b", None, "w")], "k string, o int, v string")
+    for keep, want in ((lookup.keep_first, [("a", 1, "y"), ("b", None, "w")]), (lookup.keep_last, [("a", 2, "x"), ("b", None, "w")])):
+        out = keep(df, ["k"], ["o"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "WindowGroupLimit" in plan
+        assert sorted(map(tuple, out.collect())) == want

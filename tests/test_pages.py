@@ -73,9 +73,11 @@ def test_pitcher_rates_and_pitch_mix(spark):
         D=pitcher_page("2024 投手成績 21 欠 - s", mix, era="?"),
         H=pitcher_page("2024 投手成績 22 乱 - s", row(["カーブ", "1", "x%"])),
     )
-    got = {r.team: r for r in pages.pitcher_table(df).collect()}
+    got = {r.team: r for r in pages.pitcher_table(df, kinds=["ストレート", "カーブ"]).collect()}
     assert set(got) == {"G", "T"}
     g, t = got["G"], got["T"]
+    maps = {r.team: r.shares for r in pages.pitcher_table(df).collect()}
+    assert maps == {"G": {"ストレート": 55.5}, "T": {"カーブ": 9.0}}
     assert (g.name, g.hand, g.era, g.k9, g.hr9) == ("菅野 智之", "左投", 9.99, 9.1, 0.0)
     assert (g["pitch_ストレート_share"], g["pitch_カーブ_share"], t["pitch_カーブ_share"]) == (55.5, 0.0, 9.0)
     assert "pitch_フォーク_share" not in g.asDict()

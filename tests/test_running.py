@@ -104,3 +104,27 @@ def test_unknown_modes_are_errors(spark):
         running.credited(df, "nobody")
     with pytest.raises(ValueError):
         running.order_key(F.col("id"), "random")
+
+
+def test_ids_with_dashes_come_back_whole(spark):
+    games = ["cl2025032802-1t-u1", "cl2025032802-1t-u2", "cl2025032901-x"]
+    plays = spark.createDataFrame(
+        [(g, "A", "B", True, "u", "左安") for g in games], "game_id string, visitor string, home string, is_top boolean, name string, result string"
+    )
+    asked = spark.createDataFrame([(g, t, "u") for g in games for t in "AB"], "game_id string, team string, name string")
+    for order_by in ("date", "file"):
+        for credit in ("batting", "both", "last"):
+            got = running.running_stats(asked, plays, credit=credit, order_by=order_by).collect()
+            assert sorted({r.game_id for r in got}) == games
+            side = "B" if credit == "last" else "A"
+            assert [r.h for r in sorted(got) if r.team == side] == [0, 1, 2]
+
+
+def test_starting_totals_may_lack_columns_but_not_repeat(spark):
+    plays = spark.createDataFrame([("cl2025032801", "A", "B", True, "u", "左安")], "game_id string, visitor string, home string, is_top boolean, name string, result string")
+    asked = spark.createDataFrame([("cl2025032901", "A", "u")], "game_id string, team string, name string")
+    start = spark.createDataFrame([("A", "u", 5)], "team string, name string, ab int")
+    got = running.running_stats(asked, plays, start).first()
+    assert (got.ab, got.h, got.bb) == (6, 1, 0)
+    with pytest.raises(Exception, match="more than one row for A u"):
+        running.running_stats(asked, plays, start.union(start)).collect()

@@ -120,3 +120,11 @@ def test_a_cluster_session_without_a_shared_folder_is_an_error():
 
     with pytest.raises(ValueError):
         session.shared_dir(Session())
+
+
+def test_files_with_different_headers_keep_their_columns_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("﻿team,AB,H\nx,4,1\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("team,H,AB\ny,2,5\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("team,AB,H,HR\nz,6,3,1\n", encoding="utf-8")
+    got = sorted(map(tuple, tables.read_table(spark, str(tmp_path)).select("team", "ab", "h", "hr").collect()))
+    assert got == [("x", 4.0, 1.0, None), ("y", 5.0, 2.0, None), ("z", 6.0, 3.0, 1.0)]
