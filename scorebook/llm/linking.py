@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.llm.components import components
+from scorebook.llm.minhash import SKETCH_BITS
 from scorebook.session import materialized
 
 BITS = 1 << 26
 
 
+LEADS = 2
+
+
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """(key, lead) of the keys that two or more different nodes hold; the lead is the smallest. Summed before the shuffle."""
-    groups = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-    return groups.where("lead < last").select("key", "lead")
+    """The keys that two or more different nodes hold; summed before the shuffle."""
+    groups = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    return groups.where("low < high").select("key")
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Every node of a bucket with the leads of the bucket, as pairs (a, b), a below b.
+
+    The leads are drawn by hash, other ones for every key, so that a node which
+    sits in many buckets meets many different partners.
+    """
+    drawn = [F.min_by("node", F.xxhash64("key", F.lit(i), "node")).alias(f"_{i}") for i in range(LEADS)]
+    leads = members.groupBy("key").agg(*drawn).select("key", F.array_distinct(F.array(*[f"_{i}" for i in range(LEADS)])).alias("leads"))
+    met = members.join(leads, "key").select("node", F.explode("leads").alias("lead")).where("node != lead")
+    return met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
@@ -42,33 +61,73 @@ def contains(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def open_pairs(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket, differ in component, and are close enough in size to be linked."""
+def possible(rows: DataFrame, hash_: Column, wanted: DataFrame, wanted_hash: Column) -> DataFrame:
+    """The rows whose hash may be among the wanted ones: for skipping rows with long texts before a join shuffles them."""
+    context = rows.sparkSession.sparkContext
+    bits = context.broadcast(bitmap(wanted.select(wanted_hash.alias("_hash")), "_hash"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(batch.num_columns - 1).to_numpy()
+            out = batch.select(range(batch.num_columns - 1)).filter(pa.array(contains(bits.value, hashes.view(np.uint64))))
+            if out.num_rows:
+                yield out
+
+    return rows.withColumn("_hash", hash_).mapInArrow(run, rows.schema)
+
+
+def most_differing(percent: int, sigmas: float) -> int:
+    """Bits in which the sketches of two sets at this similarity differ at most, but for `sigmas` deviations."""
+    share = (1 - percent / 100) / 2
+    return math.ceil(SKETCH_BITS * share + sigmas * math.sqrt(SKETCH_BITS * share * (1 - share)))
+
+
+def open_pairs(
+    members: DataFrame, found: DataFrame, sketched: Callable[[DataFrame], DataFrame], percent: int, sigmas: float
+) -> DataFrame:
+    """Pairs that share a bucket, differ in component, and are close enough in size and sketch to be linked.
+
+    A pair that shares several buckets comes out of the one with the smallest key only.
+    """
     known = members.join(found, "node", "left").select(
         "key", "node", "n", F.coalesce("component", "node").alias("component")
     )
     mixed = known.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x < _y")
-    known = materialized(known.join(mixed.select("key"), "key"), "open")
+    known = materialized(known.join(mixed.select("key"), "key"), "mixed")
+    keys = known.groupBy("node").agg(F.collect_list("key").alias("keys"))  # as many as there are bands at most
+    nodes = keys.join(sketched(keys.select("node")), "node")
+    known = materialized(known.join(nodes, "node"), "open")
     x, y = known.alias("x"), known.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
+    differing = [F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(SKETCH_BITS // 64)]
     close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (
-        F.col("x.component") != F.col("y.component")
+        reduce(lambda a, b: a + b, differing) <= most_differing(percent, sigmas)
     )
-    return x.join(y, meet & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
+    other = F.col("x.component") != F.col("y.component")
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    return x.join(y, meet & other & close & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def linked(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def linked(
+    members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], sketched: Callable[[DataFrame], DataFrame],
+    percent: int, sigmas: float,
+) -> DataFrame:
     """(node, component) of every node with a confirmed link.
 
-    `members` (key, node, n, lead) are the nodes of shared buckets with their
-    sizes; `confirmed` keeps the true links of a table of pairs (a, b). Every
-    node is first compared with the lead of its buckets: one candidate per
-    member. Then the pairs whose components still differ are compared, all of
-    them, so no link between nodes that share a bucket is lost.
+    `members` (key, node, n) are the nodes of shared buckets with their set
+    sizes; `confirmed` keeps the true links of a table of pairs (a, b), `sketched`
+    gives the sketches (node, bits) of a table of nodes. Every node is first compared with the leads
+    of its buckets, a fixed number of candidates per member. A large group of
+    near copies becomes one component by that even if most of its pairs are no
+    links. Then the pairs whose components still differ are compared, all of them
+    whose sketches do not rule out a link by `sigmas` deviations.
     """
-    stars = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    stars = materialized(star_pairs(members), "stars")
     links = materialized(confirmed(stars), "links")
-    found = components(links)
-    rest = open_pairs(members, found, percent).join(stars, ["a", "b"], "left_anti")
+    found = materialized(components(links), "components")
+    rest = open_pairs(members, found, sketched, percent, sigmas).join(stars, ["a", "b"], "left_anti")
     more = materialized(confirmed(rest), "links")
-    return components(links.unionByName(more)) if more.take(1) else found
+    if not more.take(1):
+        return found
+    known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))  # stands for all links so far
+    return components(known.unionByName(more))

@@ -5,6 +5,10 @@ well mixed, so its low bits are that place). The second gives every place a
 rank. Coordinate k is the smallest rank among the places of the set, each moved
 on by k. The ranks a place meets under all shifts are neighbours in the rank
 table, so one gather of a slice per shingle yields all coordinates.
+
+`binned` is the cheaper kind for very many short sets: a hash function deals the
+shingles into bins and keeps the smallest hash of each, so a shingle costs one
+step per function and not one per coordinate.
 """
 
 from __future__ import annotations
@@ -47,6 +51,46 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return H.mix((cut * _weights(bands, rows)).sum(axis=-1, dtype=np.uint64) + H.stream(9, bands))
 
 
+def binned(shingles: np.ndarray, owner: np.ndarray, n: int, bins: int, functions: int) -> np.ndarray:
+    """Smallest hash of every set, bin and function (sets, bins, functions); `owner` is the set of each shingle.
+
+    An empty bin takes what the next filled one holds, changed by the distance,
+    so sets with fewer shingles than bins compare as well.
+    """
+    top = np.uint32(0xFFFFFFFF)
+    out = np.full((functions, n * bins), top, np.uint32)
+    factors = H.stream(29, functions) | np.uint64(1)
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    for i in range(0, len(shingles), 1 << 16):
+        part, first = shingles[i : i + (1 << 16)], owner[i : i + (1 << 16)] * bins
+        for f in range(functions):
+            x = part * factors[f]
+            place = first + (((x & low) * np.uint64(bins)) >> half).astype(np.int64)
+            np.minimum.at(out[f], place, (x >> half).astype(np.uint32))
+    out = out.reshape(functions, n, bins)
+    for _ in range(bins - 1):
+        missing = out == top
+        if not missing.any():
+            break
+        following = np.roll(out, -1, axis=2)
+        out = np.where(missing & (following != top), following + np.uint32(0x9E3779B1), out)
+    return out.transpose(1, 2, 0)
+
+
+def bin_keys(cut: np.ndarray) -> np.ndarray:
+    """One 64-bit key per set and bin of `binned`."""
+    _, bins, functions = cut.shape
+    return H.mix((cut.astype(np.uint64) * _weights(bins, functions)).sum(axis=-1, dtype=np.uint64) + H.stream(9, bins))
+
+
+SKETCH_BITS = 2048
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The last bit of SKETCH_BITS coordinates as 64-bit numbers: two sets differ in about half of 1 - similarity of them."""
+    return np.packbits((signature(shingles, SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def set_print(shingles: np.ndarray) -> tuple[int, int]:
     """A 128-bit fingerprint of a set of hashes that does not depend on their order."""
     hi = H.mix(shingles ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)

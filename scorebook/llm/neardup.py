@@ -8,13 +8,14 @@
    leads: a few candidates per node, not the square of the bucket.
 3. Candidates are confirmed on full shingle sets, and confirmed links merged
    into components.
-4. Nodes that share a bucket but not yet a component are compared pair by pair;
-   a group of near copies is one component by then, so these are few. No
+4. Nodes that share a bucket but not yet a component are compared pair by pair,
+   unless their 2048-bit sketches differ by SIGMAS deviations more than a link's
+   would; a group of near copies is one component by then, so these are few. No
    partner is capped, so every pair that meets in a bucket and could still
    change a component is tested.
 
 With 40 bands of 8 rows a pair at the default similarity of 0.85 is missed with
-probability 3e-6 per pair, and a pair at 0.3 meets with probability 0.003.
+probability 3e-6, by its sketches with 3e-7, and a pair at 0.3 meets with probability 0.003.
 
 Defined results: a document without words has an empty set and is linked with
 nothing (its component is its own id). Rows that share an id count as one
@@ -38,6 +39,7 @@ from scorebook.session import materialized
 WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 40, 8
+SIGMAS = 5.0
 _SHORT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -94,6 +96,18 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, shingles array<long>")
 
 
+def _sketched(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, bits) of the nodes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [minhash.sketch(s.values.to_numpy().view(np.uint64)) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bits)], ["node", "bits"])
+
+    some = sets.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").where("size(shingles) > 0")
+    return some.mapInArrow(run, "node long, bits array<long>").dropDuplicates(["node"])
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets share at least `percent` of their union."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -114,7 +128,7 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words:
     members = materialized(keyed.join(linking.shared_keys(keyed), "key"), "members")
     wanted = members.select(F.col("node").alias(id_col)).distinct()
     sets = materialized(_sets(docs.select(id_col, text_col).join(wanted, id_col), id_col, text_col, words), "sets")
-    return linking.linked(members, lambda pairs: confirmed(pairs, sets, percent), percent)
+    return linking.linked(members, lambda pairs: confirmed(pairs, sets, percent), lambda nodes: _sketched(sets, nodes), percent, SIGMAS)
 
 
 def find(
