@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.llm import hashing as H
-from scorebook.llm import passages
+from scorebook.llm import linking, passages
 from scorebook.session import materialized
 
 LENGTH = 50
@@ -139,6 +139,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame, lengt
                 )
 
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
+    texts = linking.possible(texts, F.xxhash64("_doc"), keys, F.xxhash64("id"))
     rows = texts.join(keys, texts["_doc"].eqNullSafe(keys["id"])).select("id", "_text", "keys")
     return rows.mapInArrow(run, "id long, pos int, hi long, lo long, again boolean")
 
@@ -157,7 +158,7 @@ def _repeats(docs: DataFrame, drawn: DataFrame, id_col: str, text_col: str, leng
         "id", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (length - 1)).alias("end"), "first_id",
         (F.col("again") | (id_ > F.col("first_id"))).alias("later"),
     )
-    keys = met.where("NOT agreed").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    keys = materialized(met.where("NOT agreed").groupBy("id").agg(F.collect_set("key").alias("keys")), "open-keys")
     found = passages.repeated(_windows(docs, id_col, text_col, keys, length, seed))
     extended = found.select("id", F.col("pos").alias("start"), (F.col("pos") + length).alias("end"), "first_id", "later")
     return settled.unionByName(extended)
