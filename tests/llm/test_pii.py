@@ -102,7 +102,7 @@ def test_the_network_finds_labelled_spans_and_crosses_windows(marked):
         start = max(0, spans[0][1] - i % 60) if spans else 0
         inside = [(k, a - start, b - start) for k, a, b in spans if a >= start and b <= start + 96]
         learned.append((t[start : start + 96], inside))
-    tagger = pii.train(learned, 60)
+    tagger = pii.train(learned, 40)
     long = ("stone river " * 10 + "call +1 (234) 555-6789 now, mail w1.u2@mail3.example.com the ") * 8
     data = np.frombuffer(long.encode(), np.uint8)
     ends = np.array([0, len(long)])
