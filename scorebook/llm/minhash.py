@@ -51,11 +51,18 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return H.mix((cut * _weights(bands, rows)).sum(axis=-1, dtype=np.uint64) + H.stream(9, bands))
 
 
+@lru_cache(maxsize=4)
+def _orders(functions: int, bins: int) -> np.ndarray:
+    """For every function and bin an order of the bins drawn by hash."""
+    return np.argsort(H.stream(31, functions * bins * bins).reshape(functions, bins, bins), axis=-1)
+
+
 def binned(shingles: np.ndarray, owner: np.ndarray, n: int, bins: int, functions: int) -> np.ndarray:
     """Smallest hash of every set, bin and function (sets, bins, functions); `owner` is the set of each shingle.
 
-    An empty bin takes what the next filled one holds, changed by the distance,
-    so sets with fewer shingles than bins compare as well.
+    An empty bin takes what the first filled one holds in an order of the bins of
+    its own, so in sets with fewer shingles than bins the bins still agree or
+    differ independently of each other.
     """
     top = np.uint32(0xFFFFFFFF)
     out = np.full((functions, n * bins), top, np.uint32)
@@ -67,13 +74,15 @@ def binned(shingles: np.ndarray, owner: np.ndarray, n: int, bins: int, functions
             x = part * factors[f]
             place = first + (((x & low) * np.uint64(bins)) >> half).astype(np.int64)
             np.minimum.at(out[f], place, (x >> half).astype(np.uint32))
-    out = out.reshape(functions, n, bins)
-    for _ in range(bins - 1):
-        missing = out == top
-        if not missing.any():
-            break
-        following = np.roll(out, -1, axis=2)
-        out = np.where(missing & (following != top), following + np.uint32(0x9E3779B1), out)
+    own = out.reshape(functions, n, bins)
+    out, orders = own.copy(), _orders(functions, bins)
+    for f in range(functions):
+        row, bin_ = np.nonzero(own[f] == top)
+        for k in range(bins):
+            if not len(row):
+                break
+            out[f, row, bin_] = found = own[f, row, orders[f, bin_, k]]
+            row, bin_ = row[found == top], bin_[found == top]
     return out.transpose(1, 2, 0)
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest_llm import Union, fold, words
 
-from scorebook.llm import lines, passages, sentences, suffixes
+from scorebook.llm import lines, minhash, passages, sentences, suffixes
 
 LAST = float("inf")
 
@@ -134,6 +134,27 @@ def test_lines_equal_a_comparison_of_all_pairs(spark):
     assert gone and {x.doc_id for x in lines.clean(docs, bands=30, rows=4, drop_emptied=True).collect()} == {i for i, _ in rows} - gone
 
 
+@pytest.mark.parametrize(("union", "shared"), [(5, 4), (10, 8), (15, 12), (50, 40)])
+def test_default_bands_of_lines_meet_at_the_threshold(union, shared):
+    n = 20_000
+    drawn = np.random.default_rng(3).integers(0, 1 << 63, (n, union)).astype(np.uint64)
+    one = (union - shared) // 2
+    keys = [
+        minhash.bin_keys(minhash.binned(s.ravel(), np.repeat(np.arange(n), s.shape[1]), n, lines.BANDS, lines.ROWS))
+        for s in (drawn[:, : shared + one], np.delete(drawn, range(shared, shared + one), axis=1))
+    ]
+    assert (~(keys[0] == keys[1]).any(axis=1)).sum() <= 2
+
+
+def test_default_parameters_link_short_lines(spark):
+    r = random.Random(21)
+    short = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(600)]
+    rows = [(i, x[:8]) for i, x in enumerate(short)] + [(1000 + i, x) for i, x in enumerate(short)]
+    assert all(lines.similar(x[:8], x) for x in short) and lines.SIGMAS >= 5
+    got = {x.doc_id: (x.n_removed, x.first_docs) for x in lines.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (0, []) if i < 1000 else (1, [i - 1000]) for i, _ in rows}
+
+
 @pytest.mark.parametrize("operator", [sentences, suffixes, lines])
 def test_nulls_repeated_rows_empty_tables_and_clashing_columns(spark, empty, clashing, operator):
     text = ".\n".join(" ".join(f"w{i}{j}" for i in range(10)) for j in range(8))
