@@ -67,6 +67,14 @@ def test_stages_do_what_their_operators_say(spark, tmp_path):
             assert {r.doc_id: r["count"] for r in docs.groupBy("doc_id").count().collect()} == taken
 
 
+def test_near_dedup_links_from_a_similarity_of_80_percent(spark):
+    words_ = [[f"w{i}x{j}" for j in range(104)] for i in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words_)]
+    rows += [(100 + i, " ".join(w[:30] + ["a"] + w[31:60] + ["b"] + w[61:])) for i, w in enumerate(words_)]  # 90 of 110 shingles
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF_DIR)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({g[2] for g in plain_groups(rows, 80)}) == list(range(40))
+
+
 def test_the_pipeline_runs_and_accepts_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 50
     for name in ("documents", "benchmark"):
