@@ -9,9 +9,9 @@ letters; equal ones go to the first in order.
 
 Training takes at most TRAIN_DOCS labelled documents of each language, those
 with the smallest hash of their id, and SAMPLES windows of each at places drawn
-by hash; at most TRAIN_ROWS documents in all, out of about SAMPLE_DOCS drawn by
-the hash of their id. Held-out documents, those with
-crc32(id) mod 3 = 1, never train. Only text and label enter the fit, only text
+by hash; at most TRAIN_ROWS documents in all. They are chosen by id among all
+labelled documents, then their passages are fetched. Held-out documents, those
+with crc32(id) mod 3 = 1, never train. Only text and label enter the fit, only text
 the prediction. The network has some ten thousand weights.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; a
@@ -38,7 +38,6 @@ WINDOW = 192
 WIDTHS = (3, 4, 5)
 FILTERS, EMBEDDING = 16, 8
 TRAIN_DOCS, TRAIN_ROWS, SAMPLES = 400, 40_000, 4
-SAMPLE_DOCS = 400_000
 EPOCHS, BATCH, RATE = 4, 128, 0.005
 _CHUNK = 256
 
@@ -150,17 +149,18 @@ def _held_out(id_col: Column) -> Column:
 
 def _training(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, most: int) -> tuple[list[str], list[str]]:
     """Labels and passages of the bounded training sample, in a fixed order."""
-    id_, text, total = F.col(id_col), F.col(text_col), max(1, docs.count())
-    drawn = F.pmod(F.xxhash64(F.lit("drawn"), id_), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_DOCS / total))
-    usable = docs.where(
-        ~_held_out(id_) & id_.isNotNull() & F.col(lang_col).isNotNull() & drawn & text.rlike(r"\p{L}")
-    )
+    id_, text = F.col(id_col), F.col(text_col)
+    usable = docs.where(~_held_out(id_) & id_.isNotNull() & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
     places = [F.pmod(F.xxhash64(id_, F.lit(k)), F.greatest(F.length(text) - WINDOW, F.lit(1))) + 1 for k in range(SAMPLES)]
     cut = F.array(*[text.substr(p.cast("int"), F.lit(WINDOW)) for p in places])
     named = usable.select(F.col(lang_col).alias("lang"), id_.alias("id"), F.xxhash64(id_).alias("h"), cut.alias("passages"))
-    by_hash = Window.partitionBy("lang").orderBy("h", "id", "passages")
-    some = named.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_lang)
-    rows = some.orderBy("r", "h", "id", "lang").limit(most).collect()
+    by_hash, by_text = Window.partitionBy("lang").orderBy("h", "id"), Window.partitionBy("lang", "id").orderBy("passages")
+    ranked = named.select("lang", "id", "h").withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_lang)
+    picked = ranked.orderBy("r", "h", "id", "lang").limit(most)  # no texts in it; a repeated id stands once for each of its rows
+    chosen = picked.groupBy("lang", "id").agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("n"))
+    met = named.join(F.broadcast(chosen), ["lang", "id"]).withColumn("k", F.row_number().over(by_text))
+    some = met.where((F.col("k") <= per_lang) & (F.col("k") <= F.col("n"))).withColumn("r", F.col("first") + F.col("k") - 1)
+    rows = some.orderBy("r", "h", "id", "lang").collect()
     pairs = [(r.lang, p) for r in rows for p in dict.fromkeys(r.passages)]
     return [x for x, _ in pairs], [x for _, x in pairs]
 

@@ -43,6 +43,18 @@ def test_label_source_and_id_do_not_enter_a_prediction(spark, labelled):
     assert {r.doc_id: r.lang_pred for r in langid.identify(changed).collect()} == before
 
 
+def test_training_sees_every_label_whatever_the_number_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 100, raising=False)
+    rows = [(i, f"text {i}", "fr" if i % 200 == 0 else "en") for i in range(2000)] + [(1, "other text", "en"), (1, "text 1", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    free = sorted((lang, t) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert ("en", "other text") in free
+    assert sorted(zip(*langid._training(docs, "doc_id", "text", "lang", 5000, 5000))) == free
+    labels, _ = langid._training(docs, "doc_id", "text", "lang", 20, 5000)
+    assert labels.count("en") == 20 and labels.count("fr") == sum(lang == "fr" for lang, _ in free)
+    assert langid._training(docs.repartition(2), "doc_id", "text", "lang", 20, 25)[0].count("en") <= 20
+
+
 def test_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identify(docs).collect()] == [("und", 0.0)]
