@@ -89,9 +89,7 @@ def open_pairs(
 
     A pair that shares several buckets comes out of the one with the smallest key only.
     """
-    known = members.join(found, "node", "left").select(
-        "key", "node", "n", F.coalesce("component", "node").alias("component")
-    )
+    known = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = known.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x < _y")
     known = materialized(known.join(mixed.select("key"), "key"), "mixed")
     keys = known.groupBy("node").agg(F.collect_list("key").alias("keys"))  # as many as there are bands at most
@@ -114,9 +112,9 @@ def linked(
 ) -> DataFrame:
     """(node, component) of every node with a confirmed link.
 
-    `members` (key, node, n) are the nodes of shared buckets with their set
-    sizes; `confirmed` keeps the true links of a table of pairs (a, b), `sketched`
-    gives the sketches (node, bits) of a table of nodes. Every node is first compared with the leads
+    `members` (key, node) are the nodes of shared buckets; `confirmed` keeps the
+    true links of a table of pairs (a, b), `sketched` gives the set sizes (without
+    repeats) and sketches (node, n, bits) of a table of nodes. Every node is first compared with the leads
     of its buckets, a fixed number of candidates per member. A large group of
     near copies becomes one component by that even if most of its pairs are no
     links. Then the pairs whose components still differ are compared, all of them

@@ -97,15 +97,16 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
 
 
 def _sketched(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, bits) of the nodes."""
+    """(node, n, bits) of the nodes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [minhash.sketch(s.values.to_numpy().view(np.uint64)) for s in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bits)], ["node", "bits"])
+            n = batch.column(1).value_lengths().cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, _lists(bits)], ["node", "n", "bits"])
 
     some = sets.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").where("size(shingles) > 0")
-    return some.mapInArrow(run, "node long, bits array<long>").dropDuplicates(["node"])
+    return some.mapInArrow(run, "node long, n long, bits array<long>").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -124,7 +125,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(node, component) of every node that has a link."""
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
     members = materialized(keyed.join(linking.shared_keys(keyed), "key"), "members")
     wanted = members.select(F.col("node").alias(id_col)).distinct()
     sets = materialized(_sets(docs.select(id_col, text_col).join(wanted, id_col), id_col, text_col, words), "sets")
@@ -144,7 +145,7 @@ def find(
     )
     of_set = (
         nodes.select("hi", "lo", "n", "node")
-        .join(_links(docs, nodes.select("node", "n", "bands"), id_col, text_col, words, percent), "node", "left")
+        .join(_links(docs, nodes.select("node", "bands"), id_col, text_col, words, percent), "node", "left")
         .select("hi", "lo", "n", F.coalesce("component", "node").alias("component"))
     )
     named = drawn.select("id", "n", "hi", "lo").join(of_set, ["hi", "lo", "n"], "left")

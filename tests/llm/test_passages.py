@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest_llm import Union, fold, words
 
-from scorebook.llm import lines, minhash, passages, sentences, suffixes
+from scorebook.llm import lines, linking, minhash, passages, sentences, suffixes
 
 LAST = float("inf")
 
@@ -155,6 +155,16 @@ def test_default_parameters_link_short_lines(spark):
     assert got == {i: (0, []) if i < 1000 else (1, [i - 1000]) for i, _ in rows}
 
 
+def test_lines_that_repeat_themselves_are_linked_without_a_lead(spark, monkeypatch):
+    drawn = linking.star_pairs
+    monkeypatch.setattr(linking, "star_pairs", lambda members: drawn(members).limit(0))
+    once = "the river bends at the old mill and turns to the wide and silent harbour of stone. "
+    rows = [(1, once.strip()), (2, (once * 3).strip()), (3, "ha " * 5 + "ha"), (4, "ha " * 40 + "ha")]
+    assert lines.similar(rows[0][1], rows[1][1]) and lines.similar(rows[2][1], rows[3][1])
+    got = {x.doc_id: (x.n_removed, x.first_docs) for x in lines.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, []), 2: (1, [1]), 3: (0, []), 4: (1, [3])}
+
+
 @pytest.mark.parametrize("operator", [sentences, suffixes, lines])
 def test_nulls_repeated_rows_empty_tables_and_clashing_columns(spark, empty, clashing, operator):
     text = ".\n".join(" ".join(f"w{i}{j}" for i in range(10)) for j in range(8))
