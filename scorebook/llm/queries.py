@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import decontaminate, langid, lines, mixing, neardup, pii, repetition, sentences, suffixes, urls
+from scorebook.llm import decontaminate, langid, lines, mixing, neardup, pii, repetition, sentences, simhash, suffixes, urls
 from scorebook.llm.registry import ORACLES, QUERIES, query, table
 from scorebook.llm import sql
 
@@ -59,3 +59,8 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup", sql.REPEATED_PASSAGES)
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.find(table(spark, sf_dir, "documents"))
+
+
+@query("op12_simhash")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.find(table(spark, sf_dir, "documents"))
