@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import decontaminate, langid, lines, mixing, neardup, pii, repetition, sentences, simhash, suffixes, urls
+from scorebook.llm import (
+    decontaminate, langid, lines, manifest, mixing, neardup, pii, repetition, sentences, simhash, suffixes, urls,
+)
 from scorebook.llm.registry import ORACLES, QUERIES, query, table
 from scorebook.llm import sql
 
@@ -61,6 +63,11 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.find(table(spark, sf_dir, "documents"))
 
 
+@query("op11_merkle_manifest", sql.MANIFEST)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.find(table(spark, sf_dir, "documents"))
+
+
 @query("op12_simhash")
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.find(table(spark, sf_dir, "documents"))

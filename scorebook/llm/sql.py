@@ -141,3 +141,51 @@ SELECT doc_id, size, total AS source_size, target, CAST(size * (passes + CASE
   WHEN before + words <= rest THEN 1 WHEN before < rest AND middle <= rest - before THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM m
 """
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC32 = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), CAST(4294967295 AS BIGINT)),
+  CAST(4294967295 AS BIGINT))"""
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, sha256({_LEAF} || {_FIELD.format("text")}) AS leaf,
+    CASE WHEN {_CRC32} % 5 = 0 THEN sha256({_LEAF} || {_FIELD.format(LOWER)}) END AS changed
+  FROM documents),
+l AS (
+  SELECT row_number() OVER () AS r, doc_id, leaf, coalesce(changed, leaf) AS other,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM d),
+up(tree, level, pos, n, node) AS (
+  SELECT tree, 0, pos, n, leaf FROM l
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM up WHERE n > 1
+  GROUP BY tree, level, pos // 16),
+sub AS (SELECT tree, node AS subroot, count(*) OVER () AS n FROM up WHERE n = 1),
+top(level, pos, n, node) AS (
+  SELECT 0, tree, n, subroot FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM top WHERE n > 1
+  GROUP BY level, pos // 16),
+walk(r, tree, level, pos, n, proof, fold) AS (
+  SELECT r, tree, 0, pos, n, '', other FROM l
+  UNION ALL
+  SELECT r, w.tree, w.level + 1, any_value(w.pos) // 16, (any_value(w.n) + 15) // 16,
+    any_value(w.proof) || coalesce(string_agg(up.node, '' ORDER BY up.pos) FILTER (up.pos <> w.pos), ''),
+    sha256(string_agg(CASE WHEN up.pos = w.pos THEN w.fold ELSE up.node END, '' ORDER BY up.pos))
+  FROM walk w JOIN up ON up.tree = w.tree AND up.level = w.level AND up.pos // 16 = w.pos // 16
+  WHERE w.n > 1 GROUP BY r, w.tree, w.level),
+rise(r, level, pos, n, proof, fold) AS (
+  SELECT r, 0, tree, sub.n, proof, fold FROM walk JOIN sub USING (tree) WHERE walk.n = 1
+  UNION ALL
+  SELECT r, w.level + 1, any_value(w.pos) // 16, (any_value(w.n) + 15) // 16,
+    any_value(w.proof) || coalesce(string_agg(top.node, '' ORDER BY top.pos) FILTER (top.pos <> w.pos), ''),
+    sha256(string_agg(CASE WHEN top.pos = w.pos THEN w.fold ELSE top.node END, '' ORDER BY top.pos))
+  FROM rise w JOIN top ON top.level = w.level AND top.pos // 16 = w.pos // 16
+  WHERE w.n > 1 GROUP BY r, w.level),
+root AS (SELECT node AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+FROM l JOIN sub USING (tree) JOIN rise USING (r) CROSS JOIN root WHERE rise.n = 1
+"""
