@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scorebook.llm import (
-    decontaminate, langid, lines, manifest, mixing, neardup, pii, repetition, sentences, simhash, suffixes, urls,
+    alignment, decontaminate, langid, lines, manifest, mixing, neardup, pii, repetition, sentences, simhash, suffixes, urls,
 )
 from scorebook.llm.registry import ORACLES, QUERIES, query, table
 from scorebook.llm import sql
@@ -71,3 +71,8 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_simhash")
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.find(table(spark, sf_dir, "documents"))
+
+
+@query("op13_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.find(table(spark, sf_dir, "documents"))
