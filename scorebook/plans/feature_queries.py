@@ -104,14 +104,9 @@ def sample_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.shape(views.flat_samples(spark, sf_dir, "A"))
 
 
-_SPLIT = """,
-    digests AS (SELECT *, md5('42:' || game_id || ':' || team) AS d FROM samples),
-    split AS (SELECT *, row_number() OVER (ORDER BY d) <= ceil(0.2::DECIMAL(10, 8) * count(*) OVER ()) AS is_valid FROM digests)"""
-
-
 @query(
     "holdout_split",
-    "WITH " + sql.SAMPLES + _SPLIT + " SELECT game_id, team, is_valid FROM split",
+    "WITH " + sql.SAMPLES + sql.SPLIT + " SELECT game_id, team, is_valid FROM split",
 )
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = materialized(views.sample_keys(spark, sf_dir).select("game_id", "team"), "sample-keys")
@@ -120,7 +115,7 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "baseline_mse",
-    "WITH " + sql.SAMPLES + _SPLIT + """,
+    "WITH " + sql.SAMPLES + sql.SPLIT + """,
     m AS (SELECT avg(runs) AS m FROM split WHERE NOT is_valid)
     SELECT 'truncated' AS baseline, round(avg((runs - trunc(m)) ** 2), 6) AS mse FROM split, m WHERE is_valid
     UNION ALL SELECT 'exact', round(avg((runs - m) ** 2), 6) FROM split, m WHERE is_valid""",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorebook.models import regress
+from scorebook.models import moments, regress
 from scorebook.operators import features, ordering, scaling
 from scorebook.plans import sql, views
 from scorebook.plans.registry import query
@@ -17,38 +17,59 @@ TREES, DEPTH = 100, 30
 FM = {"factors": 16, "epochs": 100, "step": 0.01, "decay": 0.1}
 
 
-def _one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standardised slugging of each batter as the feature, home runs as the label."""
-    scaled = scaling.standardized(views.typed_batters(spark, sf_dir).select("slg", "hr"), ["slg"])
-    return regress.with_vector(scaled.select(F.array("slg").alias("vec"), F.col("hr").cast("double").alias("runs")))
+def _moments(spark: SparkSession, sf_dir: str, pattern: str) -> tuple[moments.Moments, moments.Moments]:
+    """Moments of the training and the validation side of a pattern's samples, from one pass over them."""
+    samples = views.stored_samples(spark, sf_dir, pattern).select("game_id", "team", "runs", "vec")
+    return moments.split_moments(ordering.with_holdout(samples, ["game_id", "team"]), views.flat_width(pattern))
 
 
-_POINTS = "WITH " + sql.RATES + """, stats AS (SELECT avg(slg) AS m, stddev_pop(slg) AS s FROM typed),
-    points AS (SELECT (slg - m) / s AS x, hr::DOUBLE AS y FROM typed, stats)"""
+def _names(pattern: str) -> list[str]:
+    return features.flat_names(features.batter_columns(pattern), views.PITCHER_COLS, views.K)
 
 
-def _line(spark: SparkSession, model, digits: int) -> DataFrame:
-    rows = [(round(float(model.coefficients[0]), digits), round(float(model.intercept), digits))]
-    return spark.createDataFrame(rows, "slope double, intercept double")
+def _named(pattern: str) -> str:
+    """SQL list of the names of a pattern's places."""
+    return "[" + ", ".join(f"'{n}'" for n in _names(pattern)) + "]"
+
+
+_A, _B = (list(features.batter_columns(p)) for p in "AB")
+_ALPHA, _FINE, _PATTERN_ALPHA = 0.1, 0.005, 0.05
+_SWEEPS = 600
+_WITH = "WITH RECURSIVE " + sql.SAMPLES + sql.SPLIT
 
 
 @query(
     "ml_linear",
-    _POINTS + " SELECT round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM points",
+    _WITH + sql.gram(_A) + sql.conjugate() + f""",
+    best AS (SELECT w FROM ols ORDER BY step DESC LIMIT 1)
+    SELECT CAST(i - 1 AS INT) AS pos, ({_named("A")})[i] AS feature, round(w[i], 5) + 0 AS weight, 0.0::DOUBLE AS gradient
+    FROM best, range(1, len(w) + 1) r(i)""",
 )
 def ml_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line(spark, regress.linear().fit(_one_feature(spark, sf_dir)), 5)
+    """Least squares on the full vectors: weights, and the covariance of each feature with the residual, which is 0."""
+    train, _ = _moments(spark, sf_dir, "A")
+    return _rounded(moments.fit_rows(spark, moments.least_squares(train), _names("A")), 5)
+
+
+def _rounded(rows: DataFrame, digits: int) -> DataFrame:
+    return rows.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in ("weight", "gradient")})
+
+
+_LASSO_ROWS = """
+    SELECT CAST(i - 1 AS INT) AS pos, ({names})[i] AS feature, round(w[i], 5) + 0 AS weight,
+      round(CASE WHEN w[i] <> 0 THEN sign(w[i]) * {alpha}::DOUBLE ELSE b[i] - list_dot_product(g[i], w) END, 5) + 0 AS gradient
+    FROM best, g, range(1, len(w) + 1) r(i)"""
 
 
 @query(
     "ml_lasso",
-    _POINTS + """
-    SELECT round(CASE WHEN covar_pop(x, y) > 0 THEN 1 ELSE -1 END * greatest(abs(covar_pop(x, y)) - 0.1, 0), 4) AS slope,
-      round(avg(y), 4) AS intercept FROM points""",
+    _WITH + sql.gram(_A) + sql.sweeps(_ALPHA, _SWEEPS)
+    + f", best AS (SELECT w FROM lasso WHERE step = {_SWEEPS})" + _LASSO_ROWS.format(names=_named("A"), alpha=_ALPHA),
 )
 def ml_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One standardised feature: the weight is the covariance shrunk by the penalty."""
-    return _line(spark, regress.lasso(0.1).fit(_one_feature(spark, sf_dir)), 4)
+    """Lasso on the full vectors; the covariance with the residual is the penalty, signed, where a weight is not 0."""
+    train, _ = _moments(spark, sf_dir, "A")
+    return _rounded(moments.fit_rows(spark, moments.lasso(train, _ALPHA), _names("A")), 5)
 
 
 def _split(spark: SparkSession, sf_dir: str, pattern: str) -> tuple[DataFrame, DataFrame]:
@@ -81,30 +102,73 @@ def ml_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double, mse double")
 
 
-@query("ml_patterns")
-def ml_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regress.compare_patterns(
-        {p: (*_split(spark, sf_dir, p), views.flat_width(p)) for p in ("A", "B")}
-    )
+@query(
+    "linear_comparison",
+    _WITH + sql.gram(_A) + sql.conjugate() + sql.sweeps(_ALPHA, _SWEEPS) + f""",
+    best AS (SELECT w FROM ols ORDER BY step DESC LIMIT 1), sparse AS (SELECT w FROM lasso WHERE step = {_SWEEPS})
+    SELECT 'Baseline (Mean)' AS model, (SELECT round(avg((runs - trunc(ym)) ** 2), 5) FROM split, label WHERE is_valid) AS mse
+    UNION ALL SELECT 'Linear Regression', round({sql.valid_mse("best")}, 5)
+    UNION ALL SELECT 'Lasso Regression', round({sql.valid_mse("sparse")}, 5)""",
+)
+def linear_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hold-out errors of the baseline and of both linear models, all from one pass over the samples."""
+    train, valid = _moments(spark, sf_dir, "A")
+    return moments.compare(spark, train, valid, _ALPHA).withColumn("mse", F.round("mse", 5))
 
 
-def _lasso_model(spark: SparkSession, sf_dir: str, alpha: float):
-    train, valid = _split(spark, sf_dir, "B")
-    fit_on, _ = regress.scaled_pair(train, valid, views.flat_width("B"))
-    return regress.lasso(alpha).fit(regress.with_vector(fit_on))
+_PATTERN_ROW = """SELECT '{name}' AS pattern, CAST(len(w) AS INT) AS dims, CAST(len(list_filter(w, lambda x: x <> 0)) AS INT) AS active,
+      round({mse}, 5) AS mse FROM best{name}"""
 
 
-@query("weight_ranking")
+@query(
+    "ml_patterns",
+    _WITH + "".join(
+        sql.gram(cols, p) + sql.sweeps(_PATTERN_ALPHA, _SWEEPS, p) + f", best{p} AS (SELECT w FROM lasso{p} WHERE step = {_SWEEPS})"
+        for p, cols in (("A", _A), ("B", _B))
+    ) + " UNION ALL ".join(_PATTERN_ROW.format(name=p, mse=sql.valid_mse(f"best{p}", p)) for p in "AB"),
+)
+def ml_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lasso per pattern: width, active features and hold-out error."""
+    found = moments.compare_patterns(spark, {p: _moments(spark, sf_dir, p) for p in ("A", "B")}, _PATTERN_ALPHA)
+    return found.withColumn("mse", F.round("mse", 5))
+
+
+@query(
+    "weight_ranking",
+    _WITH + sql.gram(_B) + sql.sweeps(_FINE, _SWEEPS) + f""",
+    best AS (SELECT w FROM lasso WHERE step = {_SWEEPS}),
+    weights AS (SELECT CAST(i - 1 AS INT) AS pos, ({_named("B")})[i] AS feature, w[i] AS weight FROM best, range(1, len(w) + 1) r(i))
+    SELECT pos, feature, round(weight, 4) AS weight, round(abs(weight), 4) AS abs_weight,
+      CASE WHEN weight > 0 THEN 'プラス貢献' ELSE 'マイナス影響' END AS impact,
+      CAST(row_number() OVER (ORDER BY abs(weight) DESC, pos) AS INT) AS place,
+      printf('%-20s | 係数: %7.4f | %s', feature, round(weight, 4), impact) AS line
+    FROM weights WHERE weight <> 0""",
+)
 def weight_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-zero lasso weights by size, as report lines."""
-    model = _lasso_model(spark, sf_dir, 0.005)
-    names = features.flat_names(features.batter_columns("B"), views.PITCHER_COLS, views.K)
-    return regress.ranking_lines(regress.weight_ranking(regress.weights(spark, model, names)))
+    train, _ = _moments(spark, sf_dir, "B")
+    rows = moments.fit_rows(spark, moments.lasso(train, _FINE), _names("B")).drop("gradient")
+    ranked = regress.weight_ranking(rows)
+    placed = ranked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("abs_weight"), "pos")))  # one row per feature
+    return regress.ranking_lines(placed.withColumns({c: F.round(c, 4) for c in ("weight", "abs_weight")}))
+
+
+_LOGGED = 40
 
 
-@query("objective_history")
+@query(
+    "objective_history",
+    _WITH + sql.gram(_B) + sql.sweeps(_FINE, _LOGGED) + f"""
+    SELECT CAST(step - 1 AS INT) AS iteration,
+      round((yy - 2 * list_dot_product(w, b) + list_dot_product(w, list_transform(g, lambda row: list_dot_product(row, w)))) / 2
+        + {_FINE}::DOUBLE * list_sum(list_transform(w, lambda x: abs(x))), 7) AS objective
+    FROM lasso CROSS JOIN g WHERE step > 0""",
+)
 def objective_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regress.objective_rows(spark, _lasso_model(spark, sf_dir, 0.005))
+    """The lasso's objective after each of its first sweeps; it falls to the minimum."""
+    train, _ = _moments(spark, sf_dir, "B")
+    fit = moments.lasso(train, _FINE, sweeps=_LOGGED, tol=-1.0)
+    return moments.objective_rows(spark, fit).withColumn("objective", F.round("objective", 7))
 
 
 def _fm_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:

@@ -193,3 +193,65 @@ def flat_values(columns: list[str]) -> str:
   UNION ALL
   SELECT s.game_id, s.team, {total} + i, s.v[i + 1]
   FROM (SELECT *, {PITCHER_VALUES} AS v FROM samples) s, range(7) r(i)"""
+
+
+# The first ceil(0.2 n) samples in md5 order of their key.
+SPLIT = """,
+    digests AS (SELECT *, md5('42:' || game_id || ':' || team) AS d FROM samples),
+    split AS (SELECT *, row_number() OVER (ORDER BY d) <= ceil(0.2::DECIMAL(10, 8) * count(*) OVER ()) AS is_valid FROM digests)"""
+
+
+def gram(columns: list[str], name: str = "") -> str:
+    """Tables z (standardised samples), g (correlations and covariances with the label) of a pattern's flat vectors.
+
+    Statistics are those of the training side; a constant feature becomes zeros.
+    """
+    return f""",
+    flat{name} AS ({flat_values(columns)}),
+    vecs{name} AS (SELECT game_id, team, list(value ORDER BY pos) AS v FROM flat{name} GROUP BY ALL),
+    pts{name} AS (SELECT v, runs::DOUBLE AS y, is_valid FROM vecs{name} JOIN split USING (game_id, team)),
+    scale{name} AS (
+      SELECT list(m ORDER BY pos) AS ms, list(CASE WHEN s > 0 THEN s ELSE 1 END ORDER BY pos) AS ss FROM (
+        SELECT pos, avg(value) AS m, stddev_pop(value) AS s FROM flat{name} JOIN split USING (game_id, team)
+        WHERE NOT is_valid GROUP BY pos)),
+    label{name} AS (SELECT avg(y) AS ym, var_pop(y) AS yy FROM pts{name} WHERE NOT is_valid),
+    z{name} AS (
+      SELECT list_transform(v, lambda x, i: (x - ms[i]) / ss[i]) AS z, y - ym AS y, is_valid FROM pts{name}, scale{name}, label{name}),
+    pairs{name} AS (
+      SELECT i, j, avg(z[i] * z[j]) AS c, avg(z[i] * y) AS b
+      FROM (SELECT z, y, unnest(range(1, len(z) + 1)) AS i FROM z{name} WHERE NOT is_valid), range(1, (SELECT len(ms) + 1 FROM scale{name})) r(j)
+      GROUP BY i, j),
+    g{name} AS (
+      SELECT list(row ORDER BY i) AS g, list(b ORDER BY i) AS b, any_value(yy) AS yy FROM (
+        SELECT i, list(c ORDER BY j) AS row, any_value(b) AS b FROM pairs{name} GROUP BY i), label{name})"""
+
+
+def sweeps(alpha: float, n: int, name: str = "") -> str:
+    """Table lasso: weights after each of n sweeps of coordinate descent from zero. Needs WITH RECURSIVE."""
+    rho = "(b[j[1]::INT] - list_dot_product(g[j[1]::INT], w) + g[j[1]::INT][j[1]::INT] * w[j[1]::INT])"
+    shrunk = f"CASE WHEN g[j[1]::INT][j[1]::INT] > 1e-9 THEN sign({rho}) * greatest(abs({rho}) - {alpha}::DOUBLE, 0) / g[j[1]::INT][j[1]::INT] ELSE 0 END"
+    sweep = f"""list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j::DOUBLE]), lambda w, j:
+        list_concat(w[1:j[1]::INT - 1], [{shrunk}], w[j[1]::INT + 1:]), w)"""
+    return f""",
+    lasso{name}(step, w) AS (
+      SELECT 0, list_transform(b, lambda x: 0.0::DOUBLE) FROM g{name}
+      UNION ALL SELECT step + 1, {sweep} FROM lasso{name} CROSS JOIN g{name} WHERE step < {n})"""
+
+
+def valid_mse(weights: str, name: str = "") -> str:
+    """Error on the validation side of a table's one row of weights w."""
+    return f"(SELECT avg((y - list_dot_product(z, w)) ** 2) FROM z{name}, {weights} WHERE is_valid)"
+
+
+def conjugate(name: str = "") -> str:
+    """Table ols(step, w, r, p): conjugate gradients on the normal equations, from zero, so the shortest solution comes out."""
+    at = "list_transform(g, lambda row: list_dot_product(row, p))"
+    a = "list_dot_product(r, r) / list_dot_product(p, q)"
+    return f""",
+    ols{name}(step, w, r, p) AS (
+      SELECT 0, list_transform(b, lambda x: 0.0::DOUBLE), b, b FROM g{name}
+      UNION ALL
+      SELECT step + 1, w2, r2, list_transform(r2, lambda x, i: x + list_dot_product(r2, r2) / list_dot_product(r, r) * p[i]) FROM (
+        SELECT *, list_transform(r, lambda x, i: x - a * q[i]) AS r2, list_transform(w, lambda x, i: x + a * p[i]) AS w2 FROM (
+          SELECT *, {a} AS a FROM (SELECT ols{name}.*, {at} AS q FROM ols{name} CROSS JOIN g{name})
+          WHERE list_dot_product(r, r) > 1e-26)))"""
