@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorebook.functions.classify import MEASURES, deltas
-from scorebook.plans import sql, views
-from scorebook.plans.registry import query
+from scorebook.plans import sql, table_queries, views
+from scorebook.plans.registry import ORACLES, query
 from scorebook.plans.views import table
 from scorebook.session import scratch_path
 from scorebook.sources import games, sinks
-from scorebook.streaming import ingest
+from scorebook.streaming import asof, ingest
+from scorebook.streaming.store import KeyedStore
 
 
 @query(
@@ -19,14 +20,14 @@ from scorebook.streaming import ingest
     "WITH " + sql.PLAYS + " SELECT game_id, slot, name, result, count(*) AS n FROM plays GROUP BY ALL",
 )
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as files, taken in by a stream, read back as plays."""
-    inbox, store = scratch_path(spark, "inbox"), scratch_path(spark, "games")
+    """Documents written as files, taken in by a stream, merged by their id and read back as plays."""
+    inbox, store = scratch_path(spark, "inbox"), KeyedStore(spark, scratch_path(spark, "games"), ["game_id"])
     sinks.write_games(views.documents(spark, sf_dir).drop("game_id"), inbox)
     stream = ingest.game_stream(spark, inbox, multi_line=False)
     ingest.ingest(stream, store, scratch_path(spark, "ingest-checkpoint")).awaitTermination()
-    stored = ingest.latest(spark, store, ["game_id"])
+    store.compact()
     return (
-        games.appearances(stored)
+        games.appearances(store.read())
         .groupBy(F.substring_index("game_id", "-", 1).alias("game_id"), "slot", "name", "result")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -42,7 +43,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals per player as streaming state over the events table."""
-    store = scratch_path(spark, "totals")
+    store = KeyedStore(spark, scratch_path(spark, "totals"), ["team", "name"])
     events = (
         spark.readStream.schema(table(spark, sf_dir, "events").schema)
         .option("pathGlobFilter", "events.parquet")
@@ -56,4 +57,33 @@ def stream_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = played.select("team", "name", *[F.col(f"d.{m}").alias(m) for m in MEASURES])
     totals = ingest.running_totals(changes, ["team", "name"], MEASURES)
     ingest.store_totals(totals, store, scratch_path(spark, "totals-checkpoint")).awaitTermination()
-    return ingest.latest(spark, store, ["team", "name"])
+    return store.read()
+
+
+_FILES = 4
+
+
+@query("stream_asof_stats", ORACLES["asof_running_stats"])
+def stream_asof_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was known before each game, from a stream of shuffled micro-batches in which many plays come twice.
+
+    Plays are dealt to the files by hash, so every game is spread over all batches; a third
+    of the plays stand in a second file too. Corrected figures replace earlier ones in a keyed store.
+    """
+    source = scratch_path(spark, "shuffled-events")
+    events = table(spark, sf_dir, "events")
+    once = F.pmod(F.xxhash64("event_id"), F.lit(_FILES)).cast("int")
+    again = F.when(F.xxhash64(F.lit("again"), "event_id") % 3 == 0, F.array(once, (once + 1) % _FILES)).otherwise(F.array(once))
+    dealt = events.withColumn("_file", F.explode(again)).repartitionByRange(_FILES, "_file").drop("_file")
+    dealt.write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    played = views.plays_of(stream)
+    team = F.when(F.col("is_top"), F.col("visitor")).otherwise(F.col("home"))
+    days = played.select("name", team.alias("team"), F.explode(F.array(F.to_date("ts"), F.date_add(F.to_date("ts"), 1))).alias("day"))
+    asked = days.select("team", "name", F.concat(F.lit("cl"), F.date_format("day", "yyyyMMdd"), F.lit("01")).alias("game_id"))
+    store = KeyedStore(spark, scratch_path(spark, "asof"), ["game_id", "team", "name"])
+    found = asof.figures_before(asof.events(played, asked), table_queries.known_before(spark, sf_dir))
+    with asof.map_state(spark):
+        ingest.store_totals(found, store, scratch_path(spark, "asof-checkpoint")).awaitTermination()
+    store.compact()
+    return store.read().select("game_id", "team", "name", *MEASURES)

@@ -323,7 +323,7 @@ _ASOF = """
     GROUP BY a.game_id, a.team, a.name"""
 
 
-def _initial(spark: SparkSession, sf_dir: str) -> DataFrame:
+def known_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each player is known for before the first game: signups as hits."""
     team = F.when(F.col("user_id") % 2 == 0, F.lit("中日")).otherwise(F.lit("DeNA"))
     per_user = table(spark, sf_dir, "events").groupBy(
@@ -335,7 +335,7 @@ def _initial(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _running(spark: SparkSession, sf_dir: str, credit: str) -> DataFrame:
     played = views.plays(spark, sf_dir)
     return running.running_stats(
-        views.requests(played), played, _initial(spark, sf_dir), rules="literal", credit=credit
+        views.requests(played), played, known_before(spark, sf_dir), rules="literal", credit=credit
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from scorebook.functions.text import game_id_from_url
 from scorebook.sources.games import CORRUPT
 from scorebook.sources.schemas import GAME
+from scorebook.streaming.store import KeyedStore
 
 
 def game_stream(spark: SparkSession, path: str, multi_line: bool = True, tolerant: bool = False) -> DataFrame:
@@ -43,10 +44,17 @@ def _append_batch(store: str):
     return write
 
 
-def ingest(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Take in everything that is new and stop; run again for later files."""
+def _batch_writer(store: str | KeyedStore):
+    return store.writer() if isinstance(store, KeyedStore) else _append_batch(store)
+
+
+def ingest(stream: DataFrame, store: str | KeyedStore, checkpoint: str) -> StreamingQuery:
+    """Take in everything that is new and stop; run again for later files.
+
+    A keyed store is compacted as batches come in; a path collects the batches for `latest`.
+    """
     return (
-        stream.writeStream.foreachBatch(_append_batch(store))
+        stream.writeStream.foreachBatch(_batch_writer(store))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -66,11 +74,11 @@ def running_totals(plays: DataFrame, keys: Sequence[str], measures: Sequence[str
     return plays.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
 
 
-def store_totals(totals: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Write the keys each batch changed; read them back with `latest`."""
+def store_totals(totals: DataFrame, store: str | KeyedStore, checkpoint: str) -> StreamingQuery:
+    """Write the keys each batch changed; read them back with `latest` or from the keyed store."""
     return (
         totals.writeStream.outputMode("update")
-        .foreachBatch(_append_batch(store))
+        .foreachBatch(_batch_writer(store))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
