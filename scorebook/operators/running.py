@@ -105,6 +105,20 @@ def credited(plays: DataFrame, credit: str = "batting") -> DataFrame:
     raise ValueError(f"unknown credit {credit!r}")
 
 
+def changes(
+    plays: DataFrame, rules: str = "literal", credit: str = "batting", order_by: str = "date", name: str = "name"
+) -> DataFrame:
+    """(_order, game_id, team, name) with what each play adds to the counting stats of those it is credited to."""
+    played = credited(plays.filter(F.col(name).isNotNull()), credit).select(
+        order_key(F.col("game_id"), order_by).alias("_order"),
+        "game_id",
+        "team",
+        F.col(name).alias("name"),
+        deltas(F.col("result"), rules).alias("_d"),
+    )
+    return played.select("_order", "game_id", "team", "name", *[F.col(f"_d.{m}").alias(m) for m in MEASURES])
+
+
 def running_stats(
     requests: DataFrame,
     plays: DataFrame,
@@ -131,15 +145,7 @@ def running_stats(
     asked = requests.select("game_id", "team", "name").distinct().withColumn(
         "_order", order_key(F.col("game_id"), order_by)
     )
-    played = credited(plays.filter(F.col(name).isNotNull()), credit).select(
-        order_key(F.col("game_id"), order_by).alias("_order"),
-        "game_id",
-        "team",
-        F.col(name).alias("name"),
-        deltas(F.col("result"), rules).alias("_d"),
-    )
-    changes = played.select("_order", "game_id", "team", "name", *[F.col(f"_d.{m}").alias(m) for m in MEASURES])
     totals = exclusive_totals(
-        asked, changes, ["team", "name"], "_order", MEASURES, initial, chunk_chars, label="game_id"
+        asked, changes(plays, rules, credit, order_by, name), ["team", "name"], "_order", MEASURES, initial, chunk_chars, label="game_id"
     )
     return totals.select("game_id", "team", "name", *MEASURES)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorebook.functions.classify import MEASURES
 from scorebook.functions.rates import group_sum, relative_power, with_rates
-from scorebook.operators import features, lookup, running, summary
+from scorebook.operators import corrections, features, lookup, running, summary
 from scorebook.operators.skew import salted_join
 from scorebook.plans import sql, views
 from scorebook.plans.registry import query
@@ -358,6 +359,36 @@ def asof_credit_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _running(spark, sf_dir, "last")
 
 
+# Days of the month whose games are played again with other results.
+_CORRECTED = (3, 17)
+_CORRECTED_PLAYS = (
+    f"""corrected AS (
+      SELECT * REPLACE (CASE WHEN day(ts) IN {_CORRECTED} THEN '{{"k": ' || CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) + 7 || '}}'
+        ELSE props END AS props) FROM events),"""
+    + sql.CLASSED.replace("FROM events", "FROM corrected")
+)
+
+
+@query(
+    "asof_after_correction",
+    "WITH " + _CORRECTED_PLAYS + "," + _ASOF.format(team="CASE WHEN is_top THEN visitor ELSE home END"),
+)
+def asof_after_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept totals before each game after some stored games were overwritten; equal to computing all of them anew."""
+    events = table(spark, sf_dir, "events")
+    wrong = F.dayofmonth("ts").isin(*_CORRECTED)
+    again = events.where(wrong).withColumn("props", F.concat(F.lit('{"k": '), (views.event_key() + 7).cast("string"), F.lit("}")))
+    played = views.plays_of(events)
+    kept = corrections.PointInTime(
+        spark, scratch_path(spark, "point-in-time"), ["team", "name"], "_order", MEASURES, len("202503"), "game_id"
+    )
+    order = running.order_key(F.col("game_id"))
+    kept.build(views.requests(played).withColumn("_order", order), running.changes(played), known_before(spark, sf_dir))
+    replayed = views.plays_of(again)
+    kept.correct(replayed.select(order.alias("_order")).distinct(), running.changes(replayed))
+    return kept.totals().drop("_order")
+
+
 @query(
     "score_stats",
     "WITH " + sql.ENTRIES + """
