@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.operators.lookup import group_rank
+from scorebook.operators.ordering import dense_index
 from scorebook.operators.skew import salted_join
+from scorebook.session import materialized
 
 BLOCK_ROWS = 8192
 # Scores held at a time inside a task: a strip of hitters against a pitcher block.
@@ -132,6 +135,88 @@ def rank(
     return ranked.withColumn("score", F.round("score", digits))
 
 
+def _by_norm(side: DataFrame, name: str, vec: str, block_rows: int) -> DataFrame:
+    """Adds the vector's length and its block; blocks follow each other by falling length."""
+    norm = F.sqrt(F.aggregate(F.col(vec).cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x * x))
+    placed = dense_index(side.select(name, (-norm).alias("_down")), ["_down", name], "_place")
+    blocks = placed.select(
+        F.col(name).alias("_name"), (-F.col("_down")).alias("_norm"), F.floor(F.col("_place") / block_rows).alias("_block")
+    )
+    return side.join(blocks, F.col(name) == F.col("_name")).drop("_name")
+
+
+def _rounds(blocks: int) -> list[tuple[int, int]]:
+    """Ranges of pitcher blocks that are met together, each twice as long as the one before."""
+    out, start, size = [], 0, 1
+    while start < blocks:
+        out.append((start, min(blocks, start + size)))
+        start, size = start + size, size * 2
+    return out
+
+
+class Ranking(NamedTuple):
+    """The ranked pairs, and per round how many hitters could meet its pitcher blocks and how many had to."""
+
+    ranked: DataFrame
+    rounds: DataFrame
+
+
+def rank_by_bounds(
+    hitters: DataFrame, pitchers: DataFrame, top: int, digits: int = 9, block_rows: int = BLOCK_ROWS
+) -> Ranking:
+    """As `rank`, without meeting pitchers whose vectors are too short to matter.
+
+    A score is at most the product of both lengths. Pitcher blocks are met in
+    falling order of length, in rounds of doubling size; after each round a
+    hitter's `top`-th score so far says which later blocks can still hold a
+    better one, and it is sent to these only. Where no block can, it is done.
+    Equal scores may still change places by name, so a block is skipped only if
+    it cannot reach the `top`-th score either. The result equals `rank`'s.
+    """
+    hitters = hitters.filter("h_team is not null and h_vec is not null")
+    pitchers = pitchers.filter("p_team is not null and p_vec is not null")
+    spark = hitters.sparkSession
+    left = materialized(_by_norm(hitters, "hitter", "h_vec", block_rows), "hitters")
+    right = materialized(_by_norm(pitchers, "pitcher", "p_vec", block_rows), "pitchers")
+    # One row per block of pitchers: its longest vector.
+    lengths = right.groupBy(F.col("_block").alias("_pb")).agg(F.max("_norm").alias("_longest"))
+    blocks = (right.agg(F.max("_block")).first()[0] or 0) + 1
+    fields = [hitters.schema["hitter"], hitters.schema["h_team"], pitchers.schema["pitcher"], pitchers.schema["p_team"]]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", score double"
+    n_hitters, best, reported = left.count(), None, []
+    for n, (start, end) in enumerate(_rounds(blocks)):
+        asking = left.withColumn("_kth", F.lit(float("-inf")))
+        if best is not None:
+            kth = best.groupBy("hitter").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_least")).select(
+                F.col("hitter").alias("_name"), F.when(F.col("_n") >= top, F.col("_least")).otherwise(F.lit(float("-inf"))).alias("_kth")
+            )
+            asking = left.join(kth, F.col("hitter") == F.col("_name"), "left").drop("_name").withColumn(
+                "_kth", F.coalesce("_kth", F.lit(float("-inf")))
+            )
+        here = lengths.where((F.col("_pb") >= start) & (F.col("_pb") < end))
+        ahead = here.agg(F.sort_array(F.collect_list(F.struct("_pb", "_longest")))).scalar()  # one entry per block of the round
+        # Rounding in the product of lengths must not cost a pair: the bound gets a margin.
+        can = F.filter("_ahead", lambda b: F.col("_norm") * b["_longest"] * (1 + 1e-9) + 1e-12 >= F.col("_kth"))
+        sent = asking.withColumn("_ahead", ahead).withColumn("_pb", F.explode(F.transform(can, lambda b: b["_pb"])))
+        sent = materialized(sent.drop("_ahead", "_kth"), "asking")
+        reported.append((n, end - start, n_hitters, sent.count()))
+        pairs = sent.select(F.col("_block").alias("_hb"), "_pb").distinct()
+        facing = right.withColumn("_pb", F.col("_block")).join(pairs, "_pb").drop("_block", "_norm")
+        found = (
+            sent.withColumnRenamed("_block", "_hb").drop("_norm").groupBy("_hb", "_pb")
+            .cogroup(facing.groupBy("_hb", "_pb"))
+            .applyInPandas(_block_top(top), schema)
+        )
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best = materialized(group_rank(found, ["hitter"], [F.desc("score"), "pitcher"], top), "best")
+    report = spark.createDataFrame(
+        [(n, size, total * size, met, total * size - met) for n, size, total, met in reported],
+        "round int, blocks int, possible long, met long, skipped long",
+    )
+    return Ranking(best.withColumn("score", F.round("score", digits)), report)
+
+
 def affinity_report(ranked: DataFrame) -> DataFrame:
     """Report lines (hitter, line_no, line): a heading, one line per pitcher, a rule."""
     body = F.struct(

@@ -162,6 +162,17 @@ def affinity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir)
 
 
+@query(
+    "affinity_by_bounds",
+    "WITH " + _RANKED + " SELECT hitter, h_team, pitcher, p_team, rank, exact AS score FROM best",
+)
+def affinity_by_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking, over blocks in falling order of length that are skipped where no score can reach the tenth."""
+    return affinity.rank_by_bounds(
+        views.embedded(spark, sf_dir, "hitter", "h"), views.embedded(spark, sf_dir, "pitcher", "p"), _TOP
+    ).ranked
+
+
 @query(
     "report_lines",
     "WITH " + _RANKED + """

@@ -78,3 +78,28 @@ def test_vectors_of_another_length_are_an_error(spark):
     assert df.select(affinity.dot(F.col("a"), F.col("b"), 3)).first()[0] == 6.0
     with pytest.raises(Exception, match="has not the length 2"):
         df.select(affinity.dot(F.col("a"), F.col("b"), 2)).collect()
+
+
+@pytest.mark.parametrize("top,block_rows", [(1, 8), (5, 8), (5, 1000), (30, 16), (100, 8)])
+def test_rank_by_bounds_equals_brute_force(spark, vectors, top, block_rows):
+    got = affinity.rank_by_bounds(*frames(spark, vectors), top, block_rows=block_rows)
+    assert {(r.hitter, r.pitcher, r.rank) for r in got.ranked.collect()} == brute(vectors, top)
+
+
+def test_short_vectors_are_not_met(spark):
+    rng = np.random.default_rng(7)
+    h, p = rng.normal(size=(64, 6)), rng.normal(size=(512, 6))
+    p *= (10.0 / np.arange(1, 513))[:, None]
+    same = h, p, rng.integers(0, 4, 64), rng.integers(0, 4, 512)
+    got = affinity.rank_by_bounds(*frames(spark, same), 3, block_rows=16)
+    assert {(r.hitter, r.pitcher, r.rank) for r in got.ranked.collect()} == brute(same, 3)
+    rounds = sorted(tuple(r) for r in got.rounds.collect())
+    assert [r[1] for r in rounds] == [1, 2, 4, 8, 16, 1] and rounds[0][4] == 0
+    assert all(r[2] == r[3] + r[4] for r in rounds) and sum(r[3] for r in rounds) < sum(r[2] for r in rounds) / 4
+
+
+def test_bounds_without_pitchers_and_with_equal_lengths(spark):
+    left, right = frames(spark, (np.ones((3, 2)), np.ones((9, 2)), np.zeros(3, int), np.ones(9, int)))
+    assert affinity.rank_by_bounds(left, right.limit(0), 2).ranked.count() == 0
+    got = affinity.rank_by_bounds(left, right, 2, block_rows=2).ranked.collect()
+    assert sorted((r.hitter, r.pitcher, r.rank) for r in got) == [(i, j, j + 1) for i in range(3) for j in range(2)]
