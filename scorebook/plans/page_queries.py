@@ -11,7 +11,7 @@ from scorebook.plans import sql, views
 from scorebook.plans.registry import query
 from scorebook.plans.views import table
 from scorebook.session import materialized
-from scorebook.sources import pages, urls
+from scorebook.sources import markup, pages, urls
 
 _PLAIN = """trim(replace(replace(replace(replace(replace(
   regexp_replace({x}, '<[^>]*>', '', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'))"""
@@ -55,6 +55,36 @@ def html_header_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_VOID = "('area','base','br','col','embed','hr','img','input','link','meta','source','track','wbr','script','style')"
+_TREE = rf"""
+    t AS (
+      SELECT page_id, regexp_extract_all(html,
+        '(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>|</?[a-z][^>]*>|<![^>]*>') AS tags FROM pages),
+    u AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM t),
+    n AS (
+      SELECT *, lower(regexp_extract(tag, '^</?([A-Za-z][^\s/>]*)', 1)) AS name FROM u WHERE regexp_matches(tag, '^</?[A-Za-z]')),
+    k AS (
+      SELECT *, CASE WHEN tag LIKE '</%' THEN -1 WHEN name IN {_VOID} OR tag LIKE '%/>' THEN 0 ELSE 1 END AS step FROM n),
+    opens AS (SELECT *, sum(step) OVER (PARTITION BY page_id, name ORDER BY pos) AS level FROM k),
+    closed AS (
+      SELECT o.page_id, o.pos, min(c.pos) AS close FROM opens o JOIN opens c
+        ON c.page_id = o.page_id AND c.name = o.name AND c.pos > o.pos AND c.level < o.level AND c.step = -1
+      WHERE o.step = 1 GROUP BY ALL),
+    e AS (SELECT k.page_id, k.pos, k.name, close FROM k LEFT JOIN closed c ON c.page_id = k.page_id AND c.pos = k.pos WHERE step >= 0)"""
+
+
+@query(
+    "html_tree",
+    "WITH " + _TREE + """
+    SELECT e.page_id, CAST(e.pos AS INT) AS pos, e.name, CAST(count(o.pos) AS INT) AS depth, CAST(max(o.pos) AS INT) AS parent,
+      CAST(e.close AS INT) AS close
+    FROM e LEFT JOIN e o ON o.page_id = e.page_id AND o.pos < e.pos AND o.close > e.pos GROUP BY e.page_id, e.pos, e.name, e.close""",
+)
+def html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth and parent of every element of the raw pages."""
+    return markup.tree(table(spark, sf_dir, "pages")).select("page_id", "pos", "name", "depth", "parent", "close")
+
+
 @query(
     "title_extract",
     """WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title FROM pages)
