@@ -1,7 +1,8 @@
 """From game documents and season tables to samples, models and reports.
 
 These functions string the operators together the way a season is analysed:
-read the documents once, store them as Parquet, then build features from them.
+read the documents once, land them as tables (`landing.land`), then build
+features from these. Documents that are not landed are taken as well.
 """
 
 from __future__ import annotations
@@ -16,23 +17,43 @@ from scorebook.functions.text import map_codes
 from scorebook.operators import affinity, features, lookup, running, summary
 from scorebook.operators.skew import salted_join
 from scorebook.sources import games as docs
+from scorebook.sources.landing import Landed
 
+Games = DataFrame | Landed
 
-def count_appearances(games: DataFrame, with_total: bool = True) -> DataFrame:
+
+def _samples(games: Games, k: int | None) -> DataFrame:
+    return games.samples(k) if isinstance(games, Landed) else docs.samples(games, k)
+
+
+def _plays(games: Games) -> DataFrame:
+    return games.plays() if isinstance(games, Landed) else docs.plays(games)
+
+
+def _appearances(games: Games) -> DataFrame:
+    return games.appearances() if isinstance(games, Landed) else docs.appearances(games)
+
+
+def _slots(games: Games, k: int) -> DataFrame:
+    return games.slots(k) if isinstance(games, Landed) else features.line_up_slots(docs.samples(games, k))
+
+
+def count_appearances(games: Games, with_total: bool = True) -> DataFrame:
     """Plate appearances per game, with a TOTAL row unless told otherwise."""
-    counted = docs.appearances(games)
+    counted = _appearances(games)
     if with_total:
         return summary.count_with_total(counted, "game_id")
     return counted.groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def appearance_report(games: DataFrame) -> DataFrame:
+def appearance_report(games: Games) -> DataFrame:
     """Report lines (line_no, game_id, line): games, a rule, the number of games, the total."""
     per_game = count_appearances(games, with_total=False)
     body = per_game.select(
         F.lit(0).alias("line_no"), "game_id", F.format_string("%s.json: %d打席", "game_id", "n").alias("line")
     )
-    sums = games.select("game_id").distinct().join(per_game, "game_id", "left").agg(
+    known = games.games() if isinstance(games, Landed) else games.select("game_id").distinct()
+    sums = known.join(per_game, "game_id", "left").agg(
         F.count(F.lit(1)).alias("games"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")
     )
     tail = F.array(
@@ -53,7 +74,7 @@ def classified_batters(batters: DataFrame) -> DataFrame:
 
 
 def season_samples(
-    games: DataFrame, batters: DataFrame, pitchers: DataFrame, pattern: str = "A",
+    games: Games, batters: DataFrame, pitchers: DataFrame, pattern: str = "A",
     pitcher_cols: Sequence[str] = features.PITCHER_GROUPED, layout: str = "flat", k: int = 9,
     with_power: bool = False,
 ) -> DataFrame:
@@ -64,9 +85,9 @@ def season_samples(
     (column seq). with_power adds each batter's average against the starter's
     ERA as a last batter feature; the pattern must hold avg.
     """
-    samples = docs.samples(games, k)
+    samples = _samples(games, k)
     cols = features.batter_columns(pattern)
-    slots = features.with_batters(features.line_up_slots(samples), batters, cols)
+    slots = features.with_batters(_slots(games, k), batters, cols)
     if with_power:
         era = pitchers.select(F.col("team").alias("opponent"), F.col("name").alias("starter"), "era")
         faced = salted_join(samples, era, ["opponent", "starter"], ["game_id", "team"])
@@ -79,7 +100,7 @@ def season_samples(
 
 
 def running_samples(
-    games: DataFrame, initial: DataFrame, pitchers: DataFrame | None = None, pitcher_cols: Sequence[str] = (),
+    games: Games, initial: DataFrame, pitchers: DataFrame | None = None, pitcher_cols: Sequence[str] = (),
     rules: str = "literal", credit: str = "both", order_by: str = "file", layout: str = "sequence", k: int = 9,
     name: str = "token",
 ) -> DataFrame:
@@ -91,9 +112,9 @@ def running_samples(
     With `pitchers`, the opposing starter's columns follow each batter's (and
     the batter's hand leads them when `initial` holds a numeric one).
     """
-    samples = docs.samples(games, k)
-    slots = features.line_up_slots(samples)
-    before = running.running_stats(slots, docs.plays(games), initial, rules, credit, order_by, name=name)
+    samples = _samples(games, k)
+    slots = _slots(games, k)
+    before = running.running_stats(slots, _plays(games), initial, rules, credit, order_by, name=name)
     rated = with_rates(before, "max1").select("game_id", "team", "name", *features.BATTER_PATTERNS["rates"])
     cols = features.BATTER_PATTERNS["rates"]
     filled = slots.join(rated, ["game_id", "team", "name"])

@@ -99,7 +99,12 @@ def plays(games: DataFrame) -> DataFrame:
 
 def appearances(games: DataFrame) -> DataFrame:
     """Plays that count as a plate appearance: in an inning, with a slot, a name and a result."""
-    return plays(games).filter(
+    return counted(plays(games))
+
+
+def counted(played: DataFrame) -> DataFrame:
+    """The plays that count as a plate appearance."""
+    return played.filter(
         F.col("inning").contains("回") & F.col("name").isNotNull() & F.col("result").isNotNull()
     )
 
