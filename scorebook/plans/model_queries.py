@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorebook.models import moments, regress
+from scorebook.models import moments, regress, scaler
 from scorebook.operators import features, ordering, scaling
 from scorebook.plans import sql, views
 from scorebook.plans.registry import query
 from scorebook.plans.views import table
-from scorebook.session import materialized
+from scorebook.session import materialized, scratch_path
 
 # Sizes of the forest and of the factorisation fit in the registered queries.
 TREES, DEPTH = 100, 30
@@ -153,6 +153,22 @@ def weight_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regress.ranking_lines(placed.withColumns({c: F.round(c, 4) for c in ("weight", "abs_weight")}))
 
 
+@query(
+    "scaler_applied",
+    _WITH + sql.gram(_A) + """
+    SELECT game_id, team, CAST(i - 1 AS INT) AS pos, round((v[i] - ms[i]) / ss[i], 6) + 0 AS value
+    FROM vecs JOIN split USING (game_id, team), scale, range(1, (SELECT len(ms) + 1 FROM scale)) r(i) WHERE is_valid""",
+)
+def scaler_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the training side, saved, loaded again and applied to the other side."""
+    train, valid = _split(spark, sf_dir, "A")
+    place = scratch_path(spark, "scaler")
+    scaler.Scaler(layout="vector", columns=["vec"], width=views.flat_width("A")).fit(train).save(place)
+    scaled = scaler.ScalerModel.load(place).transform(valid)
+    values = scaled.select("game_id", "team", F.posexplode("vec").alias("pos", "value"))
+    return values.withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
 _LOGGED = 40
 
 
