@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorebook.models import moments, regress, scaler
+from scorebook.models import factorization, moments, regress, scaler
 from scorebook.operators import features, ordering, scaling
 from scorebook.plans import sql, views
 from scorebook.plans.registry import query
@@ -210,3 +210,48 @@ def ml_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid, _ = _fm_samples(spark, sf_dir)
     _, errors = regress.fit_fm(train, valid, **FM)
     return errors
+
+
+_GIVEN, _NUMBERS = 4, 2
+
+
+def _players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (order, line status) as a sample: its parts as players, with repeats, two figures, and its runs."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(
+        F.collect_list("l_partkey").alias("ids"),  # an order has seven lines at most
+        F.array(F.avg("l_discount"), F.avg("l_tax")).alias("numbers"), (F.sum("l_quantity").cast("bigint") % 10).alias("runs"),
+    )
+
+
+def _given(spark: SparkSession, sf_dir: str) -> factorization.Machine:
+    value = lambda f: ((F.col("id") * 31 + 17 * f) % 41 - 20) / 100.0
+    factors = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).where("id % 10 <> 3")
+    named = factors.select("id", value(9).alias("w"), *[value(f).alias(f"v{f}") for f in range(_GIVEN)])
+    return factorization.Machine(0.5, (1.5, -2.0), named, _GIVEN)
+
+
+@query(
+    "fm_predict",
+    f"""WITH f AS (
+      SELECT p_partkey AS id, [{", ".join(f"((p_partkey * 31 + 17 * {f}) % 41 - 20) / 100.0" for f in (*range(_GIVEN), 9))}]::DOUBLE[] AS v
+      FROM part WHERE p_partkey % 10 <> 3),
+    x AS (SELECT l_orderkey, l_linestatus, avg(l_discount) AS a, avg(l_tax) AS b FROM lineitem GROUP BY ALL),
+    e AS (SELECT l_orderkey, l_linestatus, unnest(v[1:{_GIVEN}]) AS v, generate_subscripts(v[1:{_GIVEN}], 1) AS d FROM lineitem JOIN f ON id = l_partkey),
+    s AS (SELECT l_orderkey, l_linestatus, d, sum(v) AS s, sum(v * v) AS q FROM e GROUP BY ALL),
+    i AS (SELECT l_orderkey, l_linestatus, sum(s * s - q) / 2 AS inter FROM s GROUP BY ALL),
+    w AS (SELECT l_orderkey, l_linestatus, sum(v[{_GIVEN + 1}]) AS w FROM lineitem JOIN f ON id = l_partkey GROUP BY ALL)
+    SELECT l_orderkey, l_linestatus, round(0.5 + 1.5 * a - 2.0 * b + coalesce(w, 0) + coalesce(inter, 0), 6) AS prediction
+    FROM x LEFT JOIN i USING (l_orderkey, l_linestatus) LEFT JOIN w USING (l_orderkey, l_linestatus)""",
+)
+def fm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of a factorisation machine with given parameters; parts without a row count as zeros."""
+    keys = ["l_orderkey", "l_linestatus"]
+    found = factorization.predict(_players(spark, sf_dir), _given(spark, sf_dir), keys)
+    return found.select(*keys, F.round("prediction", 6).alias("prediction"))
+
+
+@query("fm_training")
+def fm_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of a machine over parts after each epoch; it falls every time."""
+    fitted = factorization.fit(_players(spark, sf_dir), ["l_orderkey", "l_linestatus"], _NUMBERS, size=8, epochs=5, step=1.0)
+    return factorization.error_rows(spark, fitted)
