@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from scorebook.functions.classify import MEASURES
 from scorebook.functions.rates import group_sum, relative_power, with_rates
-from scorebook.operators import corrections, features, lookup, running, summary
+from scorebook.operators import corrections, features, lookup, running, summary, tries
 from scorebook.operators.skew import salted_join
 from scorebook.plans import sql, views
-from scorebook.plans.registry import query
+from scorebook.plans.registry import ORACLES, query
 from scorebook.plans.views import table
 from scorebook.session import scratch_path
 from scorebook.sources.tables import read_table, write_table
@@ -269,6 +269,16 @@ def semi_known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY a.team, a.short_name HAVING count(*) = 1""",
 )
 def prefix_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.unique_prefix_match(*_short_and_full(spark, sf_dir), "team", "short_name", "full_name")
+
+
+@query("prefix_name_trie", ORACLES["prefix_name_match"])
+def prefix_name_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matches by a trie of the short names."""
+    return tries.unique_prefix_match(*_short_and_full(spark, sf_dir), "team", "short_name", "full_name")
+
+
+def _short_and_full(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
     full = part.select(F.col("p_brand").alias("team"), F.concat_ws(" ", "p_name", "p_type").alias("full_name"))
     short = part.select(F.col("p_brand").alias("team"), F.col("p_name").alias("short_name")).unionByName(
@@ -277,7 +287,7 @@ def prefix_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat_ws(" ", "p_name", F.substring("p_type", 1, 1)).alias("short_name"),
         )
     )
-    return lookup.unique_prefix_match(short, full, "team", "short_name", "full_name")
+    return short, full
 
 
 @query(

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorebook.functions import classify, text
+from scorebook.operators import tries
 from scorebook.operators.summary import count_with_total
 from scorebook.plans import sql, views
-from scorebook.plans.registry import query
+from scorebook.plans.registry import ORACLES, query
 from scorebook.plans.views import table
+from scorebook.session import scratch_path
 
 # A mark made from the account balance, to decode.
 _MARK = "CASE WHEN c_acctbal < 0 THEN '*' WHEN c_acctbal > 5000 THEN '+' ELSE '' END"
@@ -226,6 +228,15 @@ def classify_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _class_counts(spark, sf_dir, "literal")
 
 
+@query("classify_by_table", ORACLES["classify_deltas"])
+def classify_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same classes and counts with the rules read from a stored table."""
+    place = scratch_path(spark, "rules")
+    tries.rule_rows(spark, "literal").write.parquet(place)
+    found = tries.classified(views.plays(spark, sf_dir).select("result"), spark.read.parquet(place))
+    return found.groupBy("result", "cls").agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in classify.MEASURES])
+
+
 # Class of each result text in the shorthand of the logs, one by one.
 _NOTATION = {
     "左安": "H1", "二安": "H1", "左２": "H2", "右３": "H3", "左本": "HR", "二ゴ": "OUT", "三振": "OUT", "遊ゴ": "OUT",
