@@ -29,11 +29,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorebook.llm import hashing as H
-from scorebook.llm import linking, minhash
+from scorebook.llm import linking, minhash, passages
 from scorebook.session import materialized
 
 WORDS = 5
@@ -159,8 +159,17 @@ def find(
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group, with all its columns: the row of the smallest id.
 
-    Of repeated rows with that id one stays; rows without an id all stay.
+    Different texts under one id count for themselves; of repeated rows of one
+    text and id one stays, the same on every run. Rows without an id all stay.
     """
-    kept = find(docs, id_col, text_col, **options).where("kept").select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+
+    def kept(rows: DataFrame, key: str) -> DataFrame:
+        chosen = find(rows, key, text_col, **options).where("kept").select(key).distinct()
+        one = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+        rank = "_rank"
+        while rank in rows.columns:
+            rank += "_"
+        return rows.join(chosen, key, "left_semi").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).drop(rank)
+
+    named = passages.by_text(docs.where(F.col(id_col).isNotNull()), id_col, text_col, kept)
     return named.unionByName(docs.where(F.col(id_col).isNull()))

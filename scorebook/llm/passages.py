@@ -4,7 +4,7 @@ A window is a run of units (words, sentences) of one document, named by the
 document's id, the place of its first unit and a 128-bit hash of its content.
 Windows are ordered by id, then place; the first of equal windows is the one
 that stays. A null id counts as the largest; rows with equal ids are one
-document.
+document, unless `by_text` tells them apart.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorebook.llm import hashing as H
+from scorebook.operators.ordering import dense_index
+from scorebook.session import materialized
 
 LAST_ID = (1 << 63) - 1
 
@@ -31,15 +33,19 @@ def seen_before(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(windows: DataFrame) -> DataFrame:
+def repeated(windows: DataFrame, thinned: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """The windows (id, pos, hi, lo, again, …) that occur more than once, with the id of the first and whether they come later.
 
     `again` says that the window stands earlier in its own document, so the
     first one can be found from the smallest id alone. The aggregate sums before
     it shuffles; the join partition of a very frequent window can be split.
+    `thinned(windows, groups)` may leave out windows without a group before the join shuffles them.
     """
     id_ = F.coalesce("id", F.lit(LAST_ID))
     groups = windows.groupBy("hi", "lo").agg(F.min(id_).alias("first_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if thinned is not None:
+        groups = materialized(groups, "repeated")
+        windows = thinned(windows, groups)
     return windows.join(groups.drop("_n"), ["hi", "lo"]).withColumn("later", F.col("again") | (id_ > F.col("first_id")))
 
 
@@ -112,6 +118,28 @@ def cut(
     return joined.mapInArrow(run, T.StructType(docs.schema.fields))
 
 
+def by_text(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """`cut(rows, key)` with a key that no two different texts share, in the order of the ids, null last.
+
+    Where every id has one text, the id is the key. Otherwise (id, text) pairs are
+    numbered; rows that repeat one keep sharing a number, and so does what is cut out of them.
+    """
+    key, mark = "_key", "_mark"
+    while {key, mark, f"{key}id", f"{mark}of"} & set(docs.columns):
+        key, mark = key + "_", mark + "_"
+    text = F.xxhash64(F.col(text_col).isNull(), text_col)
+    pairs = docs.select(F.col(id_col).alias("id"), text.alias(mark)).distinct()
+    if not pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").take(1):
+        return cut(docs, id_col)
+    at = F.struct(F.col("id").isNull().alias("none"), "id").alias("at")
+    numbered = dense_index(pairs.select(at, mark), ["at", mark], key)
+    numbered = numbered.select(F.col("at.id").alias(f"{key}id"), F.col(mark).alias(f"{mark}of"), key)
+    marked = docs.withColumn(mark, text)
+    met = marked[id_col].eqNullSafe(numbered[f"{key}id"]) & (marked[mark] == numbered[f"{mark}of"])
+    rows = materialized(marked.join(numbered, met).select(*[marked[c] for c in docs.columns], numbered[key]), "numbered")
+    return cut(rows, key).select(*docs.columns)
+
+
 def windows_array(rows: np.ndarray, n_rows: int, **columns: np.ndarray) -> pa.ListArray:
     """Values grouped by row (sorted) as one list of structs per row."""
     ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n_rows))]).astype(np.int32)

@@ -187,6 +187,10 @@ def clean(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED
 ) -> DataFrame:
     """The documents without the words of later passages, with all their columns."""
-    drawn = _drawn(docs, id_col, text_col, length, seed)
-    found = _repeats(docs, drawn, id_col, text_col, length, seed).where("later")
-    return passages.cut(docs, found, id_col, text_col, _starts)
+
+    def cut(docs: DataFrame, key: str) -> DataFrame:
+        drawn = _drawn(docs, key, text_col, length, seed)
+        found = _repeats(docs, drawn, key, text_col, length, seed).where("later")
+        return passages.cut(docs, found, key, text_col, _starts)
+
+    return passages.by_text(docs, id_col, text_col, cut)
