@@ -147,6 +147,23 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the values of every run [start, end); starts and ends are sorted."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + _SEGMENT, side="right")))
+        b = int(ends[j - 1])
+        up, down = powers(b - a + 1)
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(values[a:b] * up[: b - a], out=sums[1:])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
+        i = j
+    return mix(out)
+
+
 def whole_windows(rows: np.ndarray, k: int, n_windows: int) -> np.ndarray:
     """True for the runs of k words that lie within one row; `rows` are word offsets."""
     if n_windows <= 0:

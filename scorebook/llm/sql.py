@@ -80,8 +80,8 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 
 _REPEATS = """
 f AS (SELECT win, min((doc_id, p)) AS first, count(*) AS n FROM g GROUP BY win HAVING count(*) > 1),
-r AS (SELECT doc_id, p, (doc_id, p) > first AS later, first[1] AS first_id FROM g JOIN f USING (win)),
-u AS (SELECT doc_id, later, first_id, unnest(range(p, p + {size})) AS x FROM r),
+r AS (SELECT doc_id, p, {size} AS size, (doc_id, p) > first AS later, first[1] AS first_id FROM g JOIN f USING (win)),
+u AS (SELECT doc_id, later, first_id, unnest(range(p, p + size)) AS x FROM r),
 s AS (
   SELECT doc_id, count(DISTINCT x) AS n_repeated, count(DISTINCT x) FILTER (later) AS n_removed,
     list_sort(list(DISTINCT first_id) FILTER (later)) AS first_docs
@@ -92,14 +92,24 @@ FROM d LEFT JOIN s USING (doc_id)
 """
 
 SENTENCE_SPANS = rf"""
-WITH d AS (
-  SELECT doc_id, list_filter(list_transform(regexp_extract_all({LOWER}, '[^.!?\n]+'),
-    lambda x: array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' ')), lambda x: x <> '') AS w FROM documents),
-g AS (
-  SELECT doc_id, p, array_to_string(w[p:p + 2], chr(10)) AS win
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)
-  WHERE len(string_split(array_to_string(w[p:p + 2], ' '), ' ')) >= 8),
-""" + _REPEATS.format(size=3, units="n_sentences")
+WITH t AS (
+  SELECT doc_id, list_transform(regexp_extract_all({LOWER}, '[^.!?\n]+'), lambda x: regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS ws
+  FROM documents),
+d AS (
+  SELECT doc_id, list_filter(list_transform(flatten(list_transform(ws, lambda s: string_split(array_to_string(list_transform(s,
+    lambda x: x || CASE WHEN len(s) > 30 AND list_sum(list_transform(string_split(regexp_replace(x, '[^\x00-\x7F]', '', 'g'), ''),
+      lambda c: ascii(c))) % 3 = 0 THEN chr(10) ELSE '' END), ' '), chr(10)))), lambda u: trim(u)), lambda u: u <> '') AS w
+  FROM t),
+n AS (
+  SELECT doc_id, p, u, sum(len(string_split(u, ' '))) OVER (PARTITION BY doc_id ORDER BY p) AS upto
+  FROM (SELECT doc_id, unnest(w) AS u, generate_subscripts(w, 1) AS p FROM d)),
+c AS (SELECT doc_id, list(u ORDER BY p) AS w, list_prepend(0, list(upto ORDER BY p)) AS c FROM n GROUP BY doc_id),
+e AS (
+  SELECT doc_id, w, p, coalesce(list_filter(range(p + 1, least(p + 36, len(w)) + 1), lambda q: c[q + 1] - c[p] >= 36)[1],
+    CASE WHEN p = 1 AND len(w) >= 2 AND c[len(w) + 1] < 36 THEN len(w) END) AS last
+  FROM (SELECT doc_id, w, c, unnest(range(1, len(w) + 1)) AS p FROM c)),
+g AS (SELECT doc_id, p, last - p + 1 AS size, array_to_string(w[p:last], chr(10)) AS win FROM e WHERE last IS NOT NULL),
+""" + _REPEATS.format(size="size", units="n_sentences")
 
 REPEATED_PASSAGES = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),

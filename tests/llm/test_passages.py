@@ -7,32 +7,35 @@ import re
 
 import numpy as np
 import pytest
-from conftest_llm import Union, fold, words
+from conftest_llm import Union, fold, prose, words
 
 from scorebook.llm import lines, linking, minhash, passages, sentences, suffixes
 
 LAST = float("inf")
 
 
-def later_windows(units_of, rows, size, wanted=lambda w: True):
-    """Per row: units, units in repeated windows, units in later ones, ids of the first."""
+def later_windows(units_of, rows, size):
+    """Per row: units, units in repeated windows, units in later ones, ids of the first.
+
+    `size` is the length of all windows, or gives the end of the window at a place (None: no window).
+    """
     seen, out = {}, {}
+    end_of = size if callable(size) else lambda us, p: p + size if p + size <= len(us) else None
     units = {}
     for i, text, *_ in rows:
         units.setdefault(i, units_of(text))
     for i, us in units.items():
-        for p in range(len(us) - size + 1):
-            w = tuple(us[p : p + size])
-            if wanted(w):
-                seen.setdefault(w, []).append((LAST if i is None else i, p))
+        for p in range(len(us)):
+            if (end := end_of(us, p)) is not None:
+                seen.setdefault(tuple(us[p:end]), []).append((LAST if i is None else i, p))
     repeated, removed, firsts = {}, {}, {}
-    for at in seen.values():
+    for w, at in seen.items():
         first = min(at)
         if len(at) > 1:
             for i, p in at:
-                repeated.setdefault(i, set()).update(range(p, p + size))
+                repeated.setdefault(i, set()).update(range(p, p + len(w)))
                 if (i, p) != first:
-                    removed.setdefault(i, set()).update(range(p, p + size))
+                    removed.setdefault(i, set()).update(range(p, p + len(w)))
                     if first[0] != LAST:
                         firsts.setdefault(i, set()).add(first[0])
     for i, us in units.items():
@@ -42,7 +45,23 @@ def later_windows(units_of, rows, size, wanted=lambda w: True):
 
 
 def sentence_list(text):
-    return [" ".join(words(s)) for s in re.findall(r"[^.!?\n]+", fold(text)) if words(s)]
+    out = []
+    for s in re.findall(r"[^.!?\n]+", fold(text)):
+        ws, cut = words(s), [[]]
+        for w in ws:
+            cut[-1].append(w)
+            if len(ws) > 30 and sum(b for b in w.encode() if b < 128) % 3 == 0:
+                cut.append([])
+        out += [" ".join(u) for u in cut if u]
+    return out
+
+
+def run_end(us, p):
+    """Two sentences or more, lengthened to 36 words; a shorter document is one run."""
+    for end in range(p + 2, len(us) + 1):
+        if len(" ".join(us[p:end]).split(" ")) >= 36:
+            return end
+    return len(us) if p == 0 and len(us) >= 2 else None
 
 
 def unique(rows):
@@ -52,13 +71,13 @@ def unique(rows):
 def test_sentence_spans_equal_a_plain_version(spark, rows):
     rows = unique(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    want, removed = later_windows(sentence_list, rows, 3, lambda w: len(" ".join(w).split(" ")) >= 8)
+    want, removed = later_windows(sentence_list, rows, run_end)
     got = {r.doc_id: (r.n_sentences, r.n_repeated, r.n_removed, r.first_docs) for r in sentences.find(docs).collect()}
     assert got == want and sum(w[2] > 0 for w in want.values()) > 5
     cleaned = {r.doc_id: r.text for r in sentences.clean(docs).collect()}
     for i, text, *_ in rows:
         kept = [s for p, s in enumerate(sentence_list(text)) if p not in removed.get(i, ())]
-        assert sentence_list(cleaned[i]) == kept
+        assert " ".join(sentence_list(cleaned[i])) == " ".join(kept)
         if not removed.get(i):
             assert cleaned[i] == text
 
@@ -187,3 +206,37 @@ def test_units_are_cut_from_their_start_to_the_next():
     assert passages.keep_rest(raw, starts, [(1, 3)]) == b"one. four"
     assert passages.keep_rest(raw, starts, [(0, 9)]) == b""
     assert passages.keep_rest(b"  " + raw, starts + 2, [(0, 1), (0, 2)]) == b"  three? four"
+
+
+def clean_all(df):
+    return {
+        "lines": lines.clean(df), "sentences": sentences.clean(df), "suffixes": suffixes.clean(df, length=12, seed=4)
+    }
+
+
+@pytest.mark.parametrize("ids", [(1, None, None), (1, 7, 7), (7, 7, None)])
+def test_a_text_is_never_cut_for_another_row_of_its_id(spark, ids):
+    a = prose(random.Random(1), 90) + "."
+    b = "Quite unlike the others. " + " ".join(f"only{i}" for i in range(60)) + ". And nothing of it stands elsewhere."
+    rows = [(ids[0], a), (ids[1], a), (ids[2], b)]
+    for name, out in clean_all(spark.createDataFrame(rows, "doc_id long, text string")).items():
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert (ids[2], b) in got and len(got) == 3, name
+        texts = sorted(len(t.strip()) for i, t in got if t != b)
+        assert texts[1] == len(a) and (texts[0] < 20 or ids[0] == ids[1]), name
+
+
+def test_long_texts_without_end_marks_share_spans(spark):
+    r = random.Random(4)
+    shared = " ".join(f"w{r.randint(0, 400)}" for _ in range(90))
+    rows = [(i, f"{' '.join(f'x{i}y{k}' for k in range(20 + i))} {shared} {' '.join(f'z{i}y{k}' for k in range(30))}") for i in range(3)]
+    got = {x.doc_id: x for x in sentences.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(x.n_repeated > 3 for x in got.values()) and got[0].n_removed == 0 and got[1].n_removed > 3
+
+
+def test_very_long_texts(spark):
+    long = prose(random.Random(5), 150_000)
+    rows = [(1, long), (2, "short one. here it is."), (3, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in sentences.find(df).collect()}
+    assert got[1].n_removed < got[1].n_sentences / 10 and got[3].n_removed > got[3].n_sentences * 0.99 and got[2].n_repeated == 0
