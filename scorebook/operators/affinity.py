@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from scorebook.operators.lookup import group_rank
 from scorebook.operators.ordering import dense_index
-from scorebook.operators.skew import salted_join
 from scorebook.session import materialized
 
 BLOCK_ROWS = 8192
@@ -32,17 +31,14 @@ def dot(left: Column, right: Column, width: int) -> Column:
 
 
 def pair_scores(
-    pairs: DataFrame, hitters: DataFrame, pitchers: DataFrame, width: int, hot_from: DataFrame | None = None
+    pairs: DataFrame, hitters: DataFrame, pitchers: DataFrame, width: int
 ) -> DataFrame:
     """Scores of given (hitter, pitcher) pairs of different teams.
 
     `hitters` holds (hitter, h_team, h_vec), `pitchers` (pitcher, p_team, p_vec);
     names without a vector or a team drop out.
     """
-    looked = pairs if hot_from is None else hot_from
-    left = salted_join(pairs, hitters, ["hitter"], ["pitcher"], how="inner", hot_from=looked)
-    both = salted_join(left, pitchers, ["pitcher"], ["hitter"], how="inner", hot_from=looked)
-    return both.filter("h_team <> p_team").select(
+    return pairs.join(hitters, "hitter").join(pitchers, "pitcher").filter("h_team <> p_team").select(
         "hitter", "h_team", "pitcher", "p_team", dot(F.col("h_vec"), F.col("p_vec"), width).alias("score")
     )
 

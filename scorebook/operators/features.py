@@ -48,20 +48,18 @@ def line_up_slots(samples: DataFrame) -> DataFrame:
 
 
 def with_batters(
-    slots: DataFrame, batters: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("team", "name"),
-    hot_from: DataFrame | None = None,
+    slots: DataFrame, batters: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("team", "name")
 ) -> DataFrame:
     """Slots with their batter features; unknown batters read as zeros."""
-    return with_zero_default(slots, batters, keys, cols, spread=["game_id", "team", "slot"], hot_from=hot_from)
+    return with_zero_default(slots, batters, keys, cols)
 
 
 def with_pitchers(
-    teams: DataFrame, pitchers: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("opponent", "starter"),
-    hot_from: DataFrame | None = None,
+    teams: DataFrame, pitchers: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("opponent", "starter")
 ) -> DataFrame:
     """(game, team) rows with the opposing starter's features; unknown starters read as means."""
     table = pitchers.withColumnsRenamed({"team": "opponent", "name": "starter"})
-    return with_mean_default(teams, table, list(keys), cols, spread=["game_id", "team"], hot_from=hot_from)
+    return with_mean_default(teams, table, list(keys), cols)
 
 
 def _place(slot: int, col: str) -> str:

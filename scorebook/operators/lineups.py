@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.operators.lookup import group_rank
-from scorebook.operators.skew import salted_join
 
 SLOTS = 9
 
@@ -38,7 +37,7 @@ def complete(slots: DataFrame, group: Sequence[str], k: int = SLOTS) -> DataFram
 
 
 def running_slot(
-    rows: DataFrame, group: Sequence[str], name: str, order: Sequence[str], spread: Sequence[str],
+    rows: DataFrame, group: Sequence[str], name: str, order: Sequence[str],
     k: int = SLOTS, out: str = "slot",
 ) -> DataFrame:
     """Add the number of distinct names seen up to each row, capped at k.
@@ -53,7 +52,7 @@ def running_slot(
     )
     here = F.struct(*order, name)
     return (
-        salted_join(rows, places, list(group), spread)
+        rows.join(places, list(group), "left")
         .withColumn(out, F.size(F.filter("_places", lambda p: p <= here)))
         .drop("_places")
     )

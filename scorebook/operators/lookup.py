@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from scorebook.operators.ordering import dense_index
-from scorebook.operators.skew import salted_join
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -43,11 +42,10 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def with_zero_default(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str], spread: Sequence[str],
-    hot_from: DataFrame | None = None,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str]
 ) -> DataFrame:
     """Left lookup; a missing record reads as zeros, two records of a key are an error."""
-    joined = salted_join(left, unique(right.select(*keys, *cols), keys), keys, spread, hot_from=hot_from)
+    joined = left.join(unique(right.select(*keys, *cols), keys), list(keys), "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in cols})
 
 
@@ -57,21 +55,20 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def with_mean_default(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str], spread: Sequence[str],
-    hot_from: DataFrame | None = None,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str]
 ) -> DataFrame:
     """Left lookup; a missing record reads as the column means of the table."""
     means = column_means(right, cols)
     marked = right.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols], F.lit(True).alias("_hit"))
-    joined = salted_join(left, marked, keys, spread, hot_from=hot_from).withColumn("_means", means.scalar())
+    joined = left.join(marked, list(keys), "left").withColumn("_means", means.scalar())
     return joined.withColumns(
         {c: F.when(F.col("_hit"), F.col(c)).otherwise(F.col("_means")[c]) for c in cols}
     ).drop("_hit", "_means")
 
 
-def known_names(left: DataFrame, names: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:
+def known_names(left: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is in `names`."""
-    return salted_join(left, names.select(*keys).distinct(), keys, spread, how="left_semi")
+    return left.join(names.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def last_source_wins(sources: Sequence[DataFrame], key: str, value: str, order: str) -> DataFrame:

@@ -118,8 +118,7 @@ def first_k_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def running_distinct_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lineups.running_slot(
-        views.lines(spark, sf_dir), ["game_id", "team"], "name", ["l_linenumber"],
-        spread=views.LINE_ORDER, k=views.K,
+        views.lines(spark, sf_dir), ["game_id", "team"], "name", ["l_linenumber"], k=views.K
     )
     return rows.select("game_id", "team", "name", "l_suppkey", "slot")
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from scorebook.functions.classify import MEASURES
 from scorebook.functions.rates import group_sum, relative_power, with_rates
 from scorebook.operators import corrections, features, lookup, running, summary, tries
-from scorebook.operators.skew import salted_join
 from scorebook.plans import sql, views
 from scorebook.plans.registry import ORACLES, query
 from scorebook.plans.views import table
@@ -125,13 +124,10 @@ def type_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relative_power_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     era = views.pitchers(spark, sf_dir).select(F.col("name").alias("starter"), "era")
-    faced = salted_join(
-        views.teams(spark, sf_dir), era, ["starter"], ["game_id", "team"], hot_from=views.last_lines(spark, sf_dir)
-    )
+    sides = views.stored_sides(spark, sf_dir)
+    faced = views.teams_of(views.entries_of(sides)).join(era, "starter", "left")
     known = views.typed_batters(spark, sf_dir)
-    batted = features.with_batters(
-        views.slots(spark, sf_dir), known, ["avg"], keys=["name"], hot_from=views.lines(spark, sf_dir)
-    )
+    batted = features.with_batters(views.slots_of(sides), known, ["avg"], keys=["name"])
     both = batted.join(faced, ["game_id", "team"])
     return both.select("game_id", "team", "slot", relative_power(F.col("avg"), F.col("era")).alias("power"))
 
@@ -183,7 +179,7 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def left_join_zero_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = views.typed_batters(spark, sf_dir)
     joined = features.with_batters(
-        views.slots(spark, sf_dir), known, ["ab", "hr", "avg"], keys=["name"], hot_from=views.lines(spark, sf_dir)
+        views.slots(spark, sf_dir), known, ["ab", "hr", "avg"], keys=["name"]
     )
     return joined.select("game_id", "team", "slot", "ab", "hr", "avg")
 
@@ -256,7 +252,7 @@ def opponent_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semi_known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     known = table(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return lookup.known_names(rows, known, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"]).select(*rows.columns)
+    return lookup.known_names(rows, known, ["l_suppkey"]).select(*rows.columns)
 
 
 @query(

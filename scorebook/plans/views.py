@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from scorebook.functions import text
 from scorebook.functions.rates import Thresholds, with_pitch_groups, with_rates, with_types
 from scorebook.operators import features, lineups, lookup, summary
-from scorebook.operators.skew import salted_join
 from scorebook.session import materialized
 
 # Line-up length of an order; a game of the sport has nine places.
@@ -186,13 +185,9 @@ def batters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pitch_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long (team, name, pitch_type, share) rows of suppliers; shares in percent."""
-    sold = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
+    sold = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     kinds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    by_type = (
-        salted_join(sold, kinds, ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey"], how="inner")
-        .groupBy("l_suppkey", "p_type")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    by_type = sold.join(kinds, "l_partkey").groupBy("l_suppkey", "p_type").agg(F.count(F.lit(1)).alias("n"))
     # The window spans one supplier's types, of which there are a handful.
     total = F.sum("n").over(Window.partitionBy("l_suppkey"))
     return by_type.select(
@@ -210,44 +205,67 @@ def pitch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pitchers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Season table of the suppliers: rates per nine lines and pitch groups."""
-    flag = F.col("l_returnflag")
+    """Season table of the suppliers: rates per nine lines and pitch groups, from one aggregate over their lines."""
+    flag, kind = F.col("l_returnflag"), F.col("p_type")
     per_nine = lambda cond: F.count_if(cond) * 9.0 / F.count(F.lit(1))
-    rates = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("name")).agg(
+    kinds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    sold = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag", "l_quantity").join(kinds, "l_partkey", "left")
+    figures = sold.groupBy(F.col("l_suppkey").alias("name")).agg(
         per_nine(flag == "R").alias("era"),
         per_nine(flag == "A").alias("k9"),
         per_nine((flag == "R") & (F.col("l_quantity") > 45)).alias("hr9"),
-    )
+        # Shares are of the lines whose part is known; a supplier without one has no pitches and drops out.
+        F.count(kind).alias("_known"),
+        *[(F.count_if(kind == p) * 100.0 / F.nullif(F.count(kind), F.lit(0))).alias(f"pitch_{p}_share") for p in PITCH_TYPES],
+    ).where("_known > 0")
+    figures = figures.withColumn("team", F.col("name") % 12)
     hands = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("name"),
         F.when(F.col("s_nationkey") % 2 == 0, F.lit("右投")).otherwise(F.lit("左投")).alias("hand"),
     )
-    grouped = with_pitch_groups(pitch_table(spark, sf_dir), PITCH_COLUMN_GROUPS)
     shares = [f"{g}_group" for g in PITCH_COLUMN_GROUPS]
-    return (
-        rates.join(hands, "name")
-        .join(grouped.select("team", "name", *shares), "name")
-        .select("team", "name", "hand", "era", "k9", "hr9", *shares)
-    )
+    grouped = with_pitch_groups(figures, PITCH_COLUMN_GROUPS)
+    return grouped.join(hands, "name").select("team", "name", "hand", "era", "k9", "hr9", *shares)
 
 
 def coded_pitchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.prepare_pitchers(pitchers(spark, sf_dir), ["era"])
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoreboard: an order's line statuses with their runs and the supplier of their last line."""
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(game_id, team, runs, lines): an order's line statuses with their runs and their lines in order, seven at most."""
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("game_id"), F.col("l_linestatus").alias("team"))
         .agg(
             (F.sum("l_quantity").cast("bigint") % 10).alias("runs"),
-            F.max(F.struct(*LINE_ORDER))["l_suppkey"].alias("starter"),
+            F.sort_array(F.collect_list(F.struct(*LINE_ORDER))).alias("lines"),
         )
-        .withColumn("pos", F.when(F.col("team") == "F", F.lit(0)).otherwise(F.lit(1)))
     )
 
 
+def stored_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`sides` computed once, for queries that read both line-ups and scoreboards from it."""
+    return materialized(sides(spark, sf_dir), "sides")
+
+
+def entries_of(sides_: DataFrame) -> DataFrame:
+    last = F.element_at("lines", -1)["l_suppkey"].alias("starter")
+    return sides_.select("game_id", "team", "runs", last, F.when(F.col("team") == "F", F.lit(0)).otherwise(F.lit(1)).alias("pos"))
+
+
+def slots_of(sides_: DataFrame) -> DataFrame:
+    """The line-ups that `slots` gives."""
+    names = F.array_distinct(F.transform("lines", lambda line: line["l_partkey"]))
+    placed = sides_.select("game_id", "team", F.posexplode(F.slice(names, 1, K)).alias("_i", "name"))
+    return placed.select("game_id", "team", (F.col("_i") + 1).alias("slot"), "name")
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoreboard: an order's line statuses with their runs and the supplier of their last line."""
+    return entries_of(sides(spark, sf_dir))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as box-score rows: game_id, team, name and the row order."""
     return table(spark, sf_dir, "lineitem").select(
@@ -258,11 +276,6 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def last_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows whose suppliers may become starters."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("starter"))
-
-
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-ups: the first K distinct parts per order and line status."""
     # The part key follows the line number in LINE_ORDER, and it is the name that breaks ties.
@@ -274,7 +287,11 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(game, team) rows of two-sided orders: runs, opponent and the opponent's starter."""
-    return lookup.with_opponent(entries(spark, sf_dir), "game_id", "team", "pos", carry=["starter"]).select(
+    return teams_of(entries(spark, sf_dir))
+
+
+def teams_of(entries_: DataFrame) -> DataFrame:
+    return lookup.with_opponent(entries_, "game_id", "team", "pos", carry=["starter"]).select(
         "game_id", "team", "runs", "opponent", F.col("opponent_starter").alias("starter")
     )
 
@@ -284,33 +301,31 @@ def typed_batters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_types(with_rates(features.prepare_batters(batters(spark, sf_dir))), LIMITS)
 
 
-def feature_slots(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
+def feature_slots(spark: SparkSession, sf_dir: str, pattern: str, sides_: DataFrame) -> DataFrame:
     """Line-up slots with the batter features of a pattern."""
     cols = features.batter_columns(pattern)
-    known = typed_batters(spark, sf_dir)
-    return features.with_batters(
-        slots(spark, sf_dir), known, cols, keys=["name"], hot_from=lines(spark, sf_dir)
-    )
+    return features.with_batters(slots_of(sides_), typed_batters(spark, sf_dir), cols, keys=["name"])
 
 
-def feature_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.with_pitchers(
-        teams(spark, sf_dir), coded_pitchers(spark, sf_dir).drop("team"), PITCHER_COLS, keys=["starter"],
-        hot_from=last_lines(spark, sf_dir),
-    )
+def feature_teams(spark: SparkSession, sf_dir: str, sides_: DataFrame | None = None) -> DataFrame:
+    known = teams(spark, sf_dir) if sides_ is None else teams_of(entries_of(sides_))
+    coded = materialized(coded_pitchers(spark, sf_dir).drop("team"), "pitchers")  # read twice: rows and means
+    return features.with_pitchers(known, coded, PITCHER_COLS, keys=["starter"])
 
 
 def flat_samples(spark: SparkSession, sf_dir: str, pattern: str = "A") -> DataFrame:
     """(game_id, team, runs, opponent, starter, vec) of complete line-ups."""
+    sides_ = stored_sides(spark, sf_dir)
     return features.flat(
-        feature_slots(spark, sf_dir, pattern), feature_teams(spark, sf_dir),
+        feature_slots(spark, sf_dir, pattern, sides_), feature_teams(spark, sf_dir, sides_),
         features.batter_columns(pattern), PITCHER_COLS, K,
     )
 
 
 def sequences(spark: SparkSession, sf_dir: str, pattern: str = "A") -> DataFrame:
+    sides_ = stored_sides(spark, sf_dir)
     return features.sequence(
-        feature_slots(spark, sf_dir, pattern), feature_teams(spark, sf_dir),
+        feature_slots(spark, sf_dir, pattern, sides_), feature_teams(spark, sf_dir, sides_),
         features.batter_columns(pattern), PITCHER_COLS, K,
     )
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from scorebook.functions.rates import relative_power, with_rates, with_types
 from scorebook.functions.text import map_codes
 from scorebook.operators import affinity, features, lookup, running, summary
-from scorebook.operators.skew import salted_join
 from scorebook.sources import games as docs
 from scorebook.sources.landing import Landed
 
@@ -90,7 +89,7 @@ def season_samples(
     slots = features.with_batters(_slots(games, k), batters, cols)
     if with_power:
         era = pitchers.select(F.col("team").alias("opponent"), F.col("name").alias("starter"), "era")
-        faced = salted_join(samples, era, ["opponent", "starter"], ["game_id", "team"])
+        faced = samples.join(era, ["opponent", "starter"], "left")
         slots = slots.join(faced.select("game_id", "team", "era"), ["game_id", "team"]).withColumn(
             "power", relative_power(F.col("avg"), F.col("era"))
         )
@@ -124,9 +123,7 @@ def running_samples(
         teams = features.with_pitchers(samples.drop("players"), pitchers, pitcher_cols)
         if "hand" in initial.columns:
             cols = features.BATTER_PATTERNS["full"]
-            filled = lookup.with_zero_default(
-                filled, initial, ["team", "name"], ["hand"], spread=["game_id", "team", "slot"], hot_from=slots
-            )
+            filled = lookup.with_zero_default(filled, initial, ["team", "name"], ["hand"])
     return _laid_out(filled, teams, cols, pitcher_cols, layout, k)
 
 

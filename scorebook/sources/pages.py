@@ -235,7 +235,7 @@ def box_rows(pages: DataFrame, keys=("url",)) -> DataFrame:
 
 def box_plays(rows: DataFrame, keys=("url",)) -> DataFrame:
     """Plays of box-score rows: slot, name, inning and result per filled result cell."""
-    slotted = running_slot(rows, [*keys, "side"], "name", ["pos"], spread=["pos"], k=SLOTS)
+    slotted = running_slot(rows, [*keys, "side"], "name", ["pos"], k=SLOTS)
     cell = slotted.select(
         *keys, "side", "pos", "slot", "name",
         F.posexplode(F.slice("cells", BOX_FIRST_RESULT + 1, F.greatest(F.size("cells") - BOX_FIRST_RESULT, F.lit(0)))).alias("_i", "result"),

@@ -34,7 +34,7 @@ def test_first_k_distinct_and_running_slot_equal_a_row_by_row_reading(spark):
     firsts, slots = replay(rows, 9)
     got = lineups.first_k_distinct(df, ["g"], "name", ["pos"], 9).orderBy("g", "slot").collect()
     assert {g: [r.name for r in got if r.g == g] for g in firsts} == firsts
-    ran = lineups.running_slot(df, ["g"], "name", ["pos"], ["pos"], 9)
+    ran = lineups.running_slot(df, ["g"], "name", ["pos"], 9)
     assert {(r.g, r.pos): r.slot for r in ran.collect()} == slots
 
 

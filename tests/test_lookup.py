@@ -1,51 +1,15 @@
 from __future__ import annotations
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
-from scorebook.operators import lookup, ordering, skew
+from scorebook.operators import lookup, ordering
 
 
 def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_salted_join_equals_a_plain_join_with_a_hot_key(spark):
-    rng = random.Random(3)
-    fact = spark.createDataFrame([("hot" if rng.random() < 0.4 else f"k{rng.randint(0, 9)}", i) for i in range(500)], "k string, i int")
-    dim = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(5)]], "k string, v int")
-    assert len(skew.hot_keys(fact, ["k"], min_rows=100)) == 1 and skew.hot_keys(fact, ["k"]) == []
-    for how in ("left", "inner"):
-        want = rows(fact.join(dim, "k", how), "k", "i", "v")
-        assert rows(skew.salted_join(fact, dim, ["k"], ["i"], how, min_rows=100), "k", "i", "v") == want
-        assert rows(skew.salted_join(fact, dim, ["k"], ["i"], how), "k", "i", "v") == want
-    known = skew.salted_join(fact, dim.select("k"), ["k"], ["i"], "left_semi", min_rows=100)
-    assert rows(known, "k", "i") == rows(fact.join(dim, "k", "left_semi"), "k", "i")
-
-
-def test_only_hot_keys_are_salted_and_types_may_differ(spark):
-    fact = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
-    dim = spark.createDataFrame([(7, "x"), (9, "y")], "k int, v string")
-    joined = skew.salted_join(fact, dim, ["k"], ["id"], min_rows=100)
-    assert joined.filter("v = 'x'").count() == 2000 and joined.count() == 3000
-    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" not in skew.salted_join(fact, dim, ["k"], ["id"])._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_exact_copies_are_spread_too(spark):
-    copies = spark.range(0, 6400, 1, 64).select(F.lit("hot").alias("k"), F.lit(1).alias("i"))
-    sizes = copies.groupBy(F.pmod(skew.spread_hash(["i"]), F.lit(skew.SALTS)).alias("s")).count().collect()
-    assert len(sizes) == skew.SALTS and {r["count"] for r in sizes} == {100}
-    dim = spark.createDataFrame([("hot", 5)], "k string, v int")
-    assert skew.salted_join(copies, dim, ["k"], ["i"], min_rows=1).filter("v = 5").count() == 6400
-
-
-def test_hot_keys_of_nothing(spark):
-    assert skew.hot_keys(spark.range(0), ["id"], min_rows=0) == []
-
-
 def test_keep_first_and_last_follow_the_given_order(spark):
     df = spark.createDataFrame([("a", 3, "z"), ("a", 1, "y"), ("b", 2, "x"), ("a", 2, "w")], "k string, o int, v string")
     assert rows(lookup.keep_first(df, ["k"], ["o"]), "k", "o", "v") == [("a", 1, "y"), ("b", 2, "x")]
@@ -56,9 +20,9 @@ def test_keep_first_and_last_follow_the_given_order(spark):
 def test_zero_and_mean_defaults(spark):
     left = spark.createDataFrame([("t", "a", 1), ("t", "x", 2)], "team string, name string, i int")
     right = spark.createDataFrame([("t", "a", 2, None), ("t", "b", 6, 5.0)], "team string, name string, hr int, era double")
-    zero = lookup.with_zero_default(left, right, ["team", "name"], ["hr", "era"], ["i"])
+    zero = lookup.with_zero_default(left, right, ["team", "name"], ["hr", "era"])
     assert rows(zero, "name", "hr", "era") == [("a", 2, 0.0), ("x", 0, 0.0)]
-    mean = lookup.with_mean_default(left, right, ["team", "name"], ["hr", "era"], ["i"])
+    mean = lookup.with_mean_default(left, right, ["team", "name"], ["hr", "era"])
     # A record with a missing figure is still a hit; only a missing record reads as means.
     assert rows(mean, "name", "hr", "era") == [("a", 2.0, None), ("x", 4.0, 5.0)]
 
@@ -66,7 +30,7 @@ def test_zero_and_mean_defaults(spark):
 def test_known_names_and_last_source(spark):
     left = spark.createDataFrame([("a",), ("b",), ("b",)], "n string")
     names = spark.createDataFrame([("b",), ("b",), ("c",)], "n string")
-    assert rows(lookup.known_names(left, names, ["n"], ["n"]), "n") == [("b",), ("b",)]
+    assert rows(lookup.known_names(left, names, ["n"]), "n") == [("b",), ("b",)]
     batters = spark.createDataFrame([("a", "T", 1), ("b", "G", 2), ("b", "S", 3)], "name string, team string, o int")
     pitchers = spark.createDataFrame([("a", "DB", 0)], "name string, team string, o int")
     assert rows(lookup.last_source_wins([batters, pitchers], "name", "team", "o"), "name", "team") == [("a", "DB"), ("b", "S")]
@@ -139,7 +103,7 @@ def test_a_second_record_of_a_key_is_an_error(spark):
     left = spark.createDataFrame([("a", 1)], "k string, i int")
     right = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, v double")
     with pytest.raises(Exception, match="more than one row for a"):
-        lookup.with_zero_default(left, right, ["k"], ["v"], ["i"]).collect()
+        lookup.with_zero_default(left, right, ["k"], ["v"]).collect()
 
 
 def test_keeping_one_row_needs_no_sort_aggregate(spark):

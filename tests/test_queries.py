@@ -45,3 +45,9 @@ def test_scans_read_only_the_columns_they_need(spark):
     plan = queries()["pivot_share"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "ReadSchema" in line]
     assert scans and not any("l_extendedprice" in s or "p_name" in s for s in scans)
+
+
+def test_vectors_read_the_lines_once_per_grain(spark):
+    """By order and by supplier before the plan, by part in it."""
+    plan = queries()["assemble_flat"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "CartesianProduct" not in plan
