@@ -35,7 +35,7 @@ def test_other_queries_return_every_row(spark, name):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" in corpus_pipeline.QUERIES
 
 
