@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's documents. All but the last
 return the columns of documents.
 
+Defined results: a null or empty text has no words, so quality rules reject it.
+Null ids, sources, languages and sizes are kept as they are; a null source is a
+source of its own in the mix. Rows that share an id, and rows without one, are
+judged by their own text; of rows that repeat an id and a text near-duplicates
+keep one, and rows without an id all stay there. Of equal lines and near copies
+the smallest id stays. Very long texts are read whole. Extra columns pass
+through, whatever their names. Empty tables give empty results.
+
 ORACLE_SQL is None: fuzzy lines are linked by similarity over all pairs, which
 SQL can't do on whole tables; tests/llm holds the stages against plain versions.
 """
