@@ -145,11 +145,14 @@ def judge(
         )
     statistics = suffix_statistics(rows, labels)
     order = F.xxhash64(F.lit(seed), "_url")
-    some = [labels.where(F.col("_y") == y).orderBy(order, "_url").limit(train_rows) for y in (0.0, 1.0)]
+    # A frequent URL is one row of the sample, with its copies as weight: it can't fill its class.
+    shape = [c for c in labels.columns if c not in ("_url", "_y")]
+    once = labels.groupBy("_url", "_y").agg(F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in shape])
+    some = [once.where(F.col("_y") == y).orderBy(order, "_url").limit(train_rows) for y in (0.0, 1.0)]
     sample = with_suffixes(some[0].unionByName(some[1]), statistics, prior)
     sample = materialized(sample.orderBy(order, "_url").coalesce(1), "url-sample")
-    counts = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
-    weight = F.when(F.col("_y") == 1.0, 0.5 / counts[1.0]).otherwise(0.5 / counts[0.0]) * sum(counts.values())
+    counts = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.sum("_copies").alias("n")).collect()}
+    weight = F.when(F.col("_y") == 1.0, 0.5 / counts[1.0]).otherwise(0.5 / counts[0.0]) * sum(counts.values()) * F.col("_copies")
     model = GBTClassifier(
         featuresCol="_features", labelCol="_y", weightCol="_weight", maxIter=trees, maxDepth=depth, seed=seed, checkpointInterval=-1
     ).fit(_assembled(sample).select("_features", "_y", weight.alias("_weight")))

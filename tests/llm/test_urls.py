@@ -75,3 +75,13 @@ def test_runs_agree_and_use_no_python(spark, pages):
     assert sorted(map(repr, first.collect())) == sorted(map(repr, second.collect()))
     plan = first._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_frequent_url_does_not_fill_its_class(spark):
+    bad = [f"https://shop{i}.spam/buy/now/{i}{i * 7 % 1000}?id={i}&ref={i * 3}&x={i}" for i in range(60)]
+    good = [f"https://paper{i}.org/essay/on-rivers" for i in range(60)]
+    rows = [(u, "block") for u in [bad[0]] * 3000 + bad] + [(u, "allow") for u in good]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    asked = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    out = {r.page_id: r.verdict for r in urls.judge(asked, rules=[], labelled=labelled, train_rows=50).collect()}
+    assert sum(out[i] == "block" for i in range(60)) > 50 and sum(out[i] == "allow" for i in range(60, 120)) > 50
