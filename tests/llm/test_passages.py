@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import Union, fold, prose, words
 
@@ -184,6 +185,30 @@ def test_lines_that_repeat_themselves_are_linked_without_a_lead(spark, monkeypat
     assert got == {1: (0, []), 2: (1, [1]), 3: (0, []), 4: (1, [3])}
 
 
+def test_keys_meet_in_small_runs_slots_and_chunks_as_in_a_plain_grouping(spark, monkeypatch):
+    for name, value in {"RUN_ENTRIES": 500, "CHUNK_ENTRIES": 300, "SLOT_ENTRIES": 40}.items():
+        monkeypatch.setattr(lines, name, value)
+    r = random.Random(31)
+    near = ["".join(r.choice("abcdefgh ") for _ in range(50)) for _ in range(30)]
+    hot = "one line that very many documents hold in almost the same words"
+    rows = [(i, "\n".join([r.choice(near) + r.choice("xyz"), f"{hot} {i:04d}", hot])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashed = lines._hashed(docs, "doc_id", "text")
+    got = {}
+    for x in lines._members(docs, hashed, "text", 5, 8, 3).collect():
+        got.setdefault(x.key, []).append(x.node)
+    want = {}
+    for d, hashes, a, b in lines._once(pa.array([t for _, t in rows])):
+        shingles, owner, _ = lines._shingled(d, a, b, 5)
+        keys = minhash.bin_keys(minhash.binned(shingles, owner, len(a), 8, 3))
+        for node, some in zip(hashes.view(np.int64).tolist(), keys.tolist()):
+            for key in some:
+                want.setdefault(key, set()).add(node)
+    want = sorted(sorted(x) for x in want.values() if len(x) > 1)
+    assert len(want) > 50 and max(map(len, want)) > 100
+    assert sorted(sorted(x) for x in got.values()) == want
+
+
 @pytest.mark.parametrize("operator", [sentences, suffixes, lines])
 def test_nulls_repeated_rows_empty_tables_and_clashing_columns(spark, empty, clashing, operator):
     text = ".\n".join(" ".join(f"w{i}{j}" for i in range(10)) for j in range(8))
