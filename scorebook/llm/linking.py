@@ -76,14 +76,15 @@ def possible(rows: DataFrame, hash_: Column, wanted: DataFrame, wanted_hash: Col
     return rows.withColumn("_hash", hash_).mapInArrow(run, rows.schema)
 
 
-def most_differing(percent: int, sigmas: float) -> int:
+def most_differing(percent: int, sigmas: float, size: int = SKETCH_BITS) -> int:
     """Bits in which the sketches of two sets at this similarity differ at most, but for `sigmas` deviations."""
     share = (1 - percent / 100) / 2
-    return math.ceil(SKETCH_BITS * share + sigmas * math.sqrt(SKETCH_BITS * share * (1 - share)))
+    return math.ceil(size * share + sigmas * math.sqrt(size * share * (1 - share)))
 
 
 def open_pairs(
-    members: DataFrame, found: DataFrame, sketched: Callable[[DataFrame], DataFrame], percent: int, sigmas: float
+    members: DataFrame, found: DataFrame, sketched: Callable[[DataFrame], DataFrame], percent: int, sigmas: float,
+    size: int = SKETCH_BITS,
 ) -> DataFrame:
     """Pairs that share a bucket, differ in component, and are close enough in size and sketch to be linked.
 
@@ -96,9 +97,9 @@ def open_pairs(
     nodes = keys.join(sketched(keys.select("node")), "node")
     known = materialized(known.join(nodes, "node"), "open")
     x, y = known.alias("x"), known.alias("y")
-    differing = [F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(SKETCH_BITS // 64)]
+    differing = [F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(size // 64)]
     close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (
-        reduce(lambda a, b: a + b, differing) <= most_differing(percent, sigmas)
+        reduce(lambda a, b: a + b, differing) <= most_differing(percent, sigmas, size)
     )
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
     other = F.col("x.component") != F.col("y.component")
@@ -108,13 +109,13 @@ def open_pairs(
 
 def linked(
     members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], sketched: Callable[[DataFrame], DataFrame],
-    percent: int, sigmas: float,
+    percent: int, sigmas: float, size: int = SKETCH_BITS,
 ) -> DataFrame:
     """(node, component) of every node with a confirmed link.
 
     `members` (key, node) are the nodes of shared buckets; `confirmed` keeps the
     true links of a table of pairs (a, b), `sketched` gives the set sizes (without
-    repeats) and sketches (node, n, bits) of a table of nodes. Every node is first compared with the leads
+    repeats) and sketches (node, n, bits) of a table of nodes, `size` bits each. Every node is first compared with the leads
     of its buckets, a fixed number of candidates per member. A large group of
     near copies becomes one component by that even if most of its pairs are no
     links. Then the pairs whose components still differ are compared, all of them
@@ -123,7 +124,7 @@ def linked(
     stars = materialized(star_pairs(members), "stars")
     links = materialized(confirmed(stars), "links")
     found = materialized(components(links), "components")
-    rest = open_pairs(members, found, sketched, percent, sigmas).join(stars, ["a", "b"], "left_anti")
+    rest = open_pairs(members, found, sketched, percent, sigmas, size).join(stars, ["a", "b"], "left_anti")
     more = materialized(confirmed(rest), "links")
     if not more.take(1):
         return found

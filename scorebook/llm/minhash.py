@@ -95,9 +95,9 @@ def bin_keys(cut: np.ndarray) -> np.ndarray:
 SKETCH_BITS = 2048
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The last bit of SKETCH_BITS coordinates as 64-bit numbers: two sets differ in about half of 1 - similarity of them."""
-    return np.packbits((signature(shingles, SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+def sketch(shingles: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
+    """The last bit of `size` coordinates as 64-bit numbers: two sets differ in about half of 1 - similarity of them."""
+    return np.packbits((signature(shingles, size) & 1).astype(np.uint8)).view(np.int64)
 
 
 def set_print(shingles: np.ndarray) -> tuple[int, int]:

@@ -166,6 +166,19 @@ def test_default_bands_of_lines_meet_at_the_threshold(union, shared):
     assert (~(keys[0] == keys[1]).any(axis=1)).sum() <= 2
 
 
+@pytest.mark.parametrize(("union", "shared"), [(5, 4), (10, 8), (50, 40), (300, 240)])
+def test_sketches_of_lines_keep_links_at_the_threshold(union, shared):
+    r, one, differing = np.random.default_rng(5), (union - shared) // 2, []
+    for _ in range(2000):
+        drawn = r.integers(0, 1 << 63, union).astype(np.uint64)
+        pair = drawn[: shared + one], np.delete(drawn, range(shared, shared + one))
+        a, b = (minhash.sketch(s, lines.SKETCH_BITS) for s in pair)
+        differing.append(sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)))
+    # a tenth of the bits differ, independently: then a pair is beyond the bound with 2e-8
+    assert np.isclose(np.mean(differing), 25.6, atol=0.5) and np.isclose(np.std(differing), 4.8, atol=0.3)
+    assert max(differing) <= linking.most_differing(80, lines.SIGMAS, lines.SKETCH_BITS) == 55
+
+
 def test_default_parameters_link_short_lines(spark):
     r = random.Random(21)
     short = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(600)]
