@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorebook.functions.text import BATTING_HANDS, THROWING_HANDS, encode_if_text
@@ -69,16 +69,22 @@ def _place(slot: int, col: str) -> str:
 def _wide(slots: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
     """One row per complete (game, team) with a column per slot and feature.
 
-    A maximum over the one row of a slot is a plain hash aggregate; it needs no
-    list of the group's rows.
+    The rows travel to their (game, team) as they are and are read there in one
+    sorted pass: an aggregate would widen every row, and hold the wide rows of
+    a task in memory, before it has a second row to merge it with.
     """
-    places = [
-        F.max(F.when(F.col("slot") == i, F.col(c).cast("double"))).alias(_place(i, c))
+    ordered = Window.partitionBy("game_id", "team").orderBy("slot")
+    side = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    places = {
+        _place(i, c): F.max(F.when(F.col("slot") == i, F.col(c).cast("double"))).over(side)
         for i in range(1, k + 1)
         for c in cols
-    ]
-    wide = slots.groupBy("game_id", "team").agg(F.count(F.lit(1)).alias("_n"), *places)
-    return wide.filter(F.col("_n") == k).drop("_n")
+    }
+    read = slots.select(
+        "game_id", "team", F.count(F.lit(1)).over(side).alias("_n"), F.row_number().over(ordered).alias("_at"),
+        *[c.alias(name) for name, c in places.items()],
+    )
+    return read.filter((F.col("_n") == k) & (F.col("_at") == 1)).drop("_n", "_at")
 
 
 def _assembled(slots: DataFrame, teams: DataFrame, batter_cols, pitcher_cols, k: int, out: str, value) -> DataFrame:

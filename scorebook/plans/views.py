@@ -254,10 +254,14 @@ def entries_of(sides_: DataFrame) -> DataFrame:
     return sides_.select("game_id", "team", "runs", last, F.when(F.col("team") == "F", F.lit(0)).otherwise(F.lit(1)).alias("pos"))
 
 
+def _names() -> Column:
+    """The distinct parts of a side, by their first line."""
+    return F.array_distinct(F.transform("lines", lambda line: line["l_partkey"]))
+
+
 def slots_of(sides_: DataFrame) -> DataFrame:
     """The line-ups that `slots` gives."""
-    names = F.array_distinct(F.transform("lines", lambda line: line["l_partkey"]))
-    placed = sides_.select("game_id", "team", F.posexplode(F.slice(names, 1, K)).alias("_i", "name"))
+    placed = sides_.select("game_id", "team", F.posexplode(F.slice(_names(), 1, K)).alias("_i", "name"))
     return placed.select("game_id", "team", (F.col("_i") + 1).alias("slot"), "name")
 
 
@@ -302,9 +306,10 @@ def typed_batters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_slots(spark: SparkSession, sf_dir: str, pattern: str, sides_: DataFrame) -> DataFrame:
-    """Line-up slots with the batter features of a pattern."""
+    """Slots of the line-ups that fill all places, which alone become samples, with the batter features of a pattern."""
     cols = features.batter_columns(pattern)
-    return features.with_batters(slots_of(sides_), typed_batters(spark, sf_dir), cols, keys=["name"])
+    full = sides_.where(F.size(_names()) >= K)
+    return features.with_batters(slots_of(full), typed_batters(spark, sf_dir), cols, keys=["name"])
 
 
 def feature_teams(spark: SparkSession, sf_dir: str, sides_: DataFrame | None = None) -> DataFrame:

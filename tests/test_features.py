@@ -96,3 +96,16 @@ def test_scaling_uses_scalar_subqueries_not_joins(spark):
     df = spark.range(10).select(F.col("id").cast("double").alias("x"))
     plan = scaling.standardized(df, ["x"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_line_ups_are_widened_after_their_rows_have_met(spark):
+    rows = [(g, t, s, float(s)) for g, t, n in [(1, "A", 3), (1, None, 3), (None, "B", 3), (2, "A", 2)] for s in range(1, n + 1)]
+    rows += [(3, "A", 1, 1.0), (3, "A", 1, 4.0), (3, "A", 2, None), (4, "A", None, 1.0), (4, "A", 2, 5.0), (4, "A", 3, 6.0)]
+    slots = spark.createDataFrame(rows, "game_id long, team string, slot int, x double")
+    wide = features._wide(slots, ["x"], 3)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1
+    got = {(r.game_id, r.team): (r._1_x, r._2_x, r._3_x) for r in wide.collect()}
+    assert got == {
+        (1, "A"): (1, 2, 3), (1, None): (1, 2, 3), (None, "B"): (1, 2, 3), (3, "A"): (4, None, None), (4, "A"): (None, 5, 6),
+    }
