@@ -64,9 +64,14 @@ def attribute_map(col: Column) -> Column:
     return F.map_from_entries(firsts)
 
 
+def cells_raw(col: Column, tag: str = "td") -> Column:
+    """What the cells of a row or table hold, in order."""
+    return all_matches(col, rf"(?s)<{tag}(?=[\s>])[^>]*>(.*?)</{tag}>")
+
+
 def cells(col: Column, tag: str = "td") -> Column:
     """Texts of the cells of a row or table, in order."""
-    return F.transform(all_matches(col, rf"(?s)<{tag}(?=[\s>])[^>]*>(.*?)</{tag}>"), plain)
+    return F.transform(cells_raw(col, tag), plain)
 
 
 def stat_rows(pages: DataFrame, keys, row_class: str = "ststats", min_cells: int = 0) -> DataFrame:
@@ -223,14 +228,14 @@ def box_rows(pages: DataFrame, keys=("url",)) -> DataFrame:
         F.col("html"), r'(?s)<table(?=[\s>])[^>]*class="(?:[^"]*\s)?batter(?:\s[^"]*)?"[^>]*>(.*?)</table>'
     )
     sides = pages.select(*keys, F.posexplode(tables).alias("side", "html"))
-    rows = elements(sides, "tr", [*keys, "side"])
+    inner = all_matches(F.col("html"), r"(?s)<tr(?=[\s>])[^>]*>(.*?)</tr>")
+    rows = sides.select(*keys, "side", F.posexplode(inner).alias("pos", "inner"))
     name = F.regexp_extract("inner", r'(?s)<td[^>]*class="[^"]*\bleft\b[^"]*"[^>]*>(.*?)</td>', 1)
-    return (
-        rows.select(*keys, "side", "pos", plain(name).alias("name"), cells(F.col("inner")).alias("cells"),
-                    (name != "").alias("_named"))
-        .filter(F.col("_named") & (F.size("cells") >= 10) & (F.col("name") != "計"))
-        .drop("_named")
-    )
+    # Behind an explode a row's cells are found and cleaned once; a filter on them would repeat that work.
+    found = F.array(F.struct(name.alias("name"), cells_raw(F.col("inner")).alias("cells")))
+    named = rows.select(*keys, "side", "pos", F.inline(found)).filter((F.col("name") != "") & (F.size("cells") >= 10))
+    clean = F.array(F.struct(plain(F.col("name")).alias("name"), F.transform("cells", plain).alias("cells")))
+    return named.select(*keys, "side", "pos", F.inline(clean)).filter(F.col("name") != "計")
 
 
 def box_plays(rows: DataFrame, keys=("url",)) -> DataFrame:

@@ -120,3 +120,11 @@ def test_elements_and_attributes(spark):
     df = spark.createDataFrame([(1, '<li class="a" data-x="1">A &amp; B</li><link><li>C</li>')], "page_id int, html string")
     rows = pages.elements(df, "li").withColumn("m", pages.attribute_map(F.col("attributes"))).orderBy("pos").collect()
     assert [(r.pos, r.inner, r.m) for r in rows] == [(0, "A &amp; B", {"class": "a", "data-x": "1"}), (1, "C", {})]
+
+
+def test_a_row_of_a_box_score_is_read_once(spark):
+    df = spark.createDataFrame([("u", box_page())], "url string, html string")
+    plan = pages.box_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\bleft\b") == 1 and plan.count("<td(?=") == 1 and plan.count("<tr(?=") == 1
+    rows = {(r.side, r.pos): (r.name, len(r.cells)) for r in pages.box_rows(df).collect()}
+    assert rows == {(0, i): (f"v{i + 1}", 12) for i in range(10)} | {(1, 0): ("h1", 10), (1, 1): ("h2", 10), (1, 2): ("h1", 10)}
