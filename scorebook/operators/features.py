@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scorebook.functions.text import BATTING_HANDS, THROWING_HANDS, encode_if_text
 from scorebook.operators.lookup import keep_first, with_mean_default, with_zero_default
+from scorebook.session import dealt
 
 # Batter feature columns by pattern: raw figures, or hand and types.
 BATTER_PATTERNS = {
@@ -66,12 +67,12 @@ def _place(slot: int, col: str) -> str:
     return f"_{slot}_{col}"
 
 
-def _wide(slots: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+def _wide(slots: DataFrame, cols: Sequence[str], k: int, rows: int = 0) -> DataFrame:
     """One row per complete (game, team) with a column per slot and feature.
 
     The rows travel to their (game, team) as they are and are read there in one
     sorted pass: an aggregate would widen every row, and hold the wide rows of
-    a task in memory, before it has a second row to merge it with.
+    a task in memory, before it has a second row to merge it with. `rows` as in `flat`.
     """
     ordered = Window.partitionBy("game_id", "team").orderBy("slot")
     side = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -80,39 +81,40 @@ def _wide(slots: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
         for i in range(1, k + 1)
         for c in cols
     }
-    read = slots.select(
+    read = dealt(slots, rows, "game_id", "team").select(
         "game_id", "team", F.count(F.lit(1)).over(side).alias("_n"), F.row_number().over(ordered).alias("_at"),
         *[c.alias(name) for name, c in places.items()],
     )
     return read.filter((F.col("_n") == k) & (F.col("_at") == 1)).drop("_n", "_at")
 
 
-def _assembled(slots: DataFrame, teams: DataFrame, batter_cols, pitcher_cols, k: int, out: str, value) -> DataFrame:
-    wide = _wide(slots, batter_cols, k)
+def _assembled(slots: DataFrame, teams: DataFrame, batter_cols, pitcher_cols, k: int, rows: int, out: str, value) -> DataFrame:
+    wide = _wide(slots, batter_cols, k, rows)
     made = [c for c in wide.columns if c.startswith("_")]
     return wide.join(teams, ["game_id", "team"]).withColumn(out, value).drop(*made, *pitcher_cols)
 
 
 def flat(
-    slots: DataFrame, teams: DataFrame, batter_cols: Sequence[str], pitcher_cols: Sequence[str], k: int = 9
+    slots: DataFrame, teams: DataFrame, batter_cols: Sequence[str], pitcher_cols: Sequence[str], k: int = 9, rows: int = 0
 ) -> DataFrame:
     """One vector per (game, team): k batter vectors, then the pitcher vector.
 
     `slots` holds batter features per slot, `teams` one row per (game, team)
-    with the pitcher features and any label columns.
+    with the pitcher features and any label columns. `rows`, where known, is
+    the number of slots or more: large tables are dealt to more tasks by it.
     """
     batted = [F.col(_place(i, c)) for i in range(1, k + 1) for c in batter_cols]
     vec = F.array(*batted, *[F.col(c).cast("double") for c in pitcher_cols])
-    return _assembled(slots, teams, batter_cols, pitcher_cols, k, "vec", vec)
+    return _assembled(slots, teams, batter_cols, pitcher_cols, k, rows, "vec", vec)
 
 
 def sequence(
-    slots: DataFrame, teams: DataFrame, batter_cols: Sequence[str], pitcher_cols: Sequence[str], k: int = 9
+    slots: DataFrame, teams: DataFrame, batter_cols: Sequence[str], pitcher_cols: Sequence[str], k: int = 9, rows: int = 0
 ) -> DataFrame:
-    """One sequence per (game, team): k steps of batter features followed by the pitcher's."""
+    """One sequence per (game, team): k steps of batter features followed by the pitcher's. `rows` as in `flat`."""
     pitcher = [F.col(c).cast("double") for c in pitcher_cols]
     seq = F.array(*[F.array(*[F.col(_place(i, c)) for c in batter_cols], *pitcher) for i in range(1, k + 1)])
-    return _assembled(slots, teams, batter_cols, pitcher_cols, k, "seq", seq)
+    return _assembled(slots, teams, batter_cols, pitcher_cols, k, rows, "seq", seq)
 
 
 # Names of features in the weight ranking.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scorebook.functions import text
 from scorebook.functions.rates import Thresholds, with_pitch_groups, with_rates, with_types
 from scorebook.operators import features, lineups, lookup, summary
-from scorebook.session import materialized
+from scorebook.session import dealt, materialized
 
 # Line-up length of an order; a game of the sport has nine places.
 K = 3
@@ -232,11 +232,19 @@ def coded_pitchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.prepare_pitchers(pitchers(spark, sf_dir), ["era"])
 
 
-def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_count(spark: SparkSession, sf_dir: str) -> int:
+    """Number of line items, from the files' footers: no line-ups have more slots."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
+def sides(spark: SparkSession, sf_dir: str, rows: int = 0) -> DataFrame:
     """(game_id, team, runs, lines): an order's line statuses with their runs and their lines in order, seven at most."""
+    sold = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("game_id"), F.col("l_linestatus").alias("team"), "l_quantity", *LINE_ORDER
+    )
     return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("game_id"), F.col("l_linestatus").alias("team"))
+        dealt(sold, rows, "game_id", "team")
+        .groupBy("game_id", "team")
         .agg(
             (F.sum("l_quantity").cast("bigint") % 10).alias("runs"),
             F.sort_array(F.collect_list(F.struct(*LINE_ORDER))).alias("lines"),
@@ -244,9 +252,9 @@ def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_sides(spark: SparkSession, sf_dir: str, rows: int = 0) -> DataFrame:
     """`sides` computed once, for queries that read both line-ups and scoreboards from it."""
-    return materialized(sides(spark, sf_dir), "sides")
+    return materialized(sides(spark, sf_dir, rows), "sides")
 
 
 def entries_of(sides_: DataFrame) -> DataFrame:
@@ -305,33 +313,37 @@ def typed_batters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_types(with_rates(features.prepare_batters(batters(spark, sf_dir))), LIMITS)
 
 
-def feature_slots(spark: SparkSession, sf_dir: str, pattern: str, sides_: DataFrame) -> DataFrame:
+def feature_slots(spark: SparkSession, sf_dir: str, pattern: str, sides_: DataFrame, rows: int = 0) -> DataFrame:
     """Slots of the line-ups that fill all places, which alone become samples, with the batter features of a pattern."""
     cols = features.batter_columns(pattern)
     full = sides_.where(F.size(_names()) >= K)
-    return features.with_batters(slots_of(full), typed_batters(spark, sf_dir), cols, keys=["name"])
+    # The batters are dealt, one row for each; the slots follow them.
+    batted = dealt(typed_batters(spark, sf_dir), rows, "name")
+    return features.with_batters(slots_of(full), batted, cols, keys=["name"])
 
 
-def feature_teams(spark: SparkSession, sf_dir: str, sides_: DataFrame | None = None) -> DataFrame:
-    known = teams(spark, sf_dir) if sides_ is None else teams_of(entries_of(sides_))
+def feature_teams(spark: SparkSession, sf_dir: str, sides_: DataFrame | None = None, rows: int = 0) -> DataFrame:
+    known = teams(spark, sf_dir) if sides_ is None else teams_of(dealt(entries_of(sides_), rows, "game_id"))
     coded = materialized(coded_pitchers(spark, sf_dir).drop("team"), "pitchers")  # read twice: rows and means
     return features.with_pitchers(known, coded, PITCHER_COLS, keys=["starter"])
 
 
 def flat_samples(spark: SparkSession, sf_dir: str, pattern: str = "A") -> DataFrame:
     """(game_id, team, runs, opponent, starter, vec) of complete line-ups."""
-    sides_ = stored_sides(spark, sf_dir)
+    rows = line_count(spark, sf_dir)
+    sides_ = stored_sides(spark, sf_dir, rows)
     return features.flat(
-        feature_slots(spark, sf_dir, pattern, sides_), feature_teams(spark, sf_dir, sides_),
-        features.batter_columns(pattern), PITCHER_COLS, K,
+        feature_slots(spark, sf_dir, pattern, sides_, rows), feature_teams(spark, sf_dir, sides_, rows),
+        features.batter_columns(pattern), PITCHER_COLS, K, rows,
     )
 
 
 def sequences(spark: SparkSession, sf_dir: str, pattern: str = "A") -> DataFrame:
-    sides_ = stored_sides(spark, sf_dir)
+    rows = line_count(spark, sf_dir)
+    sides_ = stored_sides(spark, sf_dir, rows)
     return features.sequence(
-        feature_slots(spark, sf_dir, pattern, sides_), feature_teams(spark, sf_dir, sides_),
-        features.batter_columns(pattern), PITCHER_COLS, K,
+        feature_slots(spark, sf_dir, pattern, sides_, rows), feature_teams(spark, sf_dir, sides_, rows),
+        features.batter_columns(pattern), PITCHER_COLS, K, rows,
     )
 
 

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scorebook import session
 from scorebook.operators import features, scaling, summary
+from scorebook.plans import views
 
 
 @pytest.fixture(scope="module")
@@ -109,3 +111,28 @@ def test_line_ups_are_widened_after_their_rows_have_met(spark):
     assert got == {
         (1, "A"): (1, 2, 3), (1, None): (1, 2, 3), (None, "B"): (1, 2, 3), (3, "A"): (4, None, None), (4, "A"): (None, 5, 6),
     }
+
+
+def test_large_tables_are_dealt_to_more_tasks_with_the_same_samples(spark, parts, monkeypatch):
+    slots, teams = parts
+    args = (["hand", "avg", "hr"], ["hand", "era"], 3)
+    plain = {make: make(slots, teams, *args) for make in (features.flat, features.sequence)}
+    monkeypatch.setattr(session, "ROWS_A_TASK", 1)
+    for make, want in plain.items():
+        found = make(slots, teams, *args, rows=11)
+        assert ", 11), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.dealt(slots, few, "name") is slots  # Spark's own number is enough
+
+
+def test_line_ups_of_the_queries_follow_the_number_of_lines(spark, monkeypatch):
+    place = "/root/testdata/sf0.001"
+    want = {p: sorted(map(repr, views.flat_samples(spark, place, p).collect())) for p in "AB"}
+    monkeypatch.setattr(session, "ROWS_A_TASK", 500)
+    tasks = -(-views.line_count(spark, place) // 500)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for p in "AB":
+        found = views.flat_samples(spark, place, p)
+        assert f", {tasks}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, found.collect())) == want[p]
