@@ -179,6 +179,47 @@ def test_sketches_of_lines_keep_links_at_the_threshold(union, shared):
     assert max(differing) <= linking.most_differing(80, lines.SIGMAS, lines.SKETCH_BITS) == 55
 
 
+@pytest.mark.parametrize("n", [9, 60, 400])
+def test_odd_sketches_of_lines_keep_every_link_and_refuse_what_is_far_from_one(n):
+    r = random.Random(41)
+    base = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n + 4)).replace(" ", "_")
+    texts = ["".join(r.choice("0123456789") if r.random() < r.choice((0.002, 0.02, 0.06)) else c for c in base) for _ in range(120)]
+    texts += [base, base * 2, base + base[: n // 4]]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    sizes, odd, bits = lines._sketches(data, np.concatenate([[0], np.cumsum([len(x) for x in texts])]), 5)
+    odd = odd.view(np.uint64).reshape(len(texts), -1)
+    sets = [lines.shingle_set(x) for x in texts]
+    assert sizes.tolist() == [len(x) for x in sets] and [b is not None for b in bits] == [len(x) > lines.ODD_BITS for x in sets]
+    far = ruled_out = links = 0
+    for i, p in enumerate(sets):
+        for j, q in enumerate(sets[:i]):
+            differing = int(np.bitwise_count(odd[i] ^ odd[j]).sum())
+            assert differing <= len(p ^ q)
+            refused = differing * 180 > (len(p) + len(q)) * 20
+            linked = lines.similar(texts[i], texts[j])
+            assert not (linked and refused)
+            links += linked
+            if len(p & q) < 0.65 * len(p | q):
+                far, ruled_out = far + 1, ruled_out + refused
+    assert links and far and ruled_out > 0.95 * far
+
+
+def test_variants_of_a_line_that_are_no_links_are_refused_before_their_texts_meet(spark, monkeypatch):
+    met, confirmed = [], lines.confirmed
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(lines, "confirmed", counted)
+    r = random.Random(43)
+    base = "the river bends at the old mill and turns to the wide and silent harbour of stone"
+    texts = ["".join(r.choice("0123456789") if p in at else c for p, c in enumerate(base)) for at in (r.sample(range(80), 2) for _ in range(150))]
+    assert sum(lines.similar(x, y) for x in texts for y in texts) < 0.02 * len(texts) ** 2
+    lines.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert len(met) == 2 and met[1] < 0.05 * len(texts) ** 2 / 2
+
+
 def test_default_parameters_link_short_lines(spark):
     r = random.Random(21)
     short = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(600)]
