@@ -152,11 +152,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return played.unionByName(scored)
 
 
-def batters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def batters(spark: SparkSession, sf_dir: str, rows: int = 0) -> DataFrame:
     """Season table of parts: counts over line items, hand from the size."""
     flag, qty, line = F.col("l_returnflag"), F.col("l_quantity"), F.col("l_linenumber")
     hit = flag == "R"
-    counts = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+    sold = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_quantity", "l_linenumber")
+    counts = dealt(sold, rows, "l_partkey").groupBy("l_partkey").agg(
         F.count(F.lit(1)).alias("ab"),
         F.count_if(hit).alias("h"),
         F.count_if(hit & (qty > 45)).alias("hr"),
@@ -204,12 +205,14 @@ def pitch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pitchers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pitchers(spark: SparkSession, sf_dir: str, rows: int = 0) -> DataFrame:
     """Season table of the suppliers: rates per nine lines and pitch groups, from one aggregate over their lines."""
     flag, kind = F.col("l_returnflag"), F.col("p_type")
     per_nine = lambda cond: F.count_if(cond) * 9.0 / F.count(F.lit(1))
     kinds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    sold = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag", "l_quantity").join(kinds, "l_partkey", "left")
+    lines_ = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag", "l_quantity")
+    # The kinds are dealt, one row for each part; the lines follow them.
+    sold = lines_.join(dealt(kinds, rows, "l_partkey"), "l_partkey", "left")
     figures = sold.groupBy(F.col("l_suppkey").alias("name")).agg(
         per_nine(flag == "R").alias("era"),
         per_nine(flag == "A").alias("k9"),
@@ -228,8 +231,8 @@ def pitchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.join(hands, "name").select("team", "name", "hand", "era", "k9", "hr9", *shares)
 
 
-def coded_pitchers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.prepare_pitchers(pitchers(spark, sf_dir), ["era"])
+def coded_pitchers(spark: SparkSession, sf_dir: str, rows: int = 0) -> DataFrame:
+    return features.prepare_pitchers(pitchers(spark, sf_dir, rows), ["era"])
 
 
 def line_count(spark: SparkSession, sf_dir: str) -> int:
@@ -308,9 +311,9 @@ def teams_of(entries_: DataFrame) -> DataFrame:
     )
 
 
-def typed_batters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def typed_batters(spark: SparkSession, sf_dir: str, rows: int = 0) -> DataFrame:
     """Batters with hand code, rates and type flags."""
-    return with_types(with_rates(features.prepare_batters(batters(spark, sf_dir))), LIMITS)
+    return with_types(with_rates(features.prepare_batters(batters(spark, sf_dir, rows))), LIMITS)
 
 
 def feature_slots(spark: SparkSession, sf_dir: str, pattern: str, sides_: DataFrame, rows: int = 0) -> DataFrame:
@@ -318,14 +321,14 @@ def feature_slots(spark: SparkSession, sf_dir: str, pattern: str, sides_: DataFr
     cols = features.batter_columns(pattern)
     full = sides_.where(F.size(_names()) >= K)
     # The batters are dealt, one row for each; the slots follow them.
-    batted = dealt(typed_batters(spark, sf_dir), rows, "name")
+    batted = dealt(typed_batters(spark, sf_dir, rows), rows, "name")
     return features.with_batters(slots_of(full), batted, cols, keys=["name"])
 
 
 def feature_teams(spark: SparkSession, sf_dir: str, sides_: DataFrame | None = None, rows: int = 0) -> DataFrame:
     known = teams(spark, sf_dir) if sides_ is None else teams_of(dealt(entries_of(sides_), rows, "game_id"))
-    coded = materialized(coded_pitchers(spark, sf_dir).drop("team"), "pitchers")  # read twice: rows and means
-    return features.with_pitchers(known, coded, PITCHER_COLS, keys=["starter"])
+    coded = materialized(coded_pitchers(spark, sf_dir, rows).drop("team"), "pitchers")  # read twice: rows and means
+    return features.with_pitchers(known, dealt(coded, rows, "name"), PITCHER_COLS, keys=["starter"])
 
 
 def flat_samples(spark: SparkSession, sf_dir: str, pattern: str = "A") -> DataFrame:

@@ -136,3 +136,15 @@ def test_line_ups_of_the_queries_follow_the_number_of_lines(spark, monkeypatch):
         found = views.flat_samples(spark, place, p)
         assert f", {tasks}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(repr, found.collect())) == want[p]
+
+
+def test_season_tables_of_the_samples_follow_the_number_of_lines(spark, monkeypatch):
+    place = "/root/testdata/sf0.001"
+    makes = views.typed_batters, views.coded_pitchers
+    want = [sorted(map(repr, make(spark, place).collect())) for make in makes]
+    monkeypatch.setattr(session, "ROWS_A_TASK", 500)
+    rows = views.line_count(spark, place)
+    for make, same in zip(makes, want):
+        found = make(spark, place, rows)
+        assert f", {-(-rows // 500)}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, found.collect())) == same
