@@ -94,3 +94,62 @@ def test_the_session_keeps_its_state_store_setting(spark):
         raise RuntimeError
     assert spark.conf.get(asof._PROVIDER, None) == before
     assert running.START == ""
+
+
+class State:
+    """Map and value state of one player, and how often it was asked."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getMapState(self, name, *kinds):
+        return Part(self, name)
+
+    def getValueState(self, name, *kinds):
+        return Part(self, name)
+
+
+class Part:
+    def __init__(self, state, name):
+        self.state, self.held = state, state.held.setdefault(name, {})
+
+    def _called(self, out=None):
+        self.state.calls += 1
+        return out
+
+    def iterator(self):
+        return self._called(iter(list(self.held.items())))
+
+    def getValue(self, key):
+        return self._called(self.held.get(key))
+
+    def updateValue(self, key, value):
+        self._called(self.held.update({key: value}))
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+
+def test_a_batch_asks_the_state_once_per_chunk_not_per_game(spark):
+    days = [f"2025{m:02d}{d:02d}" for m in (3, 4) for d in range(1, 31)]
+    kind = KIND + ", team string"
+    plays = [(i, f"cl{day}01", "V", "H", True, "n", "左安", None) for i, day in enumerate(days)]
+    asked = spark.createDataFrame([(f"cl{day}01", "V", "n") for day in days], "game_id string, team string, name string")
+    state = State()
+
+    def batch(some, requests=None):
+        rows = asof.events(spark.createDataFrame(some, kind).drop("team"), requests).collect()
+        processor = asof.FiguresBefore()
+        processor.init(state)
+        before = state.calls
+        out = {r.game_id: r.h for r in processor.handleInputRows(("V", "n"), iter(rows), None)}
+        return out, state.calls - before
+
+    first, calls = batch(plays[::2], asked)
+    assert first == {f"cl{day}01": (i + 1) // 2 for i, day in enumerate(days)} and calls <= 6  # games and two months
+    second, calls = batch(plays[1::2] + plays[:4])
+    assert second == {f"cl{day}01": i for i, day in enumerate(days) if i > 1} and calls <= 6
+    assert batch(plays) == ({}, 3)  # all of them delivered again: read, and nothing to write
