@@ -320,9 +320,10 @@ def feature_slots(spark: SparkSession, sf_dir: str, pattern: str, sides_: DataFr
     """Slots of the line-ups that fill all places, which alone become samples, with the batter features of a pattern."""
     cols = features.batter_columns(pattern)
     full = sides_.where(F.size(_names()) >= K)
+    # Stored, so that no task holds what counts the batters and what sorts the slots at once.
+    batted = materialized(typed_batters(spark, sf_dir, rows).select("name", *cols), "batters")
     # The batters are dealt, one row for each; the slots follow them.
-    batted = dealt(typed_batters(spark, sf_dir, rows), rows, "name")
-    return features.with_batters(slots_of(full), batted, cols, keys=["name"])
+    return features.with_batters(slots_of(full), dealt(batted, rows, "name"), cols, keys=["name"])
 
 
 def feature_teams(spark: SparkSession, sf_dir: str, sides_: DataFrame | None = None, rows: int = 0) -> DataFrame:

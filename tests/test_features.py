@@ -148,3 +148,15 @@ def test_season_tables_of_the_samples_follow_the_number_of_lines(spark, monkeypa
         found = make(spark, place, rows)
         assert f", {-(-rows // 500)}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(repr, found.collect())) == same
+
+
+def test_slots_meet_stored_batters(spark, tmp_path):
+    line = (1, 1, 1, 1, 5.0, 1.0, 0.0, 0.0, "R", "F", None)
+    lines = [(o, p, 1, i, *line[4:]) for o, ps in [(1, [7, 8, 9]), (2, [9, 9, 7])] for i, p in enumerate(ps, 1)]
+    spark.createDataFrame(lines, views.SCHEMAS["lineitem"]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = [(p, "n", "Brand#1", "SMALL", p, 1.0) for p in (7, 8, 9)]
+    spark.createDataFrame(made, views.SCHEMAS["part"]).write.parquet(f"{tmp_path}/part.parquet")
+    slots = views.feature_slots(spark, str(tmp_path), "A", views.sides(spark, str(tmp_path)))
+    plan = slots._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_brand" not in plan and plan.count("Aggregate") == 1  # the sides' own; the batters are counted already
+    assert {(r.game_id, r.slot, r.name, r.hr) for r in slots.collect()} == {(1, 1, 7, 0), (1, 2, 8, 0), (1, 3, 9, 0)}
