@@ -140,7 +140,8 @@ def cross_links(nodes: DataFrame, distance: int, crowded: int = CROWDED) -> Data
     x, y = held.alias("x"), asked.alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
     close = (F.col("x.component") != F.col("y.component")) & (_distance("x.node", "y.node") <= distance)
-    return x.join(y, meet & close).select(
+    # Spark sizes both sides by the nodes, of which the probes are some thirty times as many rows: neither is broadcast.
+    return x.join(y.hint("merge"), meet & close).select(
         F.least("x.component", "y.component").alias("a"), F.greatest("x.component", "y.component").alias("b")
     ).distinct()
 

@@ -8,7 +8,7 @@ import xxhash
 from conftest_llm import Union, fold, words
 from pyspark.sql import functions as F
 
-from scorebook.llm import simhash
+from scorebook.llm import linking, simhash
 
 
 def plain_print(text) -> int:
@@ -124,3 +124,11 @@ def test_nulls_empty_long_repeated_and_clashing(spark, empty, clashing, docs):
     assert out == sorted(want, key=repr)
     assert simhash.find(empty).count() == 0
     assert got(simhash.find(clashing)) == got(simhash.find(docs))
+
+
+def test_what_comes_out_of_an_explode_is_not_broadcast(spark):
+    nodes = spark.createDataFrame(longs(range(0, 4000, 7)), "node long").withColumn("component", F.col("node"))
+    for df in (simhash.cross_links(nodes, 3), linking.star_pairs(simhash.tables(nodes.select("node")))):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
