@@ -14,10 +14,11 @@ from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import FMRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import FMRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorebook.models import forests
 from scorebook.operators.scaling import mean_baseline, standardized_vector
 from scorebook.operators.summary import mse
 
@@ -57,12 +58,9 @@ def lasso(alpha: float, label: str = "runs") -> LinearRegression:
     )
 
 
-def forest(label: str = "runs", trees: int = 100, depth: int = 30, seed: int = 42) -> RandomForestRegressor:
-    """Trees over all features, as deep as Spark allows unless told otherwise."""
-    return RandomForestRegressor(
-        featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy="all", seed=seed, maxMemoryInMB=1024, cacheNodeIds=True,
-    )
+def forest(label: str = "runs", trees: int = 100, depth: int = 30, seed: int = 42) -> forests.Forest:
+    """Trees over all features, grown by tasks that finish whole subtrees; reads the array column `vec`."""
+    return forests.Forest(label, trees, depth, seed)
 
 
 def factorization(
