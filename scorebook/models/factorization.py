@@ -5,7 +5,9 @@ of numbers. Its prediction is bias + numbers · weights + the sum of its ids' ow
 weights + half of |sum of their vectors|² less the sum of |vector|²: numbers have
 no vectors. Players' parameters are a table keyed by id. An epoch joins it with
 the samples' ids, sums per sample, sums gradients per id and writes the next
-table; only the bias, the numbers' weights and the error are on the driver.
+table; only the bias, the numbers' weights and the error are on the driver. A
+fit leaves the last parameters only: every write drops its shuffle files, and
+what an epoch stored goes when the next one has read it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.session import materialized
+from scorebook.session import discard, materialized, shuffles_dropped
 
 
 class Machine(NamedTuple):
@@ -80,13 +82,13 @@ def predict(samples: DataFrame, machine: Machine, keys: Sequence[str], ids: str
 
 
 def _off(samples: DataFrame, machine: Machine, keys: Sequence[str], label: str) -> DataFrame:
-    """(keys, ids, numbers, e, s0 …): how far each prediction is off, and the sample's summed vectors."""
+    """(ids, numbers, e, s0 …): how far each prediction is off, and the sample's summed vectors."""
     v = _v(machine.size)
     summed = sums(samples, machine, keys)
     linear = _added([F.col("numbers")[j].cast("double") * F.lit(w) for j, w in enumerate(machine.weights)])
     players = F.col("w") + (_added([F.col(c) * F.col(c) for c in v]) - F.col("squares")) / 2
     off = (F.lit(machine.bias) + linear + players - F.col(label)).alias("e")
-    return samples.join(summed, list(keys)).select(*keys, "ids", "numbers", off, *[F.col(c).alias(f"s{f}") for f, c in enumerate(v)])
+    return samples.join(summed, list(keys)).select("ids", "numbers", off, *[F.col(c).alias(f"s{f}") for f, c in enumerate(v)])
 
 
 def _moved(off: DataFrame, machine: Machine, n: int, step: float, decay: float, n_numbers: int) -> Machine:
@@ -119,6 +121,13 @@ def fit(
     `step` is only where it starts. `errors` has the mean squared error before
     the first and after every epoch, `steps` the step of each.
     """
+    with shuffles_dropped(samples.sparkSession):
+        return _fit(samples, keys, numbers, size, epochs, step, decay, label, seed)
+
+
+def _fit(
+    samples: DataFrame, keys: Sequence[str], numbers: int, size: int, epochs: int, step: float, decay: float, label: str, seed: int
+) -> Fitted:
     rows = samples.where(F.col(label).isNotNull()).select(*keys, "ids", "numbers", F.col(label).cast("double").alias(label))
     stored = materialized(rows, "fm-samples")
     n, mean = stored.agg(F.count(F.lit(1)), F.avg(label)).first()
@@ -142,10 +151,16 @@ def fit(
         next_off, next_error, next_goal = judged(moved)
         if next_goal >= goal:
             step /= 2
+            discard(moved.factors)
+            discard(next_off)
             continue
+        discard(now.factors)
+        discard(off)
         now, off, goal = moved, next_off, next_goal
         errors.append(next_error)
         steps.append(step)
+    discard(off)
+    discard(stored)
     return Fitted(now, tuple(errors), tuple(steps))
 
 

@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+from pathlib import Path
+from urllib.parse import urlparse
+
 import numpy as np
 import pytest
 
+from scorebook import session
 from scorebook.models import factorization
+from scorebook.session import scratch_path
 
 KIND = "i int, ids array<long>, numbers array<double>, runs double"
 
@@ -89,3 +94,21 @@ def test_no_samples_and_the_same_start_on_every_run(spark, samples):
     ids = spark.createDataFrame([(i % 5,) for i in range(20)] + [(None,)], "id long")
     one, two = (factorization.initial(ids.repartition(n), 0, 3).factors.orderBy("id").collect() for n in (1, 4))
     assert one == two and len(one) == 5 and max(abs(r.v0) for r in one) < 0.02
+
+
+def test_a_fit_leaves_only_the_last_parameters(spark, samples):
+    folder = Path(urlparse(scratch_path(spark, "any")).path).parent
+    before = set(folder.glob("*"))
+    fitted = factorization.fit(samples, ["i"], 1, size=2, epochs=3, step=200.0)  # steps are taken back too
+    left = set(folder.glob("*")) - before
+    assert len(fitted.steps) == 3 and fitted.steps[-1] < 200.0
+    assert len(left) == 1 and next(iter(left)).name in fitted.machine.factors.inputFiles()[0]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) != "true"
+
+
+def test_only_scratch_tables_are_discarded(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "given"))
+    given = spark.read.parquet(str(tmp_path / "given"))
+    session.discard(given)
+    session.discard(spark.range(3))
+    assert given.count() == 3
