@@ -18,7 +18,7 @@ from pyspark.ml.regression import FMRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.models import forests
+from scorebook.models import forests, gradients
 from scorebook.operators.scaling import mean_baseline, standardized_vector
 from scorebook.operators.summary import mse
 
@@ -197,7 +197,7 @@ def fit_fm(
 ) -> tuple[Model, DataFrame]:
     """Fitted factorisation machine and its (side, mse) rows."""
     with kept(train, valid) as (train, valid):
-        model = factorization(label, **settings).fit(train)
+        model = gradients.fit(factorization(label, **settings), train)
         rows = [
             (side, mse(model.transform(df), label, "prediction").first()["mse"])
             for side, df in (("train", train), ("valid", valid))
