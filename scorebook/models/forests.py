@@ -33,6 +33,7 @@ BINS = 32
 ROWS_A_UNIT = 1 << 21
 DRAWS_A_ROUND = 1 << 27
 _NODES = 1 << 32  # unit = tree * _NODES + the node's place in a heap, the root at 1
+_TIE = 1e-9  # shares of a fall below which splits count as equal: sums of other orders differ by rounding
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in np.cumprod([1.0, *range(1, 15)])])
 
 
@@ -89,8 +90,8 @@ def _dense(key: np.ndarray, w: np.ndarray, wy: np.ndarray, n: np.ndarray, s: np.
     n_left = np.cumsum(np.bincount(key, w, size).reshape(-1, BINS), axis=1)[:, :-1]
     s_left = np.cumsum(np.bincount(key, wy, size).reshape(-1, BINS), axis=1)[:, :-1]
     fall = _falls(n_left, s_left, n[:, None], s[:, None])
-    at = fall.argmax(axis=1)
-    return fall[np.arange(len(n)), at], at
+    top = fall.max(axis=1)
+    return top, (fall >= top[:, None] * (1 - _TIE)).argmax(axis=1)
 
 
 def _sparse(key: np.ndarray, w: np.ndarray, wy: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +111,7 @@ def _sparse(key: np.ndarray, w: np.ndarray, wy: np.ndarray, n: np.ndarray, s: np
     fall = _falls(within(w), within(wy), n[node], s[node])
     fall[np.append(first[1:], True)] = 0.0  # a node's last bin leaves nothing on the right
     top = np.maximum.reduceat(fall, before)
-    hit = np.flatnonzero(fall == np.repeat(top, np.diff(np.append(before, len(node)))))
+    hit = np.flatnonzero(fall >= np.repeat(top, np.diff(np.append(before, len(node)))) * (1 - _TIE))
     _, one = np.unique(node[hit], return_index=True)
     return top, key[last[hit[one]]] % BINS
 
@@ -133,7 +134,7 @@ def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int) -> tuple[Tr
             search = _dense if count * BINS <= 4 * len(node) else _sparse
             for f in range(width):
                 fall, found = search(node * BINS + columns[f], w, wy, n, s)
-                better = fall > best
+                better = fall > best * (1 + _TIE)
                 best[better], feature[better], at[better] = fall[better], f, found[better]
         inner = feature >= 0
         np.add.at(falls, feature[inner], best[inner])
@@ -262,7 +263,7 @@ def _open(blocks: DataFrame, trees: range, tops: dict, wanted: set, width: int,
         total, added, squares = n[0].sum(), s[0].sum(), q[0].sum()
         mean = added / total
         fall = _falls(np.cumsum(n, 1)[:, :-1], np.cumsum(s - mean * n, 1)[:, :-1], total, added - mean * total)
-        f, b = np.unravel_index(fall.argmax(), fall.shape)
+        f, b = np.unravel_index((fall >= fall.max() * (1 - _TIE)).argmax(), fall.shape)
         row = (table.column("unit")[0].as_py(), float(total), float(added), float(squares), float(fall[f, b]), int(f), int(b))
         return pa.table({c: [v] for c, v in zip(("unit", "n", "s", "q", "fall", "feature", "bin"), row)})
 

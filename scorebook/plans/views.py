@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scorebook.functions import text
 from scorebook.functions.rates import Thresholds, with_pitch_groups, with_rates, with_types
 from scorebook.operators import features, lineups, lookup, summary
-from scorebook.session import dealt, materialized
+from scorebook.session import dealt, materialized, tasks_beyond
 
 # Line-up length of an order; a game of the sport has nine places.
 K = 3
@@ -320,8 +320,9 @@ def feature_slots(spark: SparkSession, sf_dir: str, pattern: str, sides_: DataFr
     """Slots of the line-ups that fill all places, which alone become samples, with the batter features of a pattern."""
     cols = features.batter_columns(pattern)
     full = sides_.where(F.size(_names()) >= K)
-    # Stored, so that no task holds what counts the batters and what sorts the slots at once.
-    batted = materialized(typed_batters(spark, sf_dir, rows).select("name", *cols), "batters")
+    batted = typed_batters(spark, sf_dir, rows).select("name", *cols)
+    if tasks_beyond(spark, rows):  # stored, so that no task holds what counts many batters and what sorts the slots at once
+        batted = materialized(batted, "batters")
     # The batters are dealt, one row for each; the slots follow them.
     return features.with_batters(slots_of(full), dealt(batted, rows, "name"), cols, keys=["name"])
 

@@ -61,6 +61,14 @@ def test_both_searches_find_the_same_splits():
     assert (at == there).all()
 
 
+def test_of_equal_splits_the_first_feature_is_taken():
+    rng = np.random.default_rng(8)
+    for size in (2, 400):  # the same column thrice, in small and large nodes
+        column, y = rng.integers(0, 32, size).astype(np.uint8), rng.normal(size=size)
+        tree, falls = forests.grow(np.stack([column, 31 - column, column], axis=1), y, np.ones(size, np.uint8), 30)
+        assert falls[0] > 0 == falls[1] == falls[2] and set(tree.feature) <= {-1, 0}
+
+
 def test_draws_are_poisson_and_hang_on_row_and_tree():
     rows = np.arange(200_000)
     one, two = forests.drawn(rows, 0, 42), forests.drawn(rows, 1, 42)
