@@ -321,7 +321,8 @@ def feature_slots(spark: SparkSession, sf_dir: str, pattern: str, sides_: DataFr
     cols = features.batter_columns(pattern)
     full = sides_.where(F.size(_names()) >= K)
     batted = typed_batters(spark, sf_dir, rows).select("name", *cols)
-    if tasks_beyond(spark, rows):  # stored, so that no task holds what counts many batters and what sorts the slots at once
+    # Stored where lines are many or not counted, so that no task holds what counts the batters and what sorts the slots at once.
+    if not rows or tasks_beyond(spark, rows):
         batted = materialized(batted, "batters")
     # The batters are dealt, one row for each; the slots follow them.
     return features.with_batters(slots_of(full), dealt(batted, rows, "name"), cols, keys=["name"])
